@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .line_dedup import op3_line_dedup
+from .packing import op6_packing
 from .sharding import op8_sharding
 from .simhash import op7_simhash
 from .token_counts import op9_token_counts
@@ -22,6 +23,7 @@ FROM f GROUP BY r, doc_id
 def queries() -> dict:
     return {
         "op3_line_dedup": op3_line_dedup,
+        "op6_packing": op6_packing,
         "op7_simhash": op7_simhash,
         "op8_sharding": op8_sharding,
         "op9_token_counts": op9_token_counts,
