@@ -1,8 +1,8 @@
 """Packing into sequences by a configuration linear program over the length histogram.
 
 The driver sees only the histogram: at most ``capacity`` counts. Multiplicative weights solve the covering program;
-each pricing step is a knapsack by dynamic programming, and its best configuration is taken. Rounding down leaves a rest of
-at most one configuration each, packed by decreasing best fit over the histogram. The plan, ranges of ranks for each
+each pricing step is a knapsack by dynamic programming, whose best configurations are taken a whole number of times. What
+they leave is rounded by decreasing best fit over the histogram. The plan, ranges of ranks for each
 length, is bounded by configurations; every piece finds its place from its rank among pieces of its length.
 """
 
@@ -28,16 +28,45 @@ PIECES = arrow_schema("doc_id long,piece int,start long,length long,ids_crc32 lo
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 
-def token_bytes(values: list[str], tokenizer, cache: BoundedCache) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit bytes. Chunks of up to 64 characters are remembered."""
-    chunks = [CHUNK.findall(x) for x in values]
-    fresh = {c for doc in chunks for c in doc if c not in cache}
-    cache.room_for(len(fresh))
-    fresh = list(fresh if cache else {c for doc in chunks for c in doc})
-    found = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(fresh, tokenizer.encode_batch(fresh, add_special_tokens=False))} if fresh else {}
-    cache.update((c, b) for c, b in found.items() if len(c) <= 64)
-    get = (cache | found).get if any(len(c) > 64 for c in found) else cache.get
-    return [b"".join(map(get, doc)) for doc in chunks]
+#: A chunk of Latin letters and ASCII signs without an apostrophe: its two parts are one pre-token each, whatever stands around.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&*+,./:;<=>?@|~-]*)")
+
+
+def plain_bytes(parts: list[str], tokenizer) -> dict[str, bytes]:
+    """Ids of pre-tokens: they are encoded as one text, whose word numbers tell them apart."""
+    if not parts:
+        return {}
+    e = tokenizer.encode(" ".join(parts), add_special_tokens=False)
+    ids, word = np.array(e.ids, "<u4"), np.array(e.word_ids)
+    ends = np.searchsorted(word, np.arange(len(parts)), "right").tolist()
+    return {p: ids[a:b].tobytes() for p, a, b in zip(parts, [0, *ends], ends)}
+
+
+class Encoder:
+    """Ids of texts as little-endian unsigned 32-bit bytes. Chunks of up to 64 characters, and their parts, are remembered."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.chunks, self.parts = tokenizer, BoundedCache(), BoundedCache()
+
+    def fill(self, chunks: set[str]) -> dict[str, bytes]:
+        split = {c: m.groups() for c in chunks if (m := PLAIN.fullmatch(c))}
+        odd = [c for c in chunks if c not in split]
+        need = {p for w, s in split.values() for p in (w.lower(), s) if p}
+        self.parts.room_for(len(need))
+        own = {p: self.parts[p] for p in need if p in self.parts}
+        own |= plain_bytes([p for p in need if p not in own], self.tokenizer)
+        self.parts.update(own)
+        found = {c: own[w.lower()] + (own[s] if s else b"") for c, (w, s) in split.items()}
+        return found | {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False))}
+
+    def __call__(self, values: list[str]) -> list[bytes]:
+        cut = [CHUNK.findall(x) for x in values]
+        fresh = {c for doc in cut for c in doc if c not in self.chunks}
+        self.chunks.room_for(len(fresh))
+        found = self.fill(fresh if self.chunks else {c for doc in cut for c in doc})
+        self.chunks.update((c, b) for c, b in found.items() if len(c) <= 64)
+        get = (self.chunks | found).get if any(len(c) > 64 for c in found) else self.chunks.get
+        return [b"".join(map(get, doc)) for doc in cut]
 
 
 def pieces(docs: DataFrame, capacity: int, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
@@ -46,11 +75,11 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str = "word_bpe_49k.json")
     def cut(batches):
         from tokenizers import Tokenizer
 
-        encoder, cache, part = Tokenizer.from_file(public_tokenizers.path(tokenizer)), BoundedCache(), TaskContext.get().partitionId()
+        encoder, part = Encoder(Tokenizer.from_file(public_tokenizers.path(tokenizer))), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for b in batches:
             rows = []
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), token_bytes(texts(b), encoder, cache)):
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoder(texts(b))):
                 ids += b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
@@ -63,59 +92,69 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str = "word_bpe_49k.json")
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES_DDL)
 
 
-def knapsack(value: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
-    """The most valuable configuration of at most ``capacity``: how often each length (by place) is in it."""
+def knapsack(value: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room up to ``capacity`` the best value, and the length that such a filling takes first (0: leaves one unit free)."""
     by_length = np.zeros(capacity + 1)
-    by_length[lengths] = value
+    fits = lengths <= capacity
+    by_length[lengths[fits]] = value[fits]
     best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     for c in range(1, capacity + 1):
         gain = by_length[1 : c + 1] + best[c - 1 :: -1][:c]
         k = int(gain.argmax())
-        if gain[k] > best[c - 1] + 1e-15:
+        if gain[k] > best[c - 1] + 1e-12:
             best[c], took[c] = gain[k], k + 1
         else:
             best[c] = best[c - 1]
-    place = {int(x): i for i, x in enumerate(lengths)}
-    out, c = {}, capacity
-    while c > 0:
-        if took[c]:
-            i = place[int(took[c])]
-            out[i] = out.get(i, 0) + 1
-            c -= int(took[c])
-        else:
-            c -= 1
-    return out
+    return best, took
 
 
-def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 300, slack: float = 0.002) -> list[tuple[dict[int, int], int]]:
+def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 250, each: int = 64, slack: float = 0.0005, bonus: float = 0.1) -> list[tuple[dict[int, int], int]]:
     """Configurations (place -> count) and how often each is used, covering ``demand`` exactly.
 
-    The program's value can't be below the volume bound, so the price of a length is its share of the capacity, raised by
-    up to a five-hundredth by its multiplicative weight. Weights start higher for long pieces, which fit in fewer ways, and fall
-    as a length gets covered, so later configurations take up what lags. Each round the priced configuration is used for at
-    most a ``rounds``-th of the volume bound and never beyond what is left. Once the best one wastes more than ``slack``,
-    or after ``4 * rounds`` steps, rounding takes over.
+    The program's value can't be below the volume bound, so the price of a length is its share of the capacity, raised by up
+    to ``bonus`` by its multiplicative weight. Weights start higher for long pieces, which fit in fewer ways, and fall as a
+    length gets covered, so later configurations take up what lags. One knapsack table prices the best configuration that
+    holds a given length, for every length; a round uses the ``each`` best of those that waste at most ``slack`` and need no
+    more than is left, each for at most a ``rounds``-th of the volume bound. Where none is left, or after ``rounds`` rounds,
+    rounding takes over.
     """
     left = demand.astype(np.int64).copy()
     plan: list[tuple[dict[int, int], int]] = []
     weight = (lengths / capacity).astype(float)
+    place = {int(x): i for i, x in enumerate(lengths)}
     share = max(1, int(np.ceil((lengths * demand).sum() / capacity / rounds)))
-    out = np.zeros(len(lengths), bool)  # fewer left than the configuration priced before wanted
-    for _ in range(4 * rounds):
-        live = np.where((left > 0) & ~out, lengths / capacity * (1 + 0.002 * weight), 0.0)
-        config = knapsack(live, lengths, capacity)
-        if sum(int(lengths[i]) * n for i, n in config.items()) < (1 - slack) * capacity:
+    scarce = np.zeros(len(lengths), bool)
+    for _ in range(rounds):
+        value = np.where((left > 0) & ~scarce, lengths / capacity * (1 + bonus * weight), 0.0)
+        best, took = knapsack(value, lengths, capacity)
+        total = np.where(value > 0, value + best[capacity - lengths], -1.0)
+        used = False
+        for first in np.argsort(-total)[:each]:
+            if total[first] <= 0:
+                break
+            config, room = {int(first): 1}, capacity - int(lengths[first])
+            while room > 0:
+                if took[room]:
+                    i = place[int(took[room])]
+                    config[i] = config.get(i, 0) + 1
+                    room -= int(lengths[i])
+                else:
+                    room -= 1
+            if sum(int(lengths[i]) * n for i, n in config.items()) < (1 - slack) * capacity:
+                continue
+            times = min([share] + [int(left[i]) // n for i, n in config.items()])
+            if not times:
+                scarce[[i for i, n in config.items() if left[i] < n]] = True
+                continue
+            for i, n in config.items():
+                left[i] -= n * times
+                weight[i] *= np.exp(-n * times / demand[i])
+            plan.append((config, times))
+            used = True
+        if used:
+            scarce[:] = False
+        elif not scarce.any() or not (value > 0).any():
             break
-        short = [i for i, n in config.items() if left[i] < n]
-        if short:
-            out[short] = True
-            continue
-        times = min([share] + [int(left[i]) // n for i, n in config.items()])
-        for i, n in config.items():
-            left[i] -= n * times
-            weight[i] *= np.exp(-n * times / demand[i])
-        out[:] = False
-        plan.append((config, times))
     return plan + best_fit(lengths, left, capacity)
 
 

@@ -8,11 +8,9 @@ threshold: the same document and counts always give the same verdict.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +22,7 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
 #: A document is kept if its mean log ratio is at least this.
-THRESHOLD = -0.25
+THRESHOLD = -0.1
 
 #: Up to this many trusted ids (16 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .decontamination import op5_decontamination
+from .language_id import op10_language_id
 from .line_dedup import op3_line_dedup
 from .packing import op6_packing
+from .quality import op1_quality
 from .sharding import op8_sharding
 from .simhash import op7_simhash
 from .token_counts import op9_token_counts
+from .warc import op4_warc
 
 SQL_LINE_DEDUP = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
@@ -20,15 +24,36 @@ FROM f GROUP BY r, doc_id
 """
 
 
+SQL_WARC = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS head FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> head THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> head THEN head END AS refers_to
+FROM m
+"""
+
+
+def pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
+        "op1_quality": op1_quality,
         "op3_line_dedup": op3_line_dedup,
+        "op4_warc": op4_warc,
+        "op5_decontamination": op5_decontamination,
         "op6_packing": op6_packing,
         "op7_simhash": op7_simhash,
         "op8_sharding": op8_sharding,
         "op9_token_counts": op9_token_counts,
+        "op10_language_id": op10_language_id,
+        "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": SQL_LINE_DEDUP}
+    return {"op3_line_dedup": SQL_LINE_DEDUP, "op4_warc": SQL_WARC}
