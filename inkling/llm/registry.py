@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import op5_decontamination
+from .html_extract import op2_html_extract
 from .language_id import op10_language_id
 from .line_dedup import op3_line_dedup
 from .packing import op6_packing
@@ -43,6 +44,7 @@ def pipeline(spark, sf_dir: str):
 def queries() -> dict:
     return {
         "op1_quality": op1_quality,
+        "op2_html_extract": op2_html_extract,
         "op3_line_dedup": op3_line_dedup,
         "op4_warc": op4_warc,
         "op5_decontamination": op5_decontamination,
