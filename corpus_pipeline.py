@@ -19,7 +19,7 @@ def _bounded(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is determined with a score of 0.4 or more."""
+    """Documents whose language is determined with a score of 0.3 or more."""
     return accepted(_bounded(spark, docs))
 
 

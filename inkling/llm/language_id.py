@@ -193,7 +193,7 @@ def op10_language_id(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, min_score: float = 0.4) -> DataFrame:
+def accepted(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
     """``docs`` without the rows that get ``und`` or a score under ``min_score``."""
     found = predict(docs, fit(docs))
     return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select(*docs.columns)
