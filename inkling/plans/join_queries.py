@@ -41,7 +41,7 @@ def j3(spark, d):
 
 @query(
     "j4_prefix_in_group",
-    "WITH r AS (SELECT l_suppkey, m, l_suppkey * 100 + m AS req_id, epoch_us(TIMESTAMP '1996-01-01' + to_days(cast(365 * m AS INTEGER))) AS t FROM (SELECT DISTINCT l_suppkey FROM lineitem), range(1, 6) x(m)) SELECT req_id, count(l_quantity) AS n, round(coalesce(avg(l_extendedprice), 0), 3) AS mean FROM r LEFT JOIN lineitem l ON l.l_suppkey = r.l_suppkey AND epoch_us(l_shipdate) < t GROUP BY req_id",
+    "WITH r AS (SELECT l_suppkey, m, l_suppkey * 100 + m AS req_id, epoch_us(TIMESTAMP '1996-01-01' + to_days(cast(365 * m AS INTEGER))) AS t FROM (SELECT DISTINCT l_suppkey FROM lineitem), range(1, 4) x(m)) SELECT req_id, count(l_quantity) AS n, round(coalesce(avg(l_extendedprice), 0), 3) AS mean FROM r LEFT JOIN lineitem l ON l.l_suppkey = r.l_suppkey AND epoch_us(l_shipdate) < t GROUP BY req_id",
 )
 def j4(spark, d):
     l = read(spark, d, "lineitem").select("l_suppkey", epoch_us(F.col("l_shipdate")).alias("ts"), "l_extendedprice")
