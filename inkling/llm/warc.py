@@ -30,23 +30,23 @@ ARCHIVE_RECORDS, MIN_REVISIT = 20_000, 100
 
 
 def train_dictionary(pages: DataFrame) -> bytes:
-    """A dictionary from the first bytes of up to SAMPLE_RECORDS records, chosen by hash; empty if there is too little to learn from."""
-    sample = (
-        pages.filter(F.col("html").isNotNull())
-        .select(F.xxhash64("page_id").alias("h"), F.substring("html", 1, SAMPLE_BYTES).alias("html"))
-        .orderBy("h", "html")
-        .limit(SAMPLE_RECORDS)
-    )
+    """A dictionary from the first bytes of about SAMPLE_RECORDS records, chosen by hash; empty if there is too little to learn from."""
+    filled = pages.filter(F.col("html").isNotNull())
+    share = int((1 << 40) * min(1.0, SAMPLE_RECORDS / max(1, filled.count())))
+    sample = filled.filter(F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 40)) < share).select(F.substring("html", 1, SAMPLE_BYTES).alias("html"))
 
     def train(batches):
-        records = [x.encode("utf-8", "surrogatepass") for b in batches for x in b.column("html").to_pylist() if x]
+        records: list[bytes] = []
+        for b in batches:  # repeated ids and urls may share a hash; the sample stays bounded all the same
+            records += [x.encode("utf-8", "surrogatepass") for x in b.column("html").to_pylist() if x and len(records) < 2 * SAMPLE_RECORDS]
+        records.sort()
         try:
             made = zstandard.train_dictionary(DICTIONARY_BYTES, records).as_bytes()
         except zstandard.ZstdError:
             made = b""
         yield batch_of(arrow_schema("d binary"), pa.array([made], pa.binary()))
 
-    rows = sample.coalesce(1).mapInArrow(train, "d binary").collect()  # one dictionary
+    rows = sample.repartition(1).mapInArrow(train, "d binary").collect()  # one dictionary
     return bytes(rows[0].d) if rows else b""
 
 
