@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch_of, table, texts
+from .common import arrow_schema, batch_of, materialize, table, texts
 
 WORD = re.compile(r"\w+")
 
@@ -153,20 +153,23 @@ class Items:
 LEAKS = arrow_schema("doc_id long,item_id long,n_words int,edits int")
 
 
+def item_blocks(benchmark: DataFrame):
+    """Broadcasts of the items with an id and a text, in blocks of about BLOCK_ITEMS by hash of their id."""
+    items = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text").distinct()
+    blocks = max(1, -(-items.count() // BLOCK_ITEMS))
+    for k in range(blocks):
+        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()  # about BLOCK_ITEMS items
+        yield benchmark.sparkSession.sparkContext.broadcast(Items([(r.item_id, r.text) for r in rows]))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_words, edits): documents that hold a passage within EDIT_SHARE of an item's words.
 
     Words are lower-cased runs of letters, digits and underscores. Items under five words must occur unchanged; items without
-    words, null texts and null item ids match nothing. Repeated rows give one row. The items are taken in blocks of
-    BLOCK_ITEMS, by hash of their id; only the block at hand is held and broadcast.
+    words, null texts and null item ids match nothing. Repeated rows give one row. Each block of items is a pass over the documents.
     """
-    spark = docs.sparkSession
-    items = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text").distinct()
-    blocks = max(1, -(-items.count() // BLOCK_ITEMS))
     found = None
-    for k in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()  # about BLOCK_ITEMS items
-        shared = spark.sparkContext.broadcast(Items([(r.item_id, r.text) for r in rows]))
+    for shared in item_blocks(benchmark):
 
         def search(batches, shared=shared):
             block = shared.value
@@ -185,6 +188,18 @@ def op5_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark passage; a null doc_id is treated like any other id."""
-    bad = leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """``docs`` without the rows whose text holds a benchmark passage (see ``leaks``).
+
+    Every row is judged by its own text, so clean rows stay whatever rows share their id, null ids included. Nothing is
+    shuffled; what one block of items leaves is written before the next block is taken.
+    """
+    for k, shared in enumerate(item_blocks(benchmark)):
+        if k:
+            docs = materialize(docs)
+
+        def clean(batches, shared=shared):
+            for b in batches:
+                yield b.filter(pa.array([not shared.value.matches(t) for t in texts(b)], pa.bool_()))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
