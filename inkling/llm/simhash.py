@@ -98,16 +98,16 @@ def fingerprint(text: str, width: int = 3) -> int:
 
 
 def with_fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(_id, doc_id, fp) of every row; fp is the signed long of the 64 bits. Null text: zero."""
+    """(_id, _tkey, doc_id, fp) of every row; fp is the signed long of the 64 bits, _tkey a hash of the text. Null text: zero."""
 
-    out = arrow_schema("doc_id long,fp long")
+    out = arrow_schema("doc_id long,_tkey long,fp long")
 
     def hashed(batches):
         for b in batches:
             fp = np.array([fingerprint(t, width) for t in texts(b)], np.uint64).view(np.int64)
-            yield batch_of(out, b.column("doc_id"), fp)
+            yield batch_of(out, b.column("doc_id"), b.column("_tkey"), fp)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(hashed, "doc_id long, fp long").withColumn("_id", row_id())
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("_tkey"), "text").mapInArrow(hashed, "doc_id long, _tkey long, fp long").withColumn("_id", row_id())
 
 
 def links(prints: DataFrame, bits: int = 3, dense: int = 2048) -> DataFrame:
@@ -177,7 +177,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, bits: int = 3, width: int = 3, dense: int = 2048) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (the smallest doc_id reachable over links, itself included).
+    """One row per document: doc_id, _id, _tkey, fp, component_id (the smallest doc_id reachable over links, itself included).
 
     Copies share a fingerprint and are represented by it, so only distinct fingerprints are joined. Null ids sort first
     and are returned as null; texts without words have fingerprint zero and link like any other. A table without rows
@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, bits: int = 3, width: int = 3, dense: int =
     grouped = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = materialize(grouped.groupBy("root").agg(F.min("least").alias("component_id")))
     named = materialize(grouped.join(ids, "root").select("fp", "component_id"))
-    return rows.join(named, "fp").select("doc_id", "_id", "fp", F.when(F.col("component_id") != -(2**63), F.col("component_id")).alias("component_id"))
+    return rows.join(named, "fp").select("doc_id", "_id", "_tkey", "fp", F.when(F.col("component_id") != -(2**63), F.col("component_id")).alias("component_id"))
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
@@ -199,7 +199,10 @@ def op7_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` without near-duplicates: the row with the smallest doc_id of each component stays (equal ids: all their rows)."""
+    """``docs`` without near-duplicates: of each component the rows with its smallest doc_id stay (repeated rows stay repeated).
+
+    Rows are told apart by id and text, so a row of another component that shares that id is judged on its own.
+    """
     found = near_duplicates(docs)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("_id").distinct()
-    return docs.withColumn("_id", row_id()).join(keep, "_id", "left_semi").select(*docs.columns)
+    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("_id", "_tkey").distinct()
+    return docs.withColumns({"_id": row_id(), "_tkey": F.xxhash64("text")}).join(keep, ["_id", "_tkey"], "left_semi").select(*docs.columns)
