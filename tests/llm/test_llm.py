@@ -161,6 +161,18 @@ def test_decontamination(spark, odd, empty):
     assert got <= planted and len(got) >= 0.97 * len(planted) > 50
     assert decontamination.leaks(odd, bench).count() == 0 and decontamination.leaks(empty, bench).count() == 0
     assert decontamination.without_leaks(odd, bench).count() == odd.count()
+    leak, clean = f"w {items[0][1]} w", "nothing to see here"
+    rows = [(1, leak), (1, clean), (None, leak), (None, clean), (2, None), (3, leak)]
+    left = decontamination.without_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert Counter(map(tuple, left)) == Counter([(1, clean), (None, clean), (2, None)])
+
+
+def test_decontamination_in_blocks(spark, docs, monkeypatch):
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    want, left = Counter(map(tuple, decontamination.leaks(docs, bench).collect())), text_of(decontamination.without_leaks(docs, bench))
+    monkeypatch.setattr(decontamination, "BLOCK_ITEMS", max(1, bench.count() // 3))
+    assert Counter(map(tuple, decontamination.leaks(docs, bench).collect())) == want
+    assert text_of(decontamination.without_leaks(docs, bench)) == left
 
 
 # 6
@@ -232,6 +244,13 @@ def test_simhash(request, which):
     assert simhash.one_of_each(df).columns == df.columns
 
 
+def test_one_of_each_tells_rows_of_one_id_apart(spark):
+    copy, other = "one two three four five six seven", "quite another text without any word in common here"
+    rows = [(1, copy), (2, copy), (2, other), (2, other), (None, None), (5, "")]
+    left = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, left)) == Counter([(1, copy), (2, other), (2, other), (None, None)])
+
+
 def test_simhash_links_and_crowded_buckets(spark):
     r = np.random.default_rng(0)
     centres = r.integers(0, 2**63, 30, dtype=np.uint64)
