@@ -159,9 +159,12 @@ def count_texts(values: list[str], model: PieceTable, cache: BoundedCache) -> li
     cache.room_for(len(fresh))
     fresh = list(fresh if cache else {p for doc in cut for p in doc})
     found = dict(zip(fresh, model.count(fresh).tolist())) if fresh else {}
-    cache.update((p, n) for p, n in found.items() if len(p) <= 64)
-    get = (cache | found).get if any(len(p) > 64 for p in found) else cache.get
-    return [sum(map(get, doc)) + x.count("\n") for doc, x in zip(cut, values)]
+    cache.update(found)
+    total = [sum(map(cache.__getitem__, doc)) + x.count("\n") for doc, x in zip(cut, values)]
+    for p in found:
+        if len(p) > 64:
+            del cache[p]
+    return total
 
 
 OUT = arrow_schema("doc_id long,n_bytes long,n_tokens long,over_limit boolean")
