@@ -21,9 +21,6 @@ from pyspark.sql import functions as F
 
 from .common import BoundedCache, arrow_schema, batch_of, materialize, table, texts
 
-#: The tokenizer cuts at white space, so chunks between these characters encode on their own.
-CHUNK = re.compile(r"[^ \n\t\r]+")
-
 PIECES = arrow_schema("doc_id long,piece int,start long,length long,ids_crc32 long,part int,rank long")
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
@@ -43,30 +40,43 @@ def plain_bytes(parts: list[str], tokenizer) -> dict[str, bytes]:
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes. Chunks of up to 64 characters, and their parts, are remembered."""
+    """Ids of texts as little-endian unsigned 32-bit bytes.
+
+    The tokenizer cuts at white space, so chunks between spaces, tabs and line ends encode on their own. Chunks of up to 64 characters, and their parts, are remembered.
+    """
 
     def __init__(self, tokenizer):
         self.tokenizer, self.chunks, self.parts = tokenizer, BoundedCache(), BoundedCache()
 
-    def fill(self, chunks: set[str]) -> dict[str, bytes]:
-        split = {c: m.groups() for c in chunks if (m := PLAIN.fullmatch(c))}
-        odd = [c for c in chunks if c not in split]
-        need = {p for w, s in split.values() for p in (w.lower(), s) if p}
+    def fill(self, chunks: list[str]) -> None:
+        """Add the ids of ``chunks`` to ``self.chunks``."""
+        split, odd = [], []
+        for c in chunks:
+            if m := PLAIN.fullmatch(c):
+                w, s = m.groups()
+                split.append((c, w.lower(), s))
+            else:
+                odd.append(c)
+        need = {w for _, w, _ in split} | {s for _, _, s in split}
         self.parts.room_for(len(need))
-        own = {p: self.parts[p] for p in need if p in self.parts}
-        own |= plain_bytes([p for p in need if p not in own], self.tokenizer)
-        self.parts.update(own)
-        found = {c: own[w.lower()] + (own[s] if s else b"") for c, (w, s) in split.items()}
-        return found | {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False))}
+        self.parts[""] = b""
+        self.parts.update(plain_bytes([p for p in need if p not in self.parts], self.tokenizer))
+        get = self.parts.__getitem__
+        self.chunks.update((c, get(w) + get(s)) for c, w, s in split)
+        self.chunks.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)))
 
     def __call__(self, values: list[str]) -> list[bytes]:
-        cut = [CHUNK.findall(x) for x in values]
-        fresh = {c for doc in cut for c in doc if c not in self.chunks}
-        self.chunks.room_for(len(fresh))
-        found = self.fill(fresh if self.chunks else {c for doc in cut for c in doc})
-        self.chunks.update((c, b) for c, b in found.items() if len(c) <= 64)
-        get = (self.chunks | found).get if any(len(c) > 64 for c in found) else self.chunks.get
-        return [b"".join(map(get, doc)) for doc in cut]
+        cut = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in values]
+        distinct = set().union(*cut)
+        self.chunks.room_for(sum(c not in self.chunks for c in distinct))
+        self.chunks[""] = b""
+        fresh = [c for c in distinct if c not in self.chunks]
+        self.fill(fresh)
+        out = [b"".join(map(self.chunks.__getitem__, doc)) for doc in cut]
+        for c in fresh:
+            if len(c) > 64:
+                del self.chunks[c]
+        return out
 
 
 def pieces(docs: DataFrame, capacity: int, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
