@@ -37,6 +37,15 @@ def allowed(n: int) -> int:
     return int(EDIT_SHARE * n)
 
 
+def word_hash(word: str) -> int:
+    """Never 0, which is the blank: the walk can't leave it."""
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) | 1
+
+
+#: Stands for the places before a document's start; no word has a space.
+BEFORE = word_hash(" ")
+
+
 @lru_cache(maxsize=512)
 def walks(n: int) -> tuple[np.ndarray, np.ndarray, int]:
     """For items of ``n`` words: multipliers of the walk's bits (repetition, step), sampled steps, and the steps needed."""
@@ -88,7 +97,7 @@ class Items:
         self.words = [tokens(t) for _, t in rows]
         vocabulary = sorted({w for ws in self.words for w in ws})
         self.number = {w: k for k, w in enumerate(vocabulary, 1)}
-        self.hash = np.array([0] + [xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) | 1 for w in vocabulary], np.uint64)
+        self.hash = np.array([0] + [word_hash(w) for w in vocabulary], np.uint64)
         self.keys: list[np.ndarray] = []
         runs: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for k, ws in enumerate(self.words):
@@ -127,17 +136,25 @@ class Items:
                     found.setdefault(k, set()).add(p - j)
         return {k: np.array(sorted(s), np.int64) for k, s in found.items()}
 
+    def symbols(self, found: list[str], numbers: np.ndarray) -> np.ndarray:
+        """Symbols of a document's places from the one before its start to the one past its end: only the last is the blank."""
+        out = np.r_[np.uint64(BEFORE), self.hash[numbers], np.uint64(0)]
+        for p in np.flatnonzero(numbers == 0).tolist():
+            out[p + 1] = word_hash(found[p])
+        return out
+
     def matches(self, text: str) -> list[tuple[int, int]]:
         """(item, edits) of the items with a passage in ``text``."""
         found = tokens(text)
         get = self.number.get
         numbers = np.fromiter((get(w, 0) for w in found), np.int64, len(found))
-        out = []
+        out, symbol_of = [], None
         for k, starts in self.windows(numbers).items():
             n, d = len(self.words[k]), allowed(len(self.words[k]))
             place = starts[:, None] + np.arange(n)
-            inside = (place >= 0) & (place < len(numbers))
-            symbols = np.where(inside, self.hash[numbers[np.clip(place, 0, len(numbers) - 1)]], np.uint64(0))
+            if symbol_of is None:
+                symbol_of = self.symbols(found, numbers)
+            symbols = symbol_of[np.clip(place, -1, len(numbers)) + 1]
             near = (embed(symbols) == self.keys[k]).any(1)
             best = None
             for s in starts[near].tolist():

@@ -175,6 +175,22 @@ def test_decontamination_in_blocks(spark, docs, monkeypatch):
     assert text_of(decontamination.without_leaks(docs, bench)) == left
 
 
+def test_decontamination_of_first_words():
+    """A first word that no item has, a document that starts inside the passage, and edits anywhere, for short and long items."""
+    r = random.Random(5)
+    vocabulary = [f"v{k}" for k in range(3000)]
+    for n in (15, 30, 100, 200, 400, 500):
+        d, items = decontamination.allowed(n), [(k, " ".join(r.choices(vocabulary, k=n))) for k in range(20)]
+        block = decontamination.Items(items)
+        for k, t in items:
+            ws = t.split()
+            edited = ws.copy()
+            for p in r.sample(range(n), d):
+                edited[p] = f"unseen{p}"
+            for words in (["before", "unseen", *ws[1:], "after"], [*ws[1:], "after"], [*ws[d:], "after"], ["before", *edited, "after"]):
+                assert k in [i for i, _ in block.matches(" ".join(words))], (n, k)
+
+
 # 6
 @pytest.mark.parametrize("which", ["odd", "docs", "empty"])
 def test_packing(request, which):
