@@ -61,14 +61,28 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     root = Node("#root", None)
     root.index = 0
     nodes, stream, here, at, size = [root], [], root, 0, len(page)
+    opened: dict[str, int] = {}  # open elements of each name
+    scopes: dict[str, dict[Node, Node | None]] = {}  # by rule and element, what outermost() gives there; pages may be deep
 
     def close(node):
         nonlocal here
         while here is not node.parent:
+            opened[here.tag] -= 1
             if here.tag not in INLINE:
                 stream.append((here.index, None))
             here = here.parent
 
+    def outermost(rule, wanted, borders):
+        """The outermost open element of ``wanted`` within the nearest of ``borders``."""
+        known, node, below = scopes.setdefault(rule, {root: None}), here, []
+        while node not in known:
+            below.append(node)
+            node = node.parent
+        last = known[node]
+        for node in reversed(below):
+            last = known[node] = None if node.tag in borders else last or (node if node.tag in wanted else None)
+        return last
+
     while at < size:
         lt = page.find("<", at)
         m = TAG.match(page, lt) if lt >= 0 else None
@@ -85,10 +99,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         tag = tag.lower()
         if slash:
-            node = here
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
+            if opened.get(tag):
+                node = here
+                while node.tag != tag:
+                    node = node.parent
                 close(node)
             elif tag in ("p", "br") and not here.hidden:
                 stream.append((here.index, None))
@@ -98,16 +112,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 stream.append((here.index, " "))
             continue
         if tag in CLOSES_P or tag in SAME:
-            wanted, borders = (("p",), ("table", "button", "#root", "li", "td", "th")) if tag in CLOSES_P else (SAME[tag][0].split(), SAME[tag][1])
-            node, last = here, None
-            while node is not root and node.tag not in borders:
-                if node.tag in wanted:
-                    last = node
-                node = node.parent
+            rule, wanted, borders = ("p", ("p",), ("table", "button", "#root", "li", "td", "th")) if tag in CLOSES_P else (tag, SAME[tag][0].split(), SAME[tag][1])
+            last = outermost(rule, wanted, borders)
             if last is not None:
                 close(last)
-        if here.depth > 250 and tag not in RAW and tag not in VOID:
-            continue  # deeper elements belong to their ancestor
         tokens = ()
         hidden = here.hidden or tag in UNSEEN
         if rest:
@@ -134,6 +142,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             at = stop.end() if stop else size
         elif not rest.rstrip().endswith("/") or tag not in ("svg", "math", "path"):
             here = node
+            opened[tag] = opened.get(tag, 0) + 1
     return nodes, stream
 
 

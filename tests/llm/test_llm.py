@@ -76,6 +76,20 @@ def test_quality(spark, docs, odd, empty):
 
 
 # 2
+def test_html_of_deep_pages():
+    """No depth is a limit: elements far down keep their names and states, end tags close their own, and time stays linear."""
+    page = "<body>" + "<div>" * 1000 + "<nav>menu</nav><p hidden>secret</p><p>deep" + "</div>" * 1000 + "<article>after</article></body>"
+    nodes, stream = html_extract.parse(page)
+    assert Counter(x.tag for x in nodes)["div"] == 1000
+    at = {t: nodes[i] for i, t in stream if t}
+    assert [at[t].tag for t in ("menu", "deep", "after")] == ["nav", "p", "article"] and "secret" not in at
+    assert at["after"].parent.tag == "body" and at["menu"].depth == 1002
+    x, own = html_extract.describe(nodes, stream)
+    assert html_extract.decode(nodes, np.ones(len(nodes)), own)[at["deep"].index]
+    nodes, _ = html_extract.parse("<p><button><ul>" + "<div>" * 20000 + "<li>x" * 20000 + "</b>" * 20000)
+    assert Counter(x.tag for x in nodes) == {"#root": 1, "p": 1, "button": 1, "ul": 1, "div": 20000, "li": 20000}
+
+
 def test_html_extraction(spark):
     page = (
         "<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><div class='cookie-notice'><p>We use cookies</p></div>"
