@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import sums_below
+
 
 def interval_join(requests: DataFrame, facts: DataFrame, keys: list[str], width: int, *, req_ts: str = "req_ts", ts: str = "ts", forward: bool = False) -> DataFrame:
     """Facts of the same keys in [t - width, t), or [t, t + width) if ``forward``; requests without facts stay, with null facts.
@@ -26,15 +28,14 @@ def with_defaults(requests: DataFrame, aggregated: DataFrame, req_id: str, value
     return requests.join(aggregated, req_id, "left").fillna(values)
 
 
-def expanding(requests: DataFrame, facts: DataFrame, keys: list[str], aggs: dict[str, Column], *, req_id: str = "req_id", req_ts: str = "req_ts", ts: str = "ts", values: list[str] = ()) -> DataFrame:
-    """Aggregates over all earlier facts of the keys: one sorted stream of both per key, linear in rows.
+def expanding(requests: DataFrame, facts: DataFrame, keys: list[str], sums: dict[str, Column], *, req_id: str = "req_id", req_ts: str = "req_ts", ts: str = "ts", values: list[str] = ()) -> DataFrame:
+    """Sums over all earlier facts of the keys: ranges of (key, time) of both, with what earlier ranges add up to carried in.
 
-    ``aggs`` may use ``_fact`` (1 for facts) and the value columns; requests do not count themselves.
+    ``sums`` may use ``_fact`` (1 for facts) and the value columns; requests do not count themselves, nor do facts without a time.
     """
     left = requests.select(*keys, req_id, F.col(req_ts).alias("_t"), *[F.lit(None).cast(facts.schema[v].dataType).alias(v) for v in values], F.lit(0).alias("_fact"))
     right = facts.select(*keys, F.lit(None).cast(requests.schema[req_id].dataType).alias(req_id), F.col(ts).alias("_t"), *values, F.lit(1).alias("_fact"))
-    w = Window.partitionBy(*keys).orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)
-    return left.unionByName(right).select(req_id, "_fact", *[a.over(w).alias(n) for n, a in aggs.items()]).filter("_fact = 0").drop("_fact")
+    return sums_below(left.unionByName(right.filter("_t IS NOT NULL")), keys, "_t", sums).filter("_fact = 0").select(req_id, *sums)
 
 
 def unkeyed_window(requests: DataFrame, facts: DataFrame, width: int, bucket: int, value: str, *, req_id: str = "req_id", req_ts: str = "req_ts", ts: str = "ts") -> DataFrame:

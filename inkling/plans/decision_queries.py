@@ -9,6 +9,7 @@ from inkling.functions.scalar import epoch_s
 from inkling.operators import allocate as L
 from inkling.operators import metrics as V
 from inkling.operators import refresh as R
+from inkling.operators.ranges import previous, quantiles
 from inkling.sources.ingest import assign_pid, read
 from inkling.sources.storage import materialize, shared_dir
 from inkling.streaming import jobs
@@ -192,7 +193,7 @@ def d1(spark, d):
 @query("d3_middle_slice", "WITH b AS (SELECT quantile_cont(event_id, 0.25) AS lo, quantile_cont(event_id, 0.75) AS hi FROM events) SELECT event_id FROM events, b WHERE event_id >= lo AND event_id < hi")
 def d3(spark, d):
     e = read(spark, d, "events").select("event_id")
-    b = e.agg(F.percentile("event_id", F.lit(0.25)).alias("lo"), F.percentile("event_id", F.lit(0.75)).alias("hi"))  # one row
+    b = quantiles(e, "event_id", {"lo": 0.25, "hi": 0.75})  # one row
     return e.join(F.broadcast(b), (F.col("event_id") >= F.col("lo")) & (F.col("event_id") < F.col("hi"))).select("event_id")
 
 
@@ -231,7 +232,7 @@ def d10(spark, d):
     from inkling.functions.scalar import epoch_us
 
     e = read(spark, d, "events").select("event_id", epoch_us(F.col("ts")).alias("t"))
-    cut = e.agg(F.percentile("t", F.lit(0.5)).alias("cut"))  # one row
+    cut = quantiles(e, "t", {"cut": 0.5}, ["event_id"])  # one row
     marked = e.join(F.broadcast(cut))
     valid = marked.filter("t >= cut").orderBy("t", "event_id").limit(100).select("event_id", F.lit(True).alias("v"))
     return marked.join(F.broadcast(valid), "event_id", "left").select("event_id", F.when(F.col("t") < F.col("cut"), "train").when(F.col("v"), "valid").otherwise("test").alias("split"))
@@ -342,12 +343,9 @@ def r5(spark, d):
 
 @query("r6_r8_budgets", "WITH e AS (SELECT event_type, event_id, epoch_us(ts) // 1000000 AS t, lag(epoch_us(ts) // 1000000) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS p FROM events) SELECT event_id, cast(CASE WHEN p IS NULL THEN 1 ELSE floor((t - p) * 0.01) END AS BIGINT) AS budget, round((SELECT (count(*) - 1) / (max(t) - min(t)) FROM e), 9) AS advised FROM e")
 def r6(spark, d):
-    from pyspark.sql import Window
-
     e = read(spark, d, "events").select("event_type", "event_id", "ts", epoch_s(F.col("ts")).alias("req_ts"))
-    last = F.lag("req_ts").over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
     b = R.recommended_budget(e)  # one row
-    return e.withColumn("p", last).join(F.broadcast(b)).select("event_id", V.refresh_budget(F.col("req_ts"), F.col("p"), 0.01).alias("budget"), F.round("budget", 9).alias("advised"))
+    return previous(e, ["event_type"], ["ts", "event_id"], "req_ts", "p").join(F.broadcast(b)).select("event_id", V.refresh_budget(F.col("req_ts"), F.col("p"), 0.01).alias("budget"), F.round("budget", 9).alias("advised"))
 
 
 @query("r1_r2_r4_r7_serve_after_refresh", f"WITH {FB_SQL}, s AS (SELECT user_id, label_ts, least(sum(err), 20) AS e FROM fb WHERE label_ts <= {NOW} GROUP BY 1, 2), top AS (SELECT user_id FROM s GROUP BY 1 ORDER BY sum(e) DESC, user_id LIMIT 20), st AS (SELECT user_id, count(*)::DOUBLE AS n, avg(value) AS mean, {NOW} AS stored FROM events WHERE epoch_us(ts) // 1000000 < {NOW} AND user_id IN (SELECT user_id FROM top) GROUP BY 1), r AS (SELECT event_id AS req_id, user_id, epoch_us(ts) // 1000000 AS req_ts FROM events WHERE event_id % 50 = 0) SELECT req_id, coalesce(n, 0) AS n, round(coalesce(mean, 0), 5) AS mean, coalesce(stored, req_ts) AS stored_at FROM r LEFT JOIN st USING (user_id)")

@@ -35,7 +35,7 @@ def j2(spark, d):
 @query("j3_expanding_window", f"WITH {REQ} SELECT req_id, count(f.event_id) AS n, round(coalesce(sum(value), 0), 6) AS total FROM req LEFT JOIN f ON req.user_id = f.user_id AND req.event_type = f.event_type AND f.ts < req_ts GROUP BY req_id")
 def j3(spark, d):
     e = read(spark, d, "events")
-    out = J.expanding(requests(e), facts(e), ["user_id", "event_type"], {"n": F.sum("_fact"), "total": F.sum("value")}, values=["value"])
+    out = J.expanding(requests(e), facts(e), ["user_id", "event_type"], {"n": F.col("_fact"), "total": F.col("value")}, values=["value"])
     return rounded(out.select("req_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("total", F.lit(0.0)).alias("total")))
 
 
@@ -46,8 +46,9 @@ def j3(spark, d):
 def j4(spark, d):
     l = read(spark, d, "lineitem").select("l_suppkey", epoch_us(F.col("l_shipdate")).alias("ts"), "l_extendedprice")
     r = l.select("l_suppkey").distinct().withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(3)))).select("l_suppkey", (F.col("l_suppkey") * 100 + F.col("m")).alias("req_id"), (F.lit(820454400000000) + F.col("m") * 365 * DAY).alias("req_ts"))
-    out = J.expanding(r, l, ["l_suppkey"], {"n": F.sum("_fact"), "mean": F.avg("l_extendedprice")}, values=["l_extendedprice"])
-    return rounded(out.select("req_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("mean", F.lit(0.0)).alias("mean")), 3)
+    price = F.col("l_extendedprice")
+    out = J.expanding(r, l, ["l_suppkey"], {"n": F.col("_fact"), "total": price, "priced": F.when(price.isNotNull(), 1)}, values=["l_extendedprice"])
+    return rounded(out.select("req_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce(F.col("total") / F.col("priced"), F.lit(0.0)).alias("mean")), 3)
 
 
 @query("j5_group_lookup", f"WITH {REQ}, a AS (SELECT user_id, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM f GROUP BY 1, 2) SELECT req_id, n, mean FROM req JOIN a USING (user_id, event_type)")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkling.functions.hashing import pid
+from inkling.operators.ranges import row_numbers
 
 FOLDER_LABELS = ["normal", "6g", "10g", "15g", "20g", "25g", "30g"]
 
@@ -39,8 +40,7 @@ def with_metadata(rows: DataFrame, metadata: DataFrame, *, kind: str, file_col:
 
 def block_ids(df: DataFrame, file_col: str, seq_col: str, rows: int) -> DataFrame:
     """``bid``: blocks of ``rows`` rows of a file, numbered over its sequence column."""
-    w = Window.partitionBy(file_col).orderBy(seq_col)
-    return df.withColumn("bid", F.floor((F.row_number().over(w) - 1) / rows).cast("long"))
+    return row_numbers(df, [file_col], [seq_col], "bid").withColumn("bid", F.floor((F.col("bid") - 1) / rows).cast("long"))
 
 
 def assign_pid(df: DataFrame, key: list[str], nparts: int = 100, seed: int = 0) -> DataFrame:

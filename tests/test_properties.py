@@ -74,3 +74,29 @@ def test_step_gradient_spends_all_steps(spark):
     df = spark.createDataFrame(rows, "req_id int, qname string, qsample double, influence double, weight double, pvar double")
     out = L.step_gradient(df, 6, 0.1).collect()
     assert round(sum(r.qnext - r.qsample for r in out) / 0.1) == 6
+
+
+def test_hot_keys_are_spread(spark):
+    """Ranks, lags, sums and quantiles are those of plain windows, and no task takes all rows of a key."""
+    from pyspark.sql import Window
+
+    from inkling.operators import ranges as G
+    from inkling.plans import catalog
+
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 50 == 0, None).when(F.col("id") % 50 < 3, F.col("id") % 50).otherwise(9).alias("k"), F.floor(F.col("id") * 7919 % 3000 / 4).alias("t"), (F.col("id") % 11).alias("v"))
+    w = Window.partitionBy("k").orderBy("t", "id")
+    below = Window.partitionBy("k").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
+    got = {"row": G.row_numbers(rows, ["k"], ["t", "id"], "x"), "lag": G.previous(rows, ["k"], ["t", "id"], "v", "x"), "sum": G.sums_below(rows, ["k"], "t", {"x": F.col("v")})}
+    want = {"row": F.row_number().over(w), "lag": F.lag("v").over(w), "sum": F.sum("v").over(below)}
+    for n, df in got.items():
+        assert sorted(map(tuple, df.select("id", "x").collect())) == sorted(map(tuple, rows.select("id", want[n].alias("x")).collect()))
+    shares = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.977, "e": 1.0}
+    for c, ties in (("id", []), ("t", ["id"]), ("v", ["id"])):
+        exact = rows.agg(*[F.percentile(c, F.lit(p)).alias(n) for n, p in shares.items()]).first()
+        assert max(abs(a - b) for a, b in zip(G.quantiles(rows, c, shares, ties).first(), exact)) < 1e-9
+    assert tuple(G.quantiles(rows.filter("id < 0"), "id", {"a": 0.5}).first()) == (None,)
+    assert max(r["count"] for r in G.dealt(rows.filter("k = 9"), ["k", "t", "id"]).groupBy("_part").count().collect()) < 2000
+    data = "/root/testdata/sf0.001"
+    for q in ("d3_middle_slice", "d10_d11_time_split", "s6_block_ids", "r6_r8_budgets", "j3_expanding_window", "j4_prefix_in_group"):
+        plan = catalog.QUERIES[q](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+        assert "_part" in plan and "percentile(" not in plan, q
