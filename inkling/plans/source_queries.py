@@ -134,10 +134,11 @@ def s15(spark, d):
 
 @query("s16_dataset_sinks", "SELECT event_id AS req_id, value AS f_value FROM events WHERE event_id % 10 = 0 UNION ALL SELECT event_id, value FROM events WHERE event_id % 10 = 0")
 def s16(spark, d):
-    rows, path = _events(spark, d).filter("event_id % 10 = 0").select(F.col("event_id").alias("req_id"), F.col("value").alias("f_value")), shared_dir(spark)
+    rows, path = _events(spark, d).select(F.col("event_id").alias("req_id"), F.col("value").alias("f_value")), shared_dir(spark)
     S.write_dataset(rows, f"{path}/csv", "csv")
     S.write_dataset(rows, f"{path}/json", "json")
-    return spark.read.schema(rows.schema).option("header", True).csv(f"{path}/csv").unionByName(spark.read.schema(rows.schema).json(f"{path}/json"))
+    both = spark.read.schema(rows.schema).option("header", True).csv(f"{path}/csv").unionByName(spark.read.schema(rows.schema).json(f"{path}/json"))
+    return both.filter("req_id % 10 = 0")  # the sinks hold all events; the SQL asks for these
 
 
 @query(

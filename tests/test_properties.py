@@ -100,3 +100,13 @@ def test_hot_keys_are_spread(spark):
     for q in ("d3_middle_slice", "d10_d11_time_split", "s6_block_ids", "r6_r8_budgets", "j3_expanding_window", "j4_prefix_in_group"):
         plan = catalog.QUERIES[q](spark, data)._jdf.queryExecution().optimizedPlan().toString()
         assert "_part" in plan and "percentile(" not in plan, q
+
+
+def test_sinks_hold_all_events(spark, monkeypatch):
+    from inkling.plans import catalog
+
+    data, written, write = "/root/testdata/sf0.001", [], S.write_dataset
+    monkeypatch.setattr(S, "write_dataset", lambda df, path, fmt="parquet": (written.append((path, fmt)), write(df, path, fmt)))
+    catalog.QUERIES["s16_dataset_sinks"](spark, data)
+    size = S.read(spark, data, "events").count()
+    assert [(f, spark.read.option("header", True).format(f).load(p).count()) for p, f in written] == [("csv", size), ("json", size)]
