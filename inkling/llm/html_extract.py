@@ -29,8 +29,15 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 SAME = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 
-TAG = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+#: An attribute as browsers read it: any name up to a space, slash, end or equals sign; a value in quotes, or up to a space or the end.
+#: A quote that is never closed is part of a name, so the tag ends at its first ">".
+NAME = r"[^\s/>][^\s/>=]*+"
+VALUE = r"\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+|(?=>)"
+ATTRIBUTE = re.compile(rf"({NAME})(?:\s*+=\s*+({VALUE}))?+")
+TAG = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|</(?![a-zA-Z])[^>]*>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{NAME}(?:\s*+=\s*+(?:{VALUE}))?+)*+)(?:>|\Z)", re.S)
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+TOKEN = re.compile(r"[a-z0-9]+")
+UNDISPLAYED = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SPACE = re.compile(r"\s+")
 
 #: Groups of attribute tokens that features count.
@@ -119,14 +126,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         tokens = ()
         hidden = here.hidden or tag in UNSEEN
         if rest:
-            found = []
+            given: dict[str, str] = {}
             for name, value in ATTRIBUTE.findall(rest):
-                name, value = name.lower(), value.strip("\"'").lower()
-                if name in ("class", "id", "role"):
-                    found += re.findall(r"[a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value))
-                elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                    hidden = hidden or " hidden" in f" {rest.lower()}" or name != "hidden"
-            tokens = tuple(found)
+                given.setdefault(name.lower(), html_lib.unescape(value[1:-1] if value[:1] in ("'", '"') else value))  # the first of a name counts
+            hidden = hidden or "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true" or bool(UNDISPLAYED.search(given.get("style", "")))
+            tokens = tuple(t for name in ("class", "id", "role") if name in given for t in TOKEN.findall(CAMEL.sub(" ", given[name]).lower()))
         if tag in VOID:
             if tag == "hr" and not here.hidden:
                 stream.append((here.index, None))
@@ -138,7 +142,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if tag not in INLINE:
             stream.append((here.index, None))
         if tag in RAW:
-            stop = re.compile(rf"</{tag}\s*/?>", re.I).search(page, at)
+            stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = stop.end() if stop else size
         elif not rest.rstrip().endswith("/") or tag not in ("svg", "math", "path"):
             here = node

@@ -53,18 +53,20 @@ def train_dictionary(pages: DataFrame) -> bytes:
 def verdicts(pages: DataFrame) -> DataFrame:
     """``pages`` with payload_bytes, payload_digest, first_id and first_url (the response that equal payloads refer to; null: itself).
 
-    Only digests found twice are joined, from a written table, so that a frequent digest is split by adaptive execution.
+    Only digests found twice are joined, from a written table, so that a frequent digest is split by adaptive execution; payloads
+    too small for a revisit get keys of their own, so that an empty page that is found everywhere makes no hot key.
     """
     html = F.coalesce("html", F.lit(""))
     marked = pages.select(F.col("page_id").cast("long"), "url", "html", F.octet_length(html).cast("long").alias("payload_bytes"), F.sha2(html, 256).alias("payload_digest"))
     heads = materialize(
         marked.filter(F.col("payload_bytes") >= MIN_REVISIT)
         .groupBy("payload_digest")
-        .agg(F.min(F.struct("page_id", "url")).alias("first"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count("page_id").alias("n"))
         .filter(F.col("n") > 1)
-        .select("payload_digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
+        .select(F.col("payload_digest").alias("key"), F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
     )
-    return marked.join(heads, "payload_digest", "left")
+    key = F.when(F.col("payload_bytes") >= MIN_REVISIT, F.col("payload_digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
+    return marked.withColumn("key", key).join(heads, "key", "left")
 
 
 def record_id(page_id: int | None) -> str:
@@ -73,7 +75,7 @@ def record_id(page_id: int | None) -> str:
 
 def record_bytes(page_id, url, html, size, digest, first_id, first_url) -> bytes:
     """One WARC/1.1 record: a revisit has the HTTP header alone, a response the payload too."""
-    revisit = first_id is not None and first_id != page_id
+    revisit = None not in (first_id, page_id) and first_id != page_id
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if revisit else http + (html or "").encode("utf-8", "surrogatepass")
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Page-ID: {'' if page_id is None else page_id}"]
@@ -189,8 +191,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 def archive(pages: DataFrame) -> DataFrame:
     """Write every page as a record and read the archives back.
 
-    Null html is an empty payload. Of equal payloads of MIN_REVISIT bytes or more the smallest page_id is the response (a null
-    page_id comes first and counts as one page); rows that repeat that page_id are responses too. An empty table has no archive.
+    Null html is an empty payload. Of equal payloads of MIN_REVISIT bytes or more the smallest page_id is the response; rows
+    that repeat that page_id and rows without one are responses too. An empty table has no archive. Other columns are ignored.
     """
     folder = f"{shared_dir(pages.sparkSession)}/archives"
     manifest = write_archives(verdicts(pages), folder, train_dictionary(pages))
