@@ -18,8 +18,8 @@ from .common import arrow_schema, batch_of, table
 #: Families of languages (a parameter); a language that is not listed is a family of its own.
 FAMILIES = {"germanic": ("en", "de", "nl", "sv", "da", "no", "is", "af"), "romance": ("fr", "es", "it", "pt", "ca", "ro", "gl"), "slavic": ("ru", "pl", "cs", "sk", "uk", "bg", "sr", "hr", "sl")}
 
-#: Bound of the sample: labelled rows of each language, and characters of each of them used for fitting.
-ROWS_PER_LANGUAGE, FIT_CHARS = 400, 4000
+#: Bound of the sample: labelled rows of each language. Their texts are used whole.
+ROWS_PER_LANGUAGE = 400
 
 BUCKETS = 1 << 13
 UNDETERMINED = "und"
@@ -63,13 +63,12 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def features(texts: list[str]) -> np.ndarray:
-    """Shares of n-grams, one row a text; only for the bounded sample."""
-    x = np.zeros((len(texts), BUCKETS), np.float32)
+def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text its buckets and their shares of its n-grams."""
     b, t = ngram_buckets(texts)
-    np.add.at(x, (t, b.astype(np.int64)), np.float32(1))
-    x /= np.maximum(x.sum(1, keepdims=True), 1)
-    return x
+    found, counts = np.unique(t.astype(np.int64) * BUCKETS + b.astype(np.int64), return_counts=True)
+    cuts = np.searchsorted(found, np.arange(1, len(texts)) * BUCKETS)
+    return [(f % BUCKETS, n / max(1, n.sum())) for f, n in zip(np.split(found, cuts), np.split(counts, cuts))]
 
 
 def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 15) -> tuple[np.ndarray, float]:
@@ -96,12 +95,14 @@ def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 15)
 class Model:
     """Family and pair classifiers; each is a weight for every bucket and a bias, scored as a mean over n-grams."""
 
-    def __init__(self, texts: list[str], langs: list[str]):
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str]):
         self.langs = sorted(set(langs))
         family = {lang: next((f for f, members in FAMILIES.items() if lang in members), lang) for lang in self.langs}
         self.families = sorted(set(family.values()))
         self.members = {f: [x for x in self.langs if family[x] == f] for f in self.families}
-        x, y = features(texts), np.array(langs)
+        x, y = np.zeros((len(rows), BUCKETS), np.float32), np.array(langs)
+        for i, (bucket, part) in enumerate(rows):
+            x[i, bucket] = part
         of = np.array([family[lang] for lang in langs])
         self.tasks: list[tuple[str, str, str]] = []
         weights, bias = [], []
@@ -139,40 +140,55 @@ class Model:
                     votes[one if p[i, k] >= 0.5 else two][0] += 1
                     votes[one][1] += p[i, k]
                     votes[two][1] += 1 - p[i, k]
-            lang = max(votes, key=lambda x: votes[x])
+            lang = max(sorted(votes), key=votes.get)
             rivals = len(votes) - 1
             langs.append(lang)
             scores.append(float(share.get(best, 1.0) * (votes[lang][1] / rivals if rivals else 1.0)))
         return langs, scores
 
 
+SAMPLE = arrow_schema("lang string,h long,buckets binary,shares binary")
+
+
 def training_sample(docs: DataFrame) -> DataFrame:
-    """(text, lang): per language the ROWS_PER_LANGUAGE labelled rows with the smallest hash of their id, outside the held-out fold.
+    """(lang, h, buckets, shares): n-grams of some ROWS_PER_LANGUAGE labelled texts of each language, chosen by hash of id and text.
 
-    A first pass counts ids by language without reading texts; a second fetches the texts below each language's share of the
-    hash range. The bound holds up to chance (about 20 rows either way).
+    Rows of the held-out fold, without id, label or letters take no part. A first pass counts different rows by language
+    (approximately), a second featurises the whole texts below each language's share of the hash range in the tasks, so that the
+    driver gets BUCKETS shares a row at most. Repeated rows count once. The bound holds up to chance and the count's error.
     """
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    hashed = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    # All rows of a small language.
-    sizes = {r.lang: r.n for r in hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    limits = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, ROWS_PER_LANGUAGE / n))]) if sizes else F.lit(None)
-    place = (F.pmod(F.col("h"), F.lit(1 << 40)) / F.lit(float(1 << 40))).alias("place")
-    chosen = known.select("text", "lang", F.xxhash64("doc_id").alias("h")).filter(place < limits[F.col("lang")]) if sizes else known.select("text", "lang", F.lit(0).cast("long").alias("h"))
-    return chosen.select(F.substring("text", 1, FIT_CHARS).alias("text"), "lang", "h")
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("text", "lang", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"))
+    # One row for each language.
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
+    if not sizes:
+        return docs.sparkSession.createDataFrame([], "lang string, h long, buckets binary, shares binary")
+    limits = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, ROWS_PER_LANGUAGE / max(1, n)))])
+    place = F.pmod(F.col("h"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+    def featurise(batches):
+        for b in batches:
+            rows = [r for r in zip(*(b.column(c).to_pylist() for c in ("lang", "h", "text"))) if has_letter(r[2])]
+            found = features([t.replace("\0", " ") for *_, t in rows])
+            yield batch_of(SAMPLE, [r[0] for r in rows], [r[1] for r in rows], [k.astype("<u4").tobytes() for k, _ in found], [v.astype("<f4").tobytes() for _, v in found])
+
+    chosen = known.filter(place < limits[F.col("lang")])
+    return chosen.mapInArrow(featurise, "lang string, h long, buckets binary, shares binary").dropDuplicates(["lang", "h"])
 
 
 def fit(docs: DataFrame) -> Model:
-    rows = sorted(training_sample(docs).collect(), key=lambda r: (r.lang, r.h, r.text))  # about ROWS_PER_LANGUAGE rows a language
-    rows = [r for r in rows if has_letter(r.text)]
-    return Model([r.text for r in rows], [r.lang for r in rows])
+    rows = sorted(training_sample(docs).collect(), key=lambda r: (r.lang, r.h))  # about ROWS_PER_LANGUAGE rows a language
+    return Model([(np.frombuffer(r.buckets, "<u4").astype(np.int64), np.frombuffer(r.shares, "<f4")) for r in rows], [r.lang for r in rows])
 
 
 OUT = arrow_schema("lang_pred string,score double")
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (without columns of these names) with lang_pred and score; ``und`` and 0 for null texts and texts without letters."""
+    """``docs`` with lang_pred and score, in place of columns of these names; ``und`` and 0 for null texts and texts without letters.
+
+    The family of the highest share wins, then the language of most votes, then of the highest sum of shares, then the first
+    by name. Repeated rows are scored each, texts of any length whole.
+    """
     base = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights for each classifier
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", lang_pred string, score double"
@@ -194,6 +210,14 @@ def op10_language_id(spark, sf_dir: str) -> DataFrame:
 
 
 def accepted(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
-    """``docs`` without the rows that get ``und`` or a score under ``min_score``."""
-    found = predict(docs, fit(docs))
-    return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select(*docs.columns)
+    """``docs`` without the rows that get ``und`` or a score under ``min_score``. All columns are carried, of whatever names."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs))  # BUCKETS weights for each classifier
+
+    def keep(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            langs, scores = shared.value.predict([(x or "").replace("\0", " ") for x in b.column("text").to_pylist()])
+            yield b.filter(pa.array([lang != UNDETERMINED and s >= min_score for lang, s in zip(langs, scores)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, arrow_schema, batch_of, materialize, row_id, shuffle_partitions, table
+from .common import ASCII_SPACE, arrow_schema, batch_of, materialize, row_id, shuffle_partitions, table, unused
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -29,8 +29,8 @@ def line_key(line: Column) -> Column:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """Row keys: repeated ids with other texts stay apart, equal rows share their verdicts. Null ids come first."""
-    return docs.withColumns({"_id": row_id(), "_tkey": F.xxhash64("text")})
+    """(_id, _tkey, text) of every row: repeated ids with other texts stay apart, equal rows share their verdicts. Null ids come first."""
+    return docs.select(row_id().alias("_id"), F.xxhash64("text").alias("_tkey"), "text")
 
 
 STREAM = arrow_schema("kind int,h1 long,h2 long,_id long,_tkey long,pos int")
@@ -98,6 +98,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
         .select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "_id", "_tkey", "pos")
     )
     order = ["h1", "h2", "_id", "_tkey", "pos"]
+    lines = materialize(lines)  # range partitioning reads its input twice, once to find the ranges
     streamed = materialize(lines.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_stream, STREAM_DDL))
     # At most two hashes for each partition.
     heads = streamed.filter(F.col("kind") != DROP).groupBy("h1", "h2").agg(F.min("_id").alias("head"))
@@ -106,9 +107,11 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     return drops.groupBy("_id", "_tkey").agg(F.collect_set("pos").alias("positions")).mapInArrow(_pack, "_id long, _tkey long, bitmap binary")
 
 
-def with_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
-    """``docs`` with a ``bitmap`` column, null where every line stays. The text is shuffled once."""
-    return keyed(docs).join(keep_bitmaps(docs, min_chars), ["_id", "_tkey"], "left").drop("_id", "_tkey")
+def with_bitmaps(docs: DataFrame, min_chars: int = 10, bitmap: str = "bitmap") -> DataFrame:
+    """``docs`` with a column named ``bitmap``, null where every line stays. The text is shuffled once; no other column is touched."""
+    i, t = unused(docs, "_id", "_tkey")
+    maps = keep_bitmaps(docs, min_chars).toDF(i, t, bitmap)
+    return docs.withColumns({i: row_id(), t: F.xxhash64("text")}).join(maps, [i, t], "left").drop(i, t)
 
 
 def kept_text(text: str | None, bitmap: bytes | None) -> tuple[int, int, str]:
@@ -139,18 +142,18 @@ KEPT = arrow_schema("text string,n_chars long")
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
-    """``docs`` with the text (and n_chars) that stays. Null texts stay null; other columns are carried."""
-    marked = with_bitmaps(docs, min_chars)
-    schema = docs.schema
+    """``docs`` with the text (and n_chars) that stays. Null texts stay null; other columns, of whatever names, are carried."""
+    schema, (bitmap,) = docs.schema, unused(docs, "bitmap")
+    marked = with_bitmaps(docs, min_chars, bitmap)
 
     def apply(batches):
         for b in batches:
             old = b.column("text").to_pylist()
-            new = [t if m is None else kept_text(t, m)[2] for t, m in zip(old, b.column("bitmap").to_pylist())]
-            b = b.drop_columns(["bitmap"])
+            new = [t if m is None else kept_text(t, m)[2] for t, m in zip(old, b.column(bitmap).to_pylist())]
+            b = b.drop_columns([bitmap])
             b = b.set_column(b.schema.get_field_index("text"), "text", pa.array(new, pa.string()))
             if "n_chars" in b.schema.names:
                 b = b.set_column(b.schema.get_field_index("n_chars"), "n_chars", pa.array([None if x is None else len(x) for x in new], pa.int64()))
             yield b
 
-    return marked.select(*docs.columns, "bitmap").mapInArrow(apply, schema)
+    return marked.select(*docs.columns, bitmap).mapInArrow(apply, schema)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch_of, materialize, row_id, table, texts, words
+from .common import arrow_schema, batch_of, materialize, row_id, shuffle_partitions, table, texts, unused, words
 
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 PAIRS = ((0, 1), (0, 2), (1, 2))
@@ -113,8 +113,8 @@ def with_fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 def links(prints: DataFrame, bits: int = 3, dense: int = 2048) -> DataFrame:
     """(a, b), a < b: every two different fingerprints at ``bits`` (at most three) or fewer bits, as needed for components.
 
-    ``prints`` has distinct ``fp``. Fingerprints of buckets with more than ``dense`` members, where pairs would grow with the
-    square, meet at words instead: u reaches all words within one bit, v all within two, so a word reached by some u at
+    ``prints`` has distinct ``fp``. Fingerprints of buckets with more than ``dense`` members on either side, where pairs would grow with the
+    square, meet at words instead: u reaches all words within one bit, v all within two (fewer for fewer bits), so a word reached by some u at
     one bit joins everything that reaches it. That is linear in members and loses no link.
     """
 
@@ -128,30 +128,33 @@ def links(prints: DataFrame, bits: int = 3, dense: int = 2048) -> DataFrame:
                 if sum(n):
                     yield batch_of(keys, np.repeat(fp, n), np.full(sum(n), side, np.int32), np.concatenate(lists).astype(np.int32))
 
-    all_keys = prints.select("fp").mapInArrow(keyed, "fp long, side int, key int")
-    if bits != 3:
-        dense = 2**62
+    if bits < 1:
+        return prints.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
+    # Fingerprints are few in bytes and lie in few files, keys are many: they are made in as many tasks as a shuffle has, once.
+    all_keys = materialize(prints.select("fp").repartition(shuffle_partitions(prints.sparkSession)).mapInArrow(keyed, "fp long, side int, key int"))
     left, right = (all_keys.filter(F.col("side") == s).select("key", F.col("fp").alias(x)) for s, x in ((0, "a"), (1, "b")))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
-    crowded = materialize(left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > dense))
+    sizes = all_keys.groupBy("key").agg(F.count_if(F.col("side") == 0).alias("n"), F.count_if(F.col("side") == 1).alias("m"))
+    crowded = materialize(sizes.filter(F.greatest("n", "m") > dense).select("key"))
     if crowded.isEmpty():
         return left.join(right, "key").filter(near & (F.col("a") < F.col("b"))).select("a", "b").distinct()
-    left = left.join(crowded.select("key"), "key", "left_anti")
+    left = left.join(crowded, "key", "left_anti")
     pairs = left.join(right, "key").filter(near & (F.col("a") < F.col("b"))).select("a", "b")
     members = materialize(all_keys.join(crowded, "key", "left_semi").select("fp").distinct())
-    return pairs.union(ball_links(members)).distinct()
+    return pairs.union(ball_links(members, bits)).distinct()
 
 
-def ball_links(members: DataFrame) -> DataFrame:
-    """Links that join the components of distances up to three among ``members``, by words within one and two bits."""
-    one = np.array([0] + [1 << i for i in range(64)], np.uint64).view(np.int64)
-    two = np.array([1 << i | 1 << j for i in range(64) for j in range(i)], np.uint64).view(np.int64)
+def ball_links(members: DataFrame, bits: int = 3) -> DataFrame:
+    """Links that join the components of distances up to ``bits`` (1 to 3) among ``members``, by words within half of it and the other half."""
+    flips = [np.array(x, np.uint64).view(np.int64) for x in ([0], [1 << i for i in range(64)], [1 << i | 1 << j for i in range(64) for j in range(i)])]
+    one, two = bits // 2, bits - bits // 2
+    all_flips, inner = np.concatenate(flips[: two + 1]), sum(map(len, flips[: one + 1]))
     ball = arrow_schema("word long,fp long,near int")
 
     def reach(batches):
         for b in batches:
             for fp in b.column("fp").to_numpy():
-                yield batch_of(ball, np.r_[one, two] ^ fp, np.full(len(one) + len(two), fp), np.r_[np.ones(len(one)), np.zeros(len(two))].astype(np.int32))
+                yield batch_of(ball, all_flips ^ fp, np.full(len(all_flips), fp), (np.arange(len(all_flips)) < inner).astype(np.int32))
 
     words_ = members.select("fp").mapInArrow(reach, "word long, fp long, near int")
     hubs = words_.groupBy("word").agg(F.min("fp").alias("a"), F.max("near").alias("near"), F.count(F.lit(1)).alias("n")).filter((F.col("near") == 1) & (F.col("n") > 1))
@@ -205,4 +208,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     found = near_duplicates(docs)
     keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("_id", "_tkey").distinct()
-    return docs.withColumns({"_id": row_id(), "_tkey": F.xxhash64("text")}).join(keep, ["_id", "_tkey"], "left_semi").select(*docs.columns)
+    i, t = unused(docs, "_id", "_tkey")
+    return docs.withColumns({i: row_id(), t: F.xxhash64("text")}).join(keep.toDF(i, t), [i, t], "left_semi").select(*docs.columns)

@@ -359,7 +359,10 @@ def test_simhash_links_and_crowded_buckets(spark):
     want = {(min(a, b), max(a, b)) for a in signed for b in signed if a != b and ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
     assert {tuple(x) for x in simhash.links(prints).collect()} == want
     roots = lambda e: sorted(map(tuple, simhash.components(e).collect()))
-    assert roots(simhash.links(prints, dense=2)) == roots(simhash.links(prints))
+    for bits in (1, 2, 3):
+        want = {(min(a, b), max(a, b)) for a in signed for b in signed if a != b and ((a ^ b) & (2**64 - 1)).bit_count() <= bits}
+        assert {tuple(x) for x in simhash.links(prints, bits).collect()} == want
+        assert roots(simhash.links(prints, bits, dense=2)) == roots(simhash.links(prints, bits))
 
 
 # 8
@@ -412,6 +415,45 @@ def test_language_id(spark, docs, odd, empty):
     assert language_id.fit(empty).langs == [] and {r.lang_pred for r in language_id.predict(odd, language_id.fit(empty)).collect()} == {"und"}
 
 
+def test_language_id_of_repeated_ids(spark, docs):
+    """Rows of one id are chosen one by one, equal rows count once, and the sample stays near its bound."""
+    some = docs.filter("text is not null and lang is not null and not (crc32(cast(doc_id as string)) % 4 = 2)").select("text", "lang")
+    one_id = some.select(F.lit(3).cast("long").alias("doc_id"), "text", "lang")
+    copies = spark.range(3000).select(F.lit(4).cast("long").alias("doc_id"), F.lit("the same words again").alias("text"), F.lit("en").alias("lang"))
+    keep = [i for i in range(50) if zlib.crc32(str(i).encode()) % 4 != 2][0]
+    both = one_id.withColumn("doc_id", F.lit(keep).cast("long")).union(copies.withColumn("doc_id", F.lit(keep).cast("long")))
+    sample = language_id.training_sample(both)
+    want = {(r.lang, r.text) for r in both.distinct().collect() if language_id.has_letter(r.text)}
+    assert sample.count() <= len(want) and set(language_id.fit(both).langs) == {g for g, _ in want}
+
+
+def test_op10_on_the_held_out_fold(spark):
+    """The registered query: every document once, the fold by crc32, languages of the labels, and accuracy on the held-out fold."""
+    docs = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    out = language_id.op10_language_id(spark, "/root/testdata/sf0.01").collect()
+    assert sorted(r.doc_id for r in out) == sorted(docs)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in out)
+    assert all((r.lang_pred == "und") == (not any(map(str.isalpha, docs[r.doc_id].text or ""))) for r in out)
+    held = [r for r in out if r.held_out and docs[r.doc_id].lang and len(docs[r.doc_id].text or "") > 40]
+    assert sum(r.lang_pred == docs[r.doc_id].lang for r in held) >= 0.98 * len(held) > 100
+
+
+CLASHES = "bitmap _id _tkey score lang_pred fp node root component_id part rank key side a b kind h1 h2 pos positions leak lang_pred_ bitmap_".split()
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    import corpus_pipeline as P
+
+    base = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
+    plain, clash = base, base.select("*", *[F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")).alias(c) for c in CLASHES])
+    for name, stage in P.STAGES[:-1]:
+        want, got = stage(spark, plain, DATA), P.materialize(stage(spark, clash, DATA))
+        assert got.columns == clash.columns, name
+        assert Counter(map(tuple, got.select(*plain.columns).collect())) == Counter(map(tuple, want.collect())), name
+        assert all(r[c] == f"{c} of {r.doc_id}" for r in got.collect() for c in CLASHES), name
+    assert P.STAGES[-1][1](spark, clash, DATA).count() == P.STAGES[-1][1](spark, plain, DATA).count()
+
+
 # pipeline
 def test_pipeline(spark):
     import corpus_pipeline as P
