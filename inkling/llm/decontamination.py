@@ -1,15 +1,17 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH.
 
-Passages within a fifth of an item's words (edit distance on words) are searched in every document. A passage with at most
-d edits shares an unbroken run of n // (d + 1) words with an item of n words, so item-sized windows are laid where such a run
-matches; this loses nothing. The CGK random walk embeds windows and items so that few edits become few differing symbols;
-repeated samples of symbols are compared, and windows that agree with their item in one repetition are verified exactly.
+Passages within a fifth of an item's words (edit distance on words) are searched in every document. An item of n words with d
+edits allowed has more than d anchor words, its rarest ones, so a passage keeps one of them, and item-sized windows are laid
+around the anchors of a document alone. From either side of an anchor the CGK random walk embeds the window, so that few edits
+become few differing symbols; repeated samples of its symbols are keys, windows and items meet where a key is equal (the only
+source of candidates), and what meets is verified exactly.
 """
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +23,15 @@ from .common import arrow_schema, batch_of, materialize, table, texts
 
 WORD = re.compile(r"\w+")
 
-#: Share of an item's words that may be edited; repetitions and symbols of each sample.
-EDIT_SHARE, REPETITIONS, SAMPLED = 0.2, 96, 1
+#: Share of an item's words that may be edited; repetitions, symbols of each sample, and the steps that samples are drawn from.
+EDIT_SHARE, REPETITIONS, SAMPLED, STEPS = 0.2, 24, 2, 8
 
 #: Items matched in one pass over the documents; more items take further passes.
 BLOCK_ITEMS = 50_000
 
+#: Windows embedded at once.
+BLOCK_WINDOWS = 1 << 15
+
 
 def tokens(text: str) -> list[str]:
     return WORD.findall(text.lower())
@@ -37,44 +42,34 @@ def allowed(n: int) -> int:
     return int(EDIT_SHARE * n)
 
 
-def word_hash(word: str) -> int:
-    """Never 0, which is the blank: the walk can't leave it."""
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) | 1
-
-
-#: Stands for the places before a document's start; no word has a space.
-BEFORE = word_hash(" ")
+def walk_steps(n: int) -> int:
+    """Steps of the walks around an anchor of an item of ``n`` words: either side of some anchor has as many words."""
+    return min(STEPS, 1 << (((n - 1) // 2).bit_length() - 1)) if n > 2 else 0
 
 
-@lru_cache(maxsize=512)
-def walks(n: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """For items of ``n`` words: multipliers of the walk's bits (repetition, step), sampled steps, and the steps needed."""
-    rng = np.random.default_rng(n)
-    sampled = np.sort(rng.integers(0, max(1, 2 * n), (REPETITIONS, SAMPLED)), axis=1)
-    steps = int(sampled.max()) + 1
-    return rng.integers(0, 2**63, (REPETITIONS, steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1), sampled, steps
+def walks(steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multipliers of the walk's bits (step, repetition) and the sampled steps (repetition, sample)."""
+    rng = np.random.default_rng(steps)
+    return rng.integers(0, 2**63, (steps, REPETITIONS), dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, max(1, steps), (REPETITIONS, SAMPLED))
 
 
-def embed(windows: np.ndarray) -> np.ndarray:
-    """Sampled symbols of the CGK embeddings of equal-sized windows (rows of word hashes): (windows, repetitions), mixed to one number.
+def sketch(symbols: np.ndarray, anchors: np.ndarray, steps: int, side: int) -> np.ndarray:
+    """Keys (anchors, repetitions) of the walks that leave places ``anchors`` of ``symbols`` to the right (side 1) or left (-1).
 
-    At each step the walk outputs the word it stands on and moves on if a random bit of (repetition, step, word) is set;
-    past the end it outputs a blank.
+    At each step a walk stands on a word, and moves on if a random bit of (repetition, step, word) is set. A key mixes the
+    repetition, the side, the anchor and the words at the sampled steps.
     """
-    rows, n = windows.shape
-    factor, sampled, steps = walks(n)
-    padded = np.c_[windows, np.zeros(rows, np.uint64)]
-    out = np.zeros((rows, REPETITIONS), np.uint64)
-    here = np.arange(rows)[:, None]
-    at = np.zeros((rows, REPETITIONS), np.int64)
+    factor, sampled = walks(steps)
+    key = np.repeat(symbols[anchors][:, None], REPETITIONS, 1) + np.arange(REPETITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(side > 0)
+    at = np.repeat(anchors[:, None] + side, REPETITIONS, 1)
     for t in range(steps):
-        symbol = padded[here, np.minimum(at, n)]
+        symbol = symbols[at]
+        times = (sampled == t).sum(1)
         for k in range(SAMPLED):
-            pick = sampled[:, k] == t
-            if pick.any():
-                out[:, pick] = out[:, pick] * np.uint64(0x100000001B3) + symbol[:, pick] + np.uint64(1)
-        at += (symbol * factor[:, t] >> np.uint64(63)).astype(np.int64)
-    return out
+            pick = np.flatnonzero(times > k)
+            key[:, pick] = (key[:, pick] ^ symbol[:, pick]) * np.uint64(0x9E3779B97F4A7C15)
+        at += side * (symbol * factor[t] >> np.uint64(63)).astype(np.int64)
+    return key ^ key >> np.uint64(29)
 
 
 def edits(item: list[str], region: list[str], limit: int) -> int | None:
@@ -90,81 +85,94 @@ def edits(item: list[str], region: list[str], limit: int) -> int | None:
 
 
 class Items:
-    """Searchable form of a block of items: word numbers, their runs, and embedded samples."""
+    """Searchable form of a block of items: word numbers, anchors, and a table of keys for each length of walk."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.ids = [i for i, _ in rows]
         self.words = [tokens(t) for _, t in rows]
-        vocabulary = sorted({w for ws in self.words for w in ws})
-        self.number = {w: k for k, w in enumerate(vocabulary, 1)}
-        self.hash = np.array([0] + [word_hash(w) for w in vocabulary], np.uint64)
-        self.keys: list[np.ndarray] = []
-        runs: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        self.bags = [Counter(ws) for ws in self.words]
+        common = Counter(w for bag in self.bags for w in bag)
+        self.number = {w: k for k, w in enumerate(sorted(common), 1)}
+        rng = np.random.default_rng(0)
+        #: Symbols of the words, and of words of no item: those only must differ from item words, so they go by place.
+        self.symbol = np.array([0] + [xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) | 1 for w in self.number], np.uint64)
+        self.strangers = rng.integers(1, 2**63, 1 << 12, dtype=np.uint64) * np.uint64(2)
+        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        groups = [(steps, side) for steps in sorted({walk_steps(len(ws)) for ws in self.words if ws}) for side in ((1, -1) if steps else (1,))]
+        self.anchored = {g: np.zeros(len(self.number) + 1, bool) for g in groups}
         for k, ws in enumerate(self.words):
-            if not ws:
-                self.keys.append(np.zeros(REPETITIONS, np.uint64))
-                continue
-            numbers = np.array([self.number[w] for w in ws], np.int64)
-            self.keys.append(embed(self.hash[numbers][None, :])[0])
-            q = max(1, len(ws) // (allowed(len(ws)) + 1))
-            for j, h in enumerate(self.run_hashes(numbers, q).tolist()):
-                runs.setdefault(q, {}).setdefault(h, []).append((k, j))
-        self.runs = {q: (np.array(sorted(found), np.uint64), found) for q, found in runs.items()}
-
-    @staticmethod
-    def run_hashes(numbers: np.ndarray, q: int) -> np.ndarray:
-        h = np.zeros(max(0, len(numbers) - q + 1), np.uint64)
-        for j in range(q):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + numbers[j : j + len(h)].astype(np.uint64) + np.uint64(1)
-        return h
-
-    def windows(self, numbers: np.ndarray) -> dict[int, np.ndarray]:
-        """Item -> starts of its windows, where a run of the document is one of the item's."""
-        found: dict[int, set[int]] = {}
-        for q, (sorted_, where) in self.runs.items():
-            h = self.run_hashes(numbers, q)
-            if not len(h):
-                continue
-            known = numbers > 0
-            whole = np.ones(len(h), bool)
-            for j in range(q):
-                whole &= known[j : j + len(h)]
-            at = np.flatnonzero(whole)
-            at = at[sorted_[np.minimum(np.searchsorted(sorted_, h[at]), len(sorted_) - 1)] == h[at]]
-            for p in at.tolist():
-                for k, j in where[int(h[p])]:
-                    found.setdefault(k, set()).add(p - j)
-        return {k: np.array(sorted(s), np.int64) for k, s in found.items()}
-
-    def symbols(self, found: list[str], numbers: np.ndarray) -> np.ndarray:
-        """Symbols of a document's places from the one before its start to the one past its end: only the last is the blank."""
-        out = np.r_[np.uint64(BEFORE), self.hash[numbers], np.uint64(0)]
-        for p in np.flatnonzero(numbers == 0).tolist():
-            out[p + 1] = word_hash(found[p])
-        return out
-
-    def matches(self, text: str) -> list[tuple[int, int]]:
-        """(item, edits) of the items with a passage in ``text``."""
-        found = tokens(text)
-        get = self.number.get
-        numbers = np.fromiter((get(w, 0) for w in found), np.int64, len(found))
-        out, symbol_of = [], None
-        for k, starts in self.windows(numbers).items():
+            rare = set(sorted(self.bags[k], key=lambda w: (common[w], w))[: allowed(len(ws)) + 1])
+            steps = walk_steps(len(ws))
+            for j, w in enumerate(ws):
+                if w in rare:
+                    for side, room in ((1, len(ws) - 1 - j), (-1, j)):
+                        if room >= steps and (side > 0 or steps):
+                            found.setdefault((steps, side), []).append((k, j))
+                            self.anchored[steps, side][self.number[w]] = True
+        self.tables = {g: self.table(*g, where) for g, where in found.items()}
+
+    def table(self, steps: int, side: int, where: list[tuple[int, int]]):
+        """Sorted keys with item and offset of each, and a bit for every hash of a key."""
+        symbols, start, end = [np.zeros(STEPS + 1, np.uint64)], {}, STEPS + 1
+        for k in sorted({k for k, _ in where}):
+            start[k] = end
+            symbols.append(self.symbol[[self.number[w] for w in self.words[k]]])
+            symbols.append(np.zeros(STEPS + 1, np.uint64))
+            end += len(self.words[k]) + STEPS + 1
+        places = np.array([start[k] + j for k, j in where], np.int64)
+        keys = sketch(np.concatenate(symbols), places, steps, side).ravel()
+        item, offset = (np.repeat([x[c] for x in where], REPETITIONS) for c in (0, 1))
+        order = np.argsort(keys, kind="stable")
+        bits = np.zeros(1 << max(16, int(np.ceil(np.log2(8 * len(keys))))), bool)
+        bits[keys & np.uint64(len(bits) - 1)] = True
+        return keys[order], item[order], offset[order], bits
+
+    def candidates(self, numbers: np.ndarray) -> tuple[np.ndarray, int]:
+        """Rows of item, anchor and start of its window among ``numbers`` (0: no item's word, -1: between documents), and how many windows were embedded."""
+        symbols = np.r_[np.zeros(STEPS + 1, np.uint64), np.where(numbers > 0, self.symbol[np.maximum(numbers, 0)], self.strangers[np.arange(len(numbers)) & 4095]), np.zeros(STEPS + 1, np.uint64)]
+        symbols[STEPS + 1 : STEPS + 1 + len(numbers)][numbers < 0] = 0
+        found, windows = [np.zeros((0, 3), np.int64)], 0
+        for group, (keys, item, offset, bits) in self.tables.items():
+            every = np.flatnonzero(self.anchored[group][np.maximum(numbers, 0)])
+            windows += len(every)
+            for part in np.split(every, range(BLOCK_WINDOWS, len(every), BLOCK_WINDOWS)):
+                key = sketch(symbols, part + STEPS + 1, *group)
+                row, rep = np.nonzero(bits[key & np.uint64(len(bits) - 1)])
+                hit = key[row, rep]
+                lo, hi = np.searchsorted(keys, hit, "left"), np.searchsorted(keys, hit, "right")
+                n = hi - lo
+                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                anchor = np.repeat(part[row], n)
+                found.append(np.stack([item[at], anchor, anchor - offset[at]], 1))
+        return np.concatenate(found), windows
+
+    def matches(self, values: list[str]) -> list[list[tuple[int, int]]]:
+        """For each text (item, edits) of the items with a passage in it."""
+        found, numbers, begins = [], [], []
+        gap = np.full(STEPS + 1, -1, np.int64)
+        for text in values:
+            ws = tokens(text)
+            begins.append(len(found))
+            found += ws
+            found += [""] * len(gap)
+            numbers += [np.fromiter(map(self.number.get, ws, repeat(0)), np.int64, len(ws)), gap]
+        out: list[dict[int, int]] = [{} for _ in values]
+        if not values:
+            return []
+        begins = np.array(begins)
+        near, _ = self.candidates(np.concatenate(numbers))
+        near[:, 1] = np.searchsorted(begins, near[:, 1], "right") - 1  # the anchor's document
+        for k, doc, s in np.unique(near, axis=0).tolist():
             n, d = len(self.words[k]), allowed(len(self.words[k]))
-            place = starts[:, None] + np.arange(n)
-            if symbol_of is None:
-                symbol_of = self.symbols(found, numbers)
-            symbols = symbol_of[np.clip(place, -1, len(numbers)) + 1]
-            near = (embed(symbols) == self.keys[k]).any(1)
-            best = None
-            for s in starts[near].tolist():
-                e = edits(self.words[k], found[max(0, s - d) : s + n + d], d if best is None else best - 1)
-                best = e if e is not None else best
-                if best == 0:
-                    break
-            if best is not None:
-                out.append((k, best))
-        return out
+            low, high = int(begins[doc]), int(begins[doc + 1] if doc + 1 < len(begins) else len(found)) - len(gap)
+            region = found[max(low, s - d) : min(high, s + n + d)]
+            limit = out[doc].get(k, d + 1) - 1
+            if limit < 0 or (self.bags[k] & Counter(region)).total() < n - limit:
+                continue
+            e = edits(self.words[k], region, limit)
+            if e is not None:
+                out[doc][k] = e
+        return [sorted(x.items()) for x in out]
 
 
 LEAKS = arrow_schema("doc_id long,item_id long,n_words int,edits int")
@@ -191,7 +199,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def search(batches, shared=shared):
             block = shared.value
             for b in batches:
-                out = [(i, block.ids[k], len(block.words[k]), e) for i, t in zip(b.column("doc_id").to_pylist(), texts(b)) if t for k, e in block.matches(t)]
+                out = [(i, block.ids[k], len(block.words[k]), e) for i, found in zip(b.column("doc_id").to_pylist(), block.matches(texts(b))) for k, e in found]
                 if out:
                     yield batch_of(LEAKS, *map(list, zip(*out)))
 
@@ -216,7 +224,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def clean(batches, shared=shared):
             for b in batches:
-                yield b.filter(pa.array([not shared.value.matches(t) for t in texts(b)], pa.bool_()))
+                yield b.filter(pa.array([not x for x in shared.value.matches(texts(b))], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs

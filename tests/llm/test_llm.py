@@ -234,7 +234,30 @@ def test_decontamination_of_first_words():
             for p in r.sample(range(n), d):
                 edited[p] = f"unseen{p}"
             for words in (["before", "unseen", *ws[1:], "after"], [*ws[1:], "after"], [*ws[d:], "after"], ["before", *edited, "after"]):
-                assert k in [i for i, _ in block.matches(" ".join(words))], (n, k)
+                assert k in [i for i, _ in block.matches([" ".join(words)])[0]], (n, k)
+
+
+def test_decontamination_recall_and_rejection():
+    """The keys alone find passages with as many edits as are allowed, and pass few of the windows that hold no passage."""
+    r = random.Random(11)
+    vocabulary = [f"v{k}" for k in range(2000)]
+    common = [1 / (k + 5) for k in range(2000)]
+    draw = lambda n: r.choices(vocabulary, common, k=n)
+    items = [(k, " ".join(draw(r.randint(5, 60)))) for k in range(200)]
+    block = decontamination.Items(items)
+    found = tried = 0
+    for k, t in items * 5:
+        ws, d = t.split(), decontamination.allowed(len(t.split()))
+        for _ in range(d):
+            p, how = r.randrange(len(ws)), r.random()
+            ws[p : p + (how < 0.67)] = [] if how < 0.33 else draw(1)
+        noise = draw(40)
+        tried += 1
+        found += k in [i for i, _ in block.matches([" ".join([*noise[:20], *ws, *noise[20:]])])[0]]
+    assert found >= 0.97 * tried
+    numbers = np.array([block.number.get(w, 0) for w in draw(100_000)], np.int64)
+    near, windows = block.candidates(numbers)
+    assert windows > 5000 and len(np.unique(near[:, 1])) <= 0.2 * windows
 
 
 # 6
