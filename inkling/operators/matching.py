@@ -9,7 +9,7 @@ from .ranges import sums_below
 
 
 def interval_join(requests: DataFrame, facts: DataFrame, keys: list[str], width: int, *, req_ts: str = "req_ts", ts: str = "ts", forward: bool = False) -> DataFrame:
-    """Facts of the same keys in [t - width, t), or [t, t + width) if ``forward``; requests without facts stay, with null facts.
+    """Facts of the same keys in [t - width, t), or [t, t + width) if ``forward``; one row a match (``with_defaults`` brings back requests without any).
 
     Times are integers. Facts carry the bucket of their time and requests the two buckets that their window meets, so
     the join is an equi-join on keys and bucket whose rows follow the matches; adaptive execution may split hot buckets.
@@ -39,16 +39,21 @@ def expanding(requests: DataFrame, facts: DataFrame, keys: list[str], sums: dict
 
 
 def unkeyed_window(requests: DataFrame, facts: DataFrame, width: int, bucket: int, value: str, *, req_id: str = "req_id", req_ts: str = "req_ts", ts: str = "ts") -> DataFrame:
-    """count and sum of all facts in [t - width, t): whole buckets of time are added up once, only the buckets at the ends are read row by row."""
-    lo, hi = F.col(req_ts) - width, F.col(req_ts)
-    facts = facts.select(F.col(ts).alias("_t"), F.col(value).alias("_v"), F.floor(F.col(ts) / bucket).cast("long").alias("_b"))
+    """count and sum of all facts in [t - width, t), for requests that have any.
+
+    Whole buckets of time are added up once, from the first to before the last; running sums inside the last bucket are added and
+    those inside the first taken off, so no request meets the single facts of a bucket.
+    """
+    place = lambda t: F.floor(t / bucket).cast("long")
+    facts = facts.select(F.col(ts).alias("ts"), F.col(value).cast("double").alias("_v"), place(F.col(ts)).alias("_b"))
     totals = facts.groupBy("_b").agg(F.count(F.lit(1)).alias("n"), F.sum("_v").alias("s"))
-    first, last = F.floor(lo / bucket).cast("long"), F.floor(hi / bucket).cast("long")
-    spans = requests.select(req_id, req_ts, first.alias("_first"), last.alias("_last"))
-    whole = spans.filter("_last > _first + 1").select(req_id, F.explode(F.sequence(F.col("_first") + 1, F.col("_last") - 1)).alias("_b")).join(totals, "_b").select(req_id, "n", "s")
-    ends = spans.select(req_id, req_ts, F.explode(F.array_distinct(F.array("_first", "_last"))).alias("_b")).join(facts, "_b").filter((F.col("_t") >= lo) & (F.col("_t") < hi))
-    parts = whole.unionByName(ends.select(req_id, F.lit(1).cast("long").alias("n"), F.col("_v").alias("s")))
-    return parts.groupBy(req_id).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    lo, hi = F.col(req_ts) - width, F.col(req_ts)
+    whole = requests.filter(place(hi) > place(lo)).select(req_id, F.explode(F.sequence(place(lo), place(hi) - 1)).alias("_b")).join(totals, "_b").select(req_id, "n", "s")
+    ends = requests.select(F.explode(F.array(*[F.struct(F.struct(F.col(req_id).alias("id"), F.lit(sign).alias("sign")).alias("req_id"), t.alias("req_ts"), place(t).alias("_b")) for sign, t in ((1, hi), (-1, lo))])).alias("e")).select("e.*")
+    below = expanding(ends, facts, ["_b"], {"n": F.col("_fact"), "s": F.col("_v")}, values=["_v"])
+    sign = F.col("req_id.sign")
+    parts = whole.unionByName(below.select(F.col("req_id.id").alias(req_id), (sign * F.col("n")).cast("long").alias("n"), (sign * F.col("s")).alias("s")))
+    return parts.groupBy(req_id).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("s"), F.lit(0.0)).alias("s")).filter("n > 0")
 
 
 def lookup(requests: DataFrame, store: DataFrame, keys: list[str], values: list[str], order: str) -> DataFrame:

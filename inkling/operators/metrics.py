@@ -37,7 +37,10 @@ def multiclass(df: DataFrame, y: str, p: str) -> DataFrame:
 
 def pair_auc(scores: DataFrame, label: str) -> DataFrame:
     """AUC of each ordered class pair by rank sums, from long scores (id, label, cls, score): rows of the two classes by the first one's score."""
-    pairs = scores.select(F.col(label).alias("y"), F.col("cls").alias("a"), "score").join(scores.select(F.col("cls").alias("b")).distinct(), F.lit(True)).filter("a <> b AND (y = a OR y = b)")
+    classes = scores.agg(F.collect_set("cls").alias("_all"))  # one row: the classes
+    y, a = F.col(label), F.col("cls")
+    others = F.when(y == a, F.array_except("_all", F.array(a))).when(F.array_contains("_all", y), F.array(y))  # a row of another class meets that one alone
+    pairs = scores.join(F.broadcast(classes)).select(y.alias("y"), a.alias("a"), "score", F.explode(others).alias("b"))
     by_score = pairs.groupBy("a", "b", "score").agg(F.count_if(F.col("y") == F.col("a")).alias("pos"), F.count_if(F.col("y") == F.col("b")).alias("neg"))
     w = Window.partitionBy("a", "b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     won = by_score.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))

@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+from math import sqrt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkling.functions.estimators import normal_ppf
 from inkling.functions.hashing import uniform
 
-#: Square roots of the first primes: steps of the additive recurrence (fixed values).
-ROOTS = [1.4142135623730951, 1.7320508075688772, 2.23606797749979, 2.6457513110645907, 3.3166247903554, 3.605551275463989, 4.123105625617661, 4.358898943540674, 4.795831523312719, 5.385164807134504, 5.5677643628300215, 6.082762530298219, 6.4031242374328485, 6.557438524302, 6.855654600401044, 7.280109889280518]
+@lru_cache(maxsize=4096)
+def root(k: int) -> float:
+    """Square root of the k-th prime (from 0): the step of the additive recurrence in dimension k."""
+    primes, n = [], 1
+    while len(primes) <= k:
+        n += 1
+        if all(n % p for p in primes if p * p <= n):
+            primes.append(n)
+    return sqrt(primes[k])
 
 
 def recurrence(i: Column, dimension: int) -> Column:
     """Low-discrepancy number of step ``i`` in a dimension."""
-    x = (i + 1) * ROOTS[dimension] + 0.5
+    x = (i + 1) * root(dimension) + 0.5
     return F.greatest(F.lit(1e-9), x - F.floor(x))
 
 

@@ -78,3 +78,21 @@ def quantiles(df: DataFrame, column: str, shares: dict[str, float], ties: list[s
         return F.when(lo == hi, lo.cast("double")).otherwise(lo * (1 - over) + hi * over).alias(name)
 
     return found.agg(*[value(n) for n in shares])
+
+
+def grouped_quantiles(df: DataFrame, keys: list[str], column: str, shares: dict[str, float]) -> DataFrame:
+    """One row per key: interpolated quantiles of ``column`` by name. Equal values are counted first; a key's values spread over ranges."""
+    counted = df.filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
+    rows = dealt(counted, [*keys, column])
+    totals = rows.groupBy("_part", *keys).agg(F.sum("_n").alias("_n"))
+    carried = totals.select("_part", *keys, F.coalesce(F.sum("_n").over(before(keys)), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_all"))
+    run = F.sum("_n").over(Window.partitionBy("_part", *keys).orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = with_carried(rows.withColumn("_to", run), carried, keys).withColumn("_to", F.col("_to") + F.col("_before"))
+
+    def at(p, end):
+        rank = end((F.col("_all") - 1) * F.lit(float(p)))
+        return F.max(F.when((rank < F.col("_to")) & (rank >= F.col("_to") - F.col("_n")), F.col(column).cast("double")))
+
+    ends = ranked.groupBy(*keys).agg(F.max("_all").alias("_all"), *[at(p, end).alias(f"_{name}_{k}") for name, p in shares.items() for k, end in enumerate((F.floor, F.ceil))])
+    over = {n: (F.col("_all") - 1) * F.lit(float(p)) - F.floor((F.col("_all") - 1) * F.lit(float(p))) for n, p in shares.items()}
+    return ends.select(*keys, *[(F.col(f"_{n}_0") * (1 - w) + F.col(f"_{n}_1") * w).alias(n) for n, w in over.items()])

@@ -182,11 +182,11 @@ def c5(spark, d):
     return m.agg(F.min(F.struct("cost", "qa", "qb")).alias("b")).select(F.col("b.qa").cast("long").alias("qa"), F.col("b.qb").cast("long").alias("qb"), F.col("b.cost").cast("long").alias("cost"))
 
 
-@query("d1_d2_dataset", "SELECT e.event_id AS req_id, e.user_id AS req_user, f.n AS f_n, round(f.m, 5) AS f_mean, CASE WHEN e.event_type = 'purchase' THEN 1 ELSE 0 END AS label FROM events e JOIN (SELECT user_id, count(*) AS n, avg(value) AS m FROM events GROUP BY 1) f USING (user_id) WHERE e.event_id % 100 = 0")
+@query("d1_d2_dataset", "SELECT e.event_id AS req_id, e.user_id AS req_user, f.n AS f_n, round(f.m, 5) AS f_mean, CASE WHEN e.event_type = 'purchase' THEN 1 ELSE 0 END AS label FROM events e JOIN (SELECT user_id, count(*) AS n, avg(value) AS m FROM events GROUP BY 1) f USING (user_id)")
 def d1(spark, d):
     e = read(spark, d, "events")
     f = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("f_n"), F.avg("value").alias("f_mean"))
-    r = e.filter("event_id % 100 = 0").select(F.col("event_id").alias("req_id"), "user_id", (F.col("event_type") == "purchase").cast("int").alias("label"))
+    r = e.select(F.col("event_id").alias("req_id"), "user_id", (F.col("event_type") == "purchase").cast("int").alias("label"))
     return rounded(r.join(f, "user_id").dropna().select("req_id", F.col("user_id").alias("req_user"), "f_n", "f_mean", "label"), 5)
 
 
@@ -348,13 +348,13 @@ def r6(spark, d):
     return previous(e, ["event_type"], ["ts", "event_id"], "req_ts", "p").join(F.broadcast(b)).select("event_id", V.refresh_budget(F.col("req_ts"), F.col("p"), 0.01).alias("budget"), F.round("budget", 9).alias("advised"))
 
 
-@query("r1_r2_r4_r7_serve_after_refresh", f"WITH {FB_SQL}, s AS (SELECT user_id, label_ts, least(sum(err), 20) AS e FROM fb WHERE label_ts <= {NOW} GROUP BY 1, 2), top AS (SELECT user_id FROM s GROUP BY 1 ORDER BY sum(e) DESC, user_id LIMIT 20), st AS (SELECT user_id, count(*)::DOUBLE AS n, avg(value) AS mean, {NOW} AS stored FROM events WHERE epoch_us(ts) // 1000000 < {NOW} AND user_id IN (SELECT user_id FROM top) GROUP BY 1), r AS (SELECT event_id AS req_id, user_id, epoch_us(ts) // 1000000 AS req_ts FROM events WHERE event_id % 50 = 0) SELECT req_id, coalesce(n, 0) AS n, round(coalesce(mean, 0), 5) AS mean, coalesce(stored, req_ts) AS stored_at FROM r LEFT JOIN st USING (user_id)")
+@query("r1_r2_r4_r7_serve_after_refresh", f"WITH {FB_SQL}, s AS (SELECT user_id, label_ts, least(sum(err), 20) AS e FROM fb WHERE label_ts <= {NOW} GROUP BY 1, 2), top AS (SELECT user_id FROM s GROUP BY 1 ORDER BY sum(e) DESC, user_id LIMIT 20), st AS (SELECT user_id, count(*)::DOUBLE AS n, avg(value) AS mean, {NOW} AS stored FROM events WHERE epoch_us(ts) // 1000000 < {NOW} AND user_id IN (SELECT user_id FROM top) GROUP BY 1), r AS (SELECT event_id AS req_id, user_id, epoch_us(ts) // 1000000 AS req_ts FROM events) SELECT req_id, coalesce(n, 0) AS n, round(coalesce(mean, 0), 5) AS mean, coalesce(stored, req_ts) AS stored_at FROM r LEFT JOIN st USING (user_id)")
 def r7(spark, d):
     fb = feedback(spark, d)
     chosen = materialize(R.choose(fb, "user_id", NOW, 20, 20.0))
     empty = spark.createDataFrame([], "user_id long, n double, mean double, stored_at long")
     store = R.refresh(empty, chosen, fb, "user_id", NOW, "label_ts", "value")
-    r = read(spark, d, "events").filter("event_id % 50 = 0").select(F.col("event_id").alias("req_id"), "user_id", epoch_s(F.col("ts")).alias("req_ts"))
+    r = read(spark, d, "events").select(F.col("event_id").alias("req_id"), "user_id", epoch_s(F.col("ts")).alias("req_ts"))
     return rounded(R.serve(r, store, ["user_id"], ["n", "mean"]).select("req_id", "n", "mean", "stored_at"), 5)
 
 

@@ -185,7 +185,7 @@ def u6(spark, d):
 
 NQ = 64
 _REC = lambda step: f"greatest(1e-9, (i + 1) * {step} + 0.5 - floor((i + 1) * {step} + 0.5))"
-_STEP = lambda o: "CASE dim " + " ".join(f"WHEN {j} THEN {U.ROOTS[j + o]!r}" for j in range(3)) + " END"
+_STEP = lambda o: "CASE dim " + " ".join(f"WHEN {j} THEN {U.root(j + o)!r}" for j in range(3)) + " END"
 SALT = f"""sal AS (SELECT req_id, i, k, weight * (fval + greatest(fest, 1e-9) * {sql_normal_ppf('u')}) AS y FROM (SELECT *, CASE WHEN k = 4 OR k = grp THEN {_REC('(' + _STEP(3) + ')')} ELSE {_REC('(' + _STEP(0) + ')')} END AS u FROM feat JOIN w USING (fname), range({NQ}) r(i), range(5) s(k))), sp AS (SELECT req_id, i, k, sum(y) + {BIAS} AS pred FROM sal GROUP BY 1, 2, 3)"""
 ENDS = "z AS (SELECT req_id, avg(pred) AS mu, var_pop(pred) AS v FROM sp WHERE k IN (0, 4) GROUP BY 1), tri AS (SELECT c.req_id, c.k, c.i, a.pred AS a, b.pred AS b, c.pred AS c, mu, v FROM sp c JOIN sp a ON a.req_id = c.req_id AND a.i = c.i AND a.k = 0 JOIN sp b ON b.req_id = c.req_id AND b.i = c.i AND b.k = 4 JOIN z ON z.req_id = c.req_id WHERE c.k BETWEEN 1 AND 3)"
 

@@ -83,9 +83,11 @@ def statistics(df: DataFrame) -> DataFrame:
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row per column: count, mean, std, min, quartiles, max."""
+    from inkling.operators.ranges import grouped_quantiles
+
     long = df.select(*columns).unpivot([], columns, "column", "x")
-    q = lambda p: F.percentile("x", F.lit(p))
-    return long.groupBy("column").agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), q(0.25).alias("p25"), q(0.5).alias("p50"), q(0.75).alias("p75"), F.max("x").alias("max"))
+    simple = long.groupBy("column").agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    return simple.join(grouped_quantiles(long, ["column"], "x", {"p25": 0.25, "p50": 0.5, "p75": 0.75}), "column", "left")
 
 
 def write_dataset(df: DataFrame, path: str, fmt: str = "parquet") -> None:
