@@ -1,72 +1,186 @@
-"""Exact and progressive prediction over tables of requests."""
+"""Exact and progressive prediction over tables of requests.
+
+The state of a request is one row: for every query the share read so far and the merged partials. A round reads the new pids of
+the requests that are still open, merges, and does all else (errors, draws, predictions, Sobol influence, the next
+steps) by request, so it shuffles by request alone and writes one table.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from functools import reduce
+from operator import add
+
+from pyspark.ml import PipelineModel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkling.functions import estimators as E
-from inkling.operators import allocate as L
 from inkling.operators import propagate as U
+from inkling.operators.exact import aggregate
 from inkling.sources.storage import materialize
 
+#: Partials of a query: rows, sum, sum of squares, least and greatest.
+PARTS = {"n": "sum", "s": "sum", "ss": "sum", "lo": "min", "hi": "max"}
+
+#: Aggregates with a closed-form error. Others have none, so they are read whole from the first round on.
+SAMPLED = ("count", "sum", "avg", "varPop", "stdPop", "varSamp", "stdSamp")
+
+Predict = Callable[[DataFrame], DataFrame]
+
+
+def linear_model(weights: dict[str, float], bias: float) -> Predict:
+    """Adds ``pred``: a weighted sum of the feature columns."""
+    return lambda df: df.withColumn("pred", reduce(add, [F.col(f) * w for f, w in weights.items()], F.lit(bias)))
+
+
+def ml_model(model: PipelineModel) -> Predict:
+    """Adds ``pred`` from a fitted Spark ML pipeline over the feature columns (its assembler is the first stage)."""
+
+    def predict(df: DataFrame) -> DataFrame:
+        out = model.transform(df)
+        return out.select(*df.columns, F.col("prediction").cast("double").alias("pred"))
+
+    return predict
+
+
+def value_and_error(q: str, op: str, tsize: int) -> tuple[Column, Column]:
+    """Estimate of a query and its error from merged partials and the share read."""
+    n, s, ss = (F.coalesce(F.col(f"{x}_{q}"), F.lit(0)) for x in ("n", "s", "ss"))
+    p, size = F.col(f"qs_{q}"), F.lit(float(tsize))
+    var = F.when(n > 1, F.greatest(F.lit(0.0), (ss - s * s / n) / (n - 1)))
+    sd = F.sqrt(var)
+    samp, pop = E.est_var_samp(n, var), E.est_var_pop(n, var)
+    table = {
+        "count": (E.est_count(n, p), E.err_count(n, p, size)), "sum": (E.est_sum(s, p), E.err_sum(sd, p, size)), "avg": (s / n, E.err_avg(sd, n)),
+        "varSamp": (samp, E.err_var(n, var, True)), "varPop": (pop, E.err_var(n, var)), "stdSamp": (F.sqrt(samp), F.sqrt(E.err_var(n, var, True))), "stdPop": (F.sqrt(pop), F.sqrt(E.err_var(n, var))),
+        "min": (F.col(f"lo_{q}"), F.lit(0.0)), "max": (F.col(f"hi_{q}"), F.lit(0.0)),
+    }
+    value, error = table[op]
+    # At the whole table the estimates are the exact values: variances lose the factor of the sample.
+    whole = {"varSamp": var, "stdSamp": sd, "varPop": var * (n - 1) / n, "stdPop": F.sqrt(var * (n - 1) / n)}.get(op, value)
+    full = p >= 1 - 1e-9
+    return F.coalesce(F.when(full, whole).otherwise(value), F.lit(0.0)), F.when(full, 0.0).otherwise(F.coalesce(E.guarded(error, n, p), F.lit(E.UNKNOWN_ERROR)))
+
+
+def new_partials(facts: DataFrame, plan: DataFrame, queries: dict[str, tuple[str, str]], ncfgs: int) -> DataFrame:
+    """Partials by request of the pids that each query of an open request has not read yet: facts meet the requests and their
+    ranges before anything is added up, and pids that no request wants are not read."""
+    lo, hi = ({q: F.bround(F.col(f"{at}_{q}") * ncfgs).cast("int") for q in queries} for at in ("qs", "qn"))
+    wants = plan.select("req_id", *[lo[q].alias(f"_lo_{q}") for q in queries], *[hi[q].alias(f"_hi_{q}") for q in queries])
+    least, most = F.least(*[F.when(F.col(f"_hi_{q}") > F.col(f"_lo_{q}"), F.col(f"_lo_{q}")) for q in queries], F.lit(ncfgs)), F.greatest(*[F.col(f"_hi_{q}") for q in queries], F.lit(0))
+    wants = wants.withColumns({"_from": least, "_to": most}).filter(F.col("_to") > F.col("_from"))
+    ends = wants.agg(F.min("_from").alias("lo"), F.max("_to").alias("hi")).first()  # two numbers
+    columns = {c for _, c in queries.values()}
+    scan = facts.filter((F.col("pid") >= (ends.lo or 0)) & (F.col("pid") < (ends.hi or 0))).select("req_id", "pid", *columns)
+    near = scan.join(wants, "req_id").filter((F.col("pid") >= F.col("_from")) & (F.col("pid") < F.col("_to")))
+    aggs = []
+    for q, (_, c) in queries.items():
+        x = F.when((F.col("pid") >= F.col(f"_lo_{q}")) & (F.col("pid") < F.col(f"_hi_{q}")), F.col(c).cast("double"))
+        aggs += [F.count(x).alias(f"n_{q}"), F.sum(x).alias(f"s_{q}"), F.sum(x * x).alias(f"ss_{q}"), F.min(x).alias(f"lo_{q}"), F.max(x).alias(f"hi_{q}")]
+    return near.groupBy("req_id").agg(*aggs)
+
+
+def merged(plan: DataFrame, fresh: DataFrame, queries) -> DataFrame:
+    """The state after a round: partials of before and of now, the share of each query being what was planned."""
+    both = plan.join(fresh.select("req_id", *[F.col(f"{x}_{q}").alias(f"_{x}_{q}") for q in queries for x in PARTS]), "req_id", "left")
+    put = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "min": F.least, "max": F.greatest}
+    parts = [put[how](F.col(f"{x}_{q}"), F.col(f"_{x}_{q}")).alias(f"{x}_{q}") for q in queries for x, how in PARTS.items()]
+    carried = [c for c in plan.columns if c == "req_id" or c.startswith("x_")]
+    return both.select(*carried, *[F.col(f"qn_{q}").alias(f"qs_{q}") for q in queries], *parts)
+
 
-def partials(facts: DataFrame, requests: DataFrame, queries: dict[str, str]) -> DataFrame:
-    """(req_id, qname, pid, n, s, ss): algebraic partials of every query's column in the pids that its requests read now.
+def judged(state: DataFrame, queries: dict[str, tuple[str, str]], predict: Predict, tsize: int, draws: int, max_error: float, classifier: bool) -> DataFrame:
+    """``state`` with pred_value, pred_var, pred_conf and the influence of each query, all from one set of draws.
 
-    ``requests`` has (req_id, qname, lo, hi); facts are partitioned by pid, and the range read by any request prunes folders.
+    Saltelli's matrices come from one low-discrepancy sequence, the same for every request and round. A draw's matrices are
+    folded to one row, a request's draws to one: the rows of a request never leave its partition.
     """
-    bounds = requests.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()  # two numbers
-    scan = facts.filter((F.col("pid") >= (bounds.lo or 0)) & (F.col("pid") < (bounds.hi or 0)))
-    long = scan.select("req_id", "pid", F.explode(F.array(*[F.struct(F.lit(q).alias("qname"), F.col(c).cast("double").alias("x")) for q, c in queries.items()])).alias("q")).select("req_id", "pid", "q.*")
-    summed = long.groupBy("req_id", "qname", "pid").agg(F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"))
-    return summed.join(requests, ["req_id", "qname"]).filter((F.col("pid") >= F.col("lo")) & (F.col("pid") < F.col("hi"))).select("req_id", "qname", "n", "s", "ss")
+    names, g = list(queries), len(queries)
+    told = {q: value_and_error(q, op, tsize) for q, (op, _) in queries.items()}
+    features = state.withColumns({f"v_{q}": v for q, (v, _) in told.items()} | {f"e_{q}": e for q, (_, e) in told.items()})
+    wide = features.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(g + 1))))
+    x = {}
+    for j, q in enumerate(names):
+        u = F.when((F.col("_k") == g + 1) | (F.col("_k") == j + 1), U.recurrence(F.col("_i"), j + g)).otherwise(U.recurrence(F.col("_i"), j))
+        kind = "max" if queries[q][0] == "max" else "avg"
+        x[q] = (u, E.distribution(F.col(f"e_{q}"), kind))
+    wide = wide.withColumns({f"_u_{q}": u for q, (u, _) in x.items()}).select("req_id", "_i", "_k", *[F.col(c).alias(c[2:]) for c in state.columns if c.startswith("x_") and c != "x__trace"], *[U.draw(F.col(f"_u_{q}"), F.col(f"v_{q}"), F.col(f"e_{q}"), d).alias(q) for q, (_, d) in x.items()])
+    preds = predict(wide)
+    pick = lambda k: F.max(F.when(F.col("_k") == k, F.col("pred")))
+    folded = preds.groupBy("req_id", "_i").agg(pick(0).alias("a"), pick(g + 1).alias("b"), *[pick(j + 1).alias(f"c_{q}") for j, q in enumerate(names)])
+    a, b = F.col("a"), F.col("b")
+    gain = [(F.avg(b * (F.col(f"c_{q}") - a)), F.avg(F.col(f"c_{q}") - a)) for q in names]
+    by = folded.groupBy("req_id").agg(F.collect_list(F.array("a", "b")).alias("_p"), *[m.alias(f"_g_{q}") for q, (m, _) in zip(names, gain)], *[m.alias(f"_h_{q}") for q, (_, m) in zip(names, gain)])
+    by = by.withColumn("_p", F.flatten("_p"))
+    mean = lambda values: F.aggregate(values, F.lit(0.0), lambda s, y: s + y) / (2 * draws)
+    centre = mean(F.col("_p"))
+    if classifier:  # the most frequent class, the smallest of equally frequent ones
+        counted = F.transform(F.array_distinct("_p"), lambda c: F.struct((-F.size(F.filter("_p", lambda y: y == c))).alias("n"), c.alias("c")))
+        centre = F.array_min(counted)["c"]
+    by = by.withColumn("pred_value", centre).withColumn("_mu", mean(F.col("_p")))
+    by = by.withColumn("pred_var", mean(F.transform("_p", lambda y: (y - F.col("_mu")) * (y - F.col("_mu")))))
+    by = by.withColumn("pred_conf", F.size(F.filter("_p", lambda y: F.abs(y - F.col("pred_value")) <= max_error + 1e-9)) / F.lit(2.0 * draws))
+    first = {f"inf_{q}": F.when(F.col("pred_var") < 1e-18, 1e-9).otherwise((F.col(f"_g_{q}") - F.col("_mu") * F.col(f"_h_{q}")) / F.col("pred_var")) for q in names}
+    return state.join(by.withColumns(first).select("req_id", "pred_value", "pred_var", "pred_conf", *first), "req_id")
 
 
-def estimate(state: DataFrame) -> DataFrame:
-    """Averages with errors from merged partials (req_id, qname, qsample, n, s, ss)."""
-    n = F.col("n")
-    sd = F.sqrt(F.greatest(F.lit(0.0), (F.col("ss") - F.col("s") * F.col("s") / n) / (n - 1)))
-    fest = E.guarded(E.err_avg(sd, n), n, F.col("qsample"))
-    rows = state.select("req_id", "qname", "qsample", F.col("qname").alias("fname"), F.coalesce(F.col("s") / n, F.lit(0.0)).alias("fval"), F.when(n.isNull() | (n < 1), F.when(F.col("qsample") >= 1, 0.0).otherwise(E.UNKNOWN_ERROR)).otherwise(fest).alias("fest"))
-    return rows.withColumn("fdist", E.distribution(F.col("fest"), "avg"))
+def next_steps(rows: DataFrame, queries, costs: dict[str, float], steps: int, gran: float) -> DataFrame:
+    """``qn`` of every query: all steps to the query of the best influence for its cost and remainder until it is full, then to the next."""
+    names = list(queries)
+    left = {q: F.greatest(1 - F.col(f"qs_{q}"), F.lit(1e-9)) for q in names}
+    score = {f"_w_{q}": F.greatest(F.col(f"inf_{q}"), F.lit(0.0)) / (F.lit(float(costs.get(q, 1.0))) * left[q]) for q in names}
+    valid = {f"_v_{q}": F.round((1 - F.col(f"qs_{q}")) / gran).cast("long") for q in names}
+    rows = rows.withColumns(score | valid)
+    out = {}
+    for i, q in enumerate(names):
+        ahead = [F.when((F.col(f"_w_{r}") > F.col(f"_w_{q}")) | ((F.col(f"_w_{r}") == F.col(f"_w_{q}")) & F.lit(j < i)), F.col(f"_v_{r}")).otherwise(0) for j, r in enumerate(names) if r != q]
+        more = F.greatest(F.lit(0), F.least(F.col(f"_v_{q}"), F.lit(steps) - reduce(add, ahead, F.lit(0))))
+        out[f"qn_{q}"] = F.least(F.lit(1.0), F.round(F.col(f"qs_{q}") + more * gran, 6))
+    return rows.withColumns(out).drop(*score, *valid)
 
 
-def exact_predictions(facts: DataFrame, queries: dict[str, str], weights: dict[str, float], bias: float) -> DataFrame:
+def exact_predictions(facts: DataFrame, queries: dict[str, tuple[str, str]], predict: Predict, extra: DataFrame | None = None) -> DataFrame:
     """(req_id, pred_value) from all rows in one plan."""
-    means = facts.groupBy("req_id").agg(*[F.avg(c).alias(q) for q, c in queries.items()])
-    return means.unpivot(["req_id"], list(queries), "fname", "x").transform(lambda x: U.linear(x, weights, bias, ["req_id"])).withColumnRenamed("pred", "pred_value")
+    features = facts.groupBy("req_id").agg(*[F.coalesce(aggregate(op, F.col(c)).cast("double"), F.lit(0.0)).alias(q) for q, (op, c) in queries.items()])
+    wide = features if extra is None else features.join(extra, "req_id")
+    return predict(wide).select("req_id", F.col("pred").alias("pred_value"))
 
 
-def progressive_predictions(facts: DataFrame, queries: dict[str, str], weights: dict[str, float], bias: float, *, max_error: float, min_conf: float, alpha: int = 10, beta: int = 30, ncfgs: int = 100, draws: int = 64, max_rounds: int = 20) -> DataFrame:
-    """(req_id, pred_value, pred_error, pred_conf, rounds, qsample): rounds of distributed jobs on the requests that are still open.
+def progressive_predictions(
+    facts: DataFrame, queries: dict[str, tuple[str, str]], predict: Predict, *, max_error: float, min_conf: float, tsize: int, extra: DataFrame | None = None, costs: dict[str, float] | None = None,
+    classifier: bool = False, alpha: int = 10, beta: int = 10, ncfgs: int = 100, draws: int = 64, max_rounds: int = 20,
+) -> DataFrame:
+    """(req_id, pred_value, pred_error, pred_conf, pred_var, rounds, qsample, met, trace): rounds on the requests that are still open.
 
-    Each round reads only new pids, merges partials, draws the features, checks the target and gives the next steps to the queries
-    with the largest share of the prediction's variance. The driver sees a count of open requests. ``facts`` (req_id, pid, columns)
-    should be stored by pid.
+    ``facts`` (req_id, pid, columns) should be stored by pid and ``tsize`` is its number of rows. ``queries`` names an aggregate
+    and a column for each feature, ``extra`` (req_id, features) has exact ones, ``predict`` adds ``pred`` to a table of features.
+    Influence is the first-order Sobol index of a query, ``costs`` its price a step; ``beta`` steps for each query are given out a
+    round. ``met`` says whether the target holds, or all is read: after ``max_rounds`` it may not. ``trace`` has the share read by each
+    query in each round. The driver sees a count of open requests.
     """
-    gran = round(1 / ncfgs, 3)
-    spark = facts.sparkSession
-    names = spark.createDataFrame([(q,) for q in queries], "qname string")
-    plan = materialize(facts.select("req_id").distinct().join(F.broadcast(names)).withColumns({"qsample": F.lit(0.0), "qnext": F.lit(alpha * gran), "n": F.lit(0).cast("long"), "s": F.lit(0.0), "ss": F.lit(0.0)}))
+    gran = round(1 / ncfgs, 6)
+    begin = {q: min(1.0, alpha * gran) if op in SAMPLED else 1.0 for q, (op, _) in queries.items()}
+    start = facts.select("req_id").distinct()
+    if extra is not None:
+        start = start.join(extra.select("req_id", *[F.col(c).alias(f"x_{c}") for c in extra.columns if c != "req_id"]), "req_id")
+    none = F.lit(None).cast("double")
+    plan = start.withColumns({f"qs_{q}": F.lit(0.0) for q in queries} | {f"qn_{q}": F.lit(x) for q, x in begin.items()} | {f"{x}_{q}": F.lit(0).cast("long") if x == "n" else F.lit(0.0) if how == "sum" else none for q in queries for x, how in PARTS.items()})
+    plan = materialize(plan.withColumn("x__trace", F.array().cast("array<string>")))
     done = None
-    weight = F.create_map(*[F.lit(x) for item in weights.items() for x in item])
     for k in range(1, max_rounds + 1):
-        reads = plan.select("req_id", "qname", F.bround(F.col("qsample") * ncfgs).cast("int").alias("lo"), F.bround(F.col("qnext") * ncfgs).cast("int").alias("hi"))
-        fresh = partials(facts, reads.filter("hi > lo"), queries)
-        merged = plan.select("req_id", "qname", "n", "s", "ss").unionByName(fresh).groupBy("req_id", "qname").agg(*[F.sum(c).alias(c) for c in ("n", "s", "ss")])
-        state = materialize(plan.select("req_id", "qname", F.col("qnext").alias("qsample")).join(merged, ["req_id", "qname"]))
-        features = estimate(state)
-        told = U.summarise(U.linear(U.draws(features, draws, seed=k), weights, bias, ["req_id", "i"]), "error", max_error)
-        shares = state.groupBy("req_id").agg(F.min("qsample").alias("min_qsample"), F.avg("qsample").alias("mean_qsample"))
-        checked = materialize(L.finished(told.join(shares, "req_id"), min_conf=min_conf))
-        ready = checked if k == max_rounds else checked.filter("done")
-        ready = ready.select("req_id", "pred_value", "pred_error", "pred_conf", F.lit(k).alias("rounds"), F.col("mean_qsample").alias("qsample"))
+        state = merged(plan, new_partials(facts, plan, queries, ncfgs), queries)
+        rows = judged(state, queries, predict, tsize, draws, max_error, classifier)
+        least = F.least(*[F.col(f"qs_{q}") for q in queries]) if len(queries) > 1 else F.col(f"qs_{next(iter(queries))}")
+        rows = rows.withColumn("met", (F.col("pred_conf") >= min_conf) | (least >= 1 - 1e-9))
+        shares = F.concat_ws(",", *[F.format_number(F.col(f"qs_{q}"), 2) for q in queries])
+        rows = rows.withColumn("x__trace", F.concat("x__trace", F.array(shares)))
+        rows = materialize(next_steps(rows, queries, costs or {}, beta * sum(op in SAMPLED for op, _ in queries.values()), gran))
+        ready = rows if k == max_rounds else rows.filter("met")
+        mean = reduce(add, [F.col(f"qs_{q}") for q in queries]) / len(queries)
+        ready = ready.select("req_id", "pred_value", F.lit(float(max_error)).alias("pred_error"), "pred_conf", "pred_var", F.lit(k).alias("rounds"), mean.alias("qsample"), "met", F.array_join("x__trace", " ").alias("trace"))
         done = ready if done is None else done.unionByName(ready)
-        still = checked.filter(~F.col("done")).select("req_id")
-        if k == max_rounds or still.isEmpty():
+        plan = rows.filter(~F.col("met")).select(*plan.columns)
+        if k == max_rounds or plan.isEmpty():
             return done
-        ranked = features.join(still, "req_id", "left_semi").withColumn("influence", F.pow(F.col("fest") * F.coalesce(weight[F.col("fname")], F.lit(0.0)), F.lit(2))).withColumn("weight", F.lit(1.0))
-        nexts = L.best_first(ranked.select("req_id", "qname", "qsample", "influence", "weight"), L.priority("optimizer"), beta * 1, gran)
-        plan = materialize(state.join(nexts.select("req_id", "qname", "qnext"), ["req_id", "qname"]))
     return done
