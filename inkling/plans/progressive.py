@@ -8,8 +8,9 @@ steps) by request, so it shuffles by request alone and writes one table.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import lru_cache, reduce
 from operator import add
+from statistics import NormalDist
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
@@ -90,6 +91,15 @@ def merged(plan: DataFrame, fresh: DataFrame, queries) -> DataFrame:
     return both.select(*carried, *[F.col(f"qn_{q}").alias(f"qs_{q}") for q in queries], *parts)
 
 
+@lru_cache(maxsize=64)
+def base(draws: int, dimensions: int) -> str:
+    """SQL of an array of ``draws`` structs: standard normal numbers from an additive low-discrepancy recurrence in each dimension."""
+    z = NormalDist().inv_cdf
+    point = lambda i, k: z(max(1e-9, ((i + 1) * U.root(k) + 0.5) % 1.0))
+    rows = (", ".join(["'i'", str(i), *[x for k in range(dimensions) for x in (f"'z{k}'", f"{point(i, k)!r}D")]]) for i in range(draws))
+    return f"array({', '.join(f'named_struct({r})' for r in rows)})"
+
+
 def judged(state: DataFrame, queries: dict[str, tuple[str, str]], predict: Predict, tsize: int, draws: int, max_error: float, classifier: bool) -> DataFrame:
     """``state`` with pred_value, pred_var, pred_conf and the influence of each query, all from one set of draws.
 
@@ -98,14 +108,18 @@ def judged(state: DataFrame, queries: dict[str, tuple[str, str]], predict: Predi
     """
     names, g = list(queries), len(queries)
     told = {q: value_and_error(q, op, tsize) for q, (op, _) in queries.items()}
-    features = state.withColumns({f"v_{q}": v for q, (v, _) in told.items()} | {f"e_{q}": e for q, (_, e) in told.items()})
-    wide = features.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(g + 1))))
-    x = {}
-    for j, q in enumerate(names):
-        u = F.when((F.col("_k") == g + 1) | (F.col("_k") == j + 1), U.recurrence(F.col("_i"), j + g)).otherwise(U.recurrence(F.col("_i"), j))
-        kind = "max" if queries[q][0] == "max" else "avg"
-        x[q] = (u, E.distribution(F.col(f"e_{q}"), kind))
-    wide = wide.withColumns({f"_u_{q}": u for q, (u, _) in x.items()}).select("req_id", "_i", "_k", *[F.col(c).alias(c[2:]) for c in state.columns if c.startswith("x_") and c != "x__trace"], *[U.draw(F.col(f"_u_{q}"), F.col(f"v_{q}"), F.col(f"e_{q}"), d).alias(q) for q, (_, d) in x.items()])
+    extras = [c for c in state.columns if c.startswith("x_") and c != "x__trace"]
+    features = state.select("req_id", *[F.col(c).alias(c[2:]) for c in extras], *[v.alias(f"v_{q}") for q, (v, _) in told.items()], *[e.alias(f"e_{q}") for q, (_, e) in told.items()])
+    drawn = features.select("*", F.expr(f"explode({base(draws, 2 * g)})").alias("_z"))
+
+    def moved(q, z):  # a greatest value can only grow
+        step = F.col(f"e_{q}") * z
+        return F.col(f"v_{q}") + (F.abs(step) if queries[q][0] == "max" else step)
+
+    drawn = drawn.select("req_id", *[c[2:] for c in extras], F.col("_z.i").alias("_i"), *[moved(q, F.col(f"_z.z{j + h * g}")).alias(f"{side}_{q}") for h, side in enumerate("ab") for j, q in enumerate(names)])
+    matrices = [[], *[[q] for q in names], names]  # the queries whose values come from B
+    rows = F.array(*[F.struct(*[F.col(f"{'b' if q in m else 'a'}_{q}").alias(q) for q in names]) for m in matrices])
+    wide = drawn.select("req_id", "_i", *[c[2:] for c in extras], F.posexplode(rows).alias("_k", "_x")).select("req_id", "_i", "_k", *[c[2:] for c in extras], "_x.*")
     preds = predict(wide)
     pick = lambda k: F.max(F.when(F.col("_k") == k, F.col("pred")))
     folded = preds.groupBy("req_id", "_i").agg(pick(0).alias("a"), pick(g + 1).alias("b"), *[pick(j + 1).alias(f"c_{q}") for j, q in enumerate(names)])
