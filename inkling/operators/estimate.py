@@ -41,12 +41,46 @@ def poisson_weight(u: Column) -> Column:
 
 
 def poisson_bootstrap(matched: DataFrame, keys: list[str], row_key: list[str], value: str, replicates: int = 100, seed: int = 0) -> DataFrame:
-    """(keys, rep, n, s, mean, median): weighted aggregates of ``replicates`` resamples; rows times replicates stay distributed."""
+    """(keys, rep, n, s, mean, median, p50, p90, p99, var, lo, hi, u): aggregates of ``replicates`` resamples.
+
+    Weights are added up by distinct value before anything is shuffled, so what is sorted follows the values of a key, not
+    its rows. ``median`` is the lower one; p50, p90 and p99 interpolate; var is the unbiased variance, u the distinct values.
+    """
     reps = matched.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     weighted = reps.withColumn("w", poisson_weight(uniform(seed, F.col("rep"), *[F.col(k) for k in row_key]))).filter("w > 0")
-    upto = Window.partitionBy(*keys, "rep").orderBy(value).rangeBetween(Window.unboundedPreceding, 0)
-    ranked = weighted.withColumn("_c", F.sum("w").over(upto)).withColumn("_n", F.sum("w").over(Window.partitionBy(*keys, "rep")))
-    return ranked.groupBy(*keys, "rep").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col(value)).alias("s"), (F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("mean"), F.min(F.when(F.col("_c") * 2 >= F.col("_n"), F.col(value))).alias("median"))
+    counted = weighted.groupBy(*keys, "rep", value).agg(F.sum("w").alias("w"))
+    upto = Window.partitionBy(*keys, "rep").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("_c", F.sum("w").over(upto)).withColumn("_n", F.sum("w").over(Window.partitionBy(*keys, "rep")))
+    x, w, c, n = (F.col(k) for k in (value, "w", "_c", "_n"))
+
+    def quantile(p):
+        rank = (n - 1) * F.lit(p)
+        lo, hi = (F.min(F.when(c > end(rank), x)) for end in (F.floor, F.ceil))
+        part = F.max(rank - F.floor(rank))
+        return lo * (1 - part) + hi * part
+
+    s, ss, m = F.sum(w * x), F.sum(w * x * x), F.sum(w)
+    var = F.when(m > 1, F.greatest(F.lit(0.0), (ss - s * s / m) / (m - 1)))
+    return ranked.groupBy(*keys, "rep").agg(
+        m.alias("n"), s.alias("s"), (s / m).alias("mean"), F.min(F.when(c * 2 >= n, x)).alias("median"), quantile(0.5).alias("p50"), quantile(0.9).alias("p90"), quantile(0.99).alias("p99"),
+        var.alias("var"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(F.lit(1)).cast("double").alias("u"),
+    )
+
+
+def with_bootstrap(points: DataFrame, boot: DataFrame, keys: list[str], p: float, min_support: int = E.MIN_SUPPORT, keep: bool = False) -> DataFrame:
+    """``points`` (see ``estimates``) where every aggregate but count, sum and avg has the deviation of its bootstrap replicates as error.
+
+    The rules of the closed forms hold: no error for the whole table, unknown below the support. ``keep`` adds the replicates.
+    """
+    n, v = F.col("n"), F.col("var")
+    samp, pop = E.est_var_samp(n, v), E.est_var_pop(n, v)
+    table = {"varSamp": samp, "stdSamp": F.sqrt(samp), "varPop": pop, "stdPop": F.sqrt(pop), "min": F.col("lo"), "max": F.col("hi"), "unique": F.col("u"), "median": F.col("p50"), "percentile90": F.col("p90"), "percentile99": F.col("p99")}
+    long = boot.select(*keys, F.explode(F.array(*[F.struct(F.lit(o).alias("op"), x.cast("double").alias("x")) for o, x in table.items()])).alias("_r")).select(*keys, "_r.*")
+    errors = long.groupBy(*keys, "op").agg(F.stddev_samp("x").alias("_e"), F.sort_array(F.collect_list("x")).alias("reps"))
+    told = F.when(F.col("fest").isNull() | (~F.col("op").isin("count", "sum", "avg") & (F.col("fest") != E.UNKNOWN_ERROR) & (F.lit(float(p)) < 1)), F.coalesce("_e", F.lit(E.UNKNOWN_ERROR))).otherwise(F.col("fest"))
+    out = points.join(errors, [*keys, "op"], "left").withColumn("fest", told)
+    tag = F.when(F.col("op") == "max", E.distribution(F.col("fest"), "max")).otherwise(E.distribution(F.col("fest"), "avg"))
+    return out.withColumn("fdist", tag).select(*points.columns, *(["reps"] if keep else []))
 
 
 def bootstrap_error(boot: DataFrame, keys: list[str], estimate: str, point: DataFrame | None = None, bias_correction: bool = False, keep: bool = False) -> DataFrame:

@@ -11,11 +11,16 @@ def sobol(preds: DataFrame, groups: int, total: bool = False) -> DataFrame:
 
     Groups of a prediction that does not vary get 1e-9.
     """
-    wide = preds.groupBy("req_id", "i").agg(F.max(F.when(F.col("k") == 0, F.col("pred"))).alias("a"), F.max(F.when(F.col("k") == groups + 1, F.col("pred"))).alias("b"), F.map_from_entries(F.collect_list(F.when((F.col("k") > 0) & (F.col("k") <= groups), F.struct("k", "pred")))).alias("ab"))
-    ends = preds.filter((F.col("k") == 0) | (F.col("k") == groups + 1)).groupBy("req_id").agg(F.avg("pred").alias("mu"), F.var_pop("pred").alias("v"))
-    rows = wide.join(ends, "req_id").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(groups)))).withColumn("c", F.element_at("ab", F.col("k")))
-    gain = F.pow(F.col("a") - F.col("c"), F.lit(2)) * 0.5 if total else (F.col("b") - F.col("mu")) * (F.col("c") - F.col("a"))
-    return rows.groupBy("req_id", "k", "v").agg(F.avg(gain).alias("g")).select("req_id", "k", F.when(F.col("v") < 1e-18, F.lit(1e-9)).otherwise(F.col("g") / F.col("v")).alias("qinf"))
+    at = lambda k: F.max(F.when(F.col("k") == k, F.col("pred")))
+    folded = preds.groupBy("req_id", "i").agg(at(0).alias("a"), at(groups + 1).alias("b"), *[at(k).alias(f"c{k}") for k in range(1, groups + 1)])
+    a, b, n = F.col("a"), F.col("b"), 2 * F.count(F.lit(1))
+    c = [F.col(f"c{k}") for k in range(1, groups + 1)]
+    # The gain about the mean is that about zero less the mean's share: one row a request, without a second pass.
+    sums = [F.avg(F.pow(a - x, F.lit(2)) * 0.5 if total else b * (x - a)).alias(f"g{k}") for k, x in enumerate(c, 1)] + [F.avg(x - a).alias(f"h{k}") for k, x in enumerate(c, 1)]
+    told = folded.groupBy("req_id").agg((F.sum(a + b) / n).alias("mu"), *sums, F.collect_list(F.array(a, b)).alias("p"))
+    told = told.withColumn("v", F.aggregate(F.flatten("p"), F.lit(0.0), lambda s, y: s + (y - F.col("mu")) * (y - F.col("mu"))) / F.size(F.flatten("p"))).drop("p")
+    rows = told.select("req_id", "v", F.posexplode(F.array(*[F.col(f"g{k}") if total else F.col(f"g{k}") - F.col("mu") * F.col(f"h{k}") for k in range(1, groups + 1)])).alias("k", "g"))
+    return rows.select("req_id", (F.col("k") + 1).alias("k"), F.when(F.col("v") < 1e-18, F.lit(1e-9)).otherwise(F.col("g") / F.col("v")).alias("qinf"))
 
 
 def frozen(features: DataFrame, column: str) -> DataFrame:

@@ -79,6 +79,22 @@ def e16(spark, d):
     return rounded(E.bootstrap_error(_boot(spark, d), ["l_suppkey"], "mean"))
 
 
+_STATS = {"varSamp": "n / (n - 1) * v", "stdSamp": "sqrt(n / (n - 1) * v)", "varPop": "v", "stdPop": "sqrt(v)", "min": "lo", "max": "hi", "unique": "u", "median": "p50", "percentile90": "p90", "percentile99": "p99"}
+_ALL = f"""b AS (SELECT l_suppkey, rep, l_quantity AS x, {_W} AS w FROM (SELECT *, {u32(f"'0|' || rep || '|' || {KEY_SQL}")} AS u FROM lineitem, range(20) r(rep) WHERE {PID} < 10) WHERE w > 0),
+m AS (SELECT l_suppkey, rep, x FROM b, range(8) c(i) WHERE i < w),
+boot AS (SELECT l_suppkey, rep, count(*) AS n, var_samp(x) AS v, min(x) AS lo, max(x) AS hi, count(DISTINCT x) AS u, quantile_cont(x, 0.5) AS p50, quantile_cont(x, 0.9) AS p90, quantile_cont(x, 0.99) AS p99 FROM m GROUP BY 1, 2),
+err AS ({' UNION ALL '.join(f"SELECT l_suppkey, '{o}' AS op, stddev_samp(cast({x} AS DOUBLE)) AS e FROM boot GROUP BY 1" for o, x in _STATS.items())}),
+size AS (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE {PID} < 10 GROUP BY 1)"""
+
+
+@query("e9_e10_e16_bootstrap_errors", f"WITH {_ALL} SELECT l_suppkey, op, round(CASE WHEN n < 30 THEN 1e9 ELSE e END + 1e-8, 5) AS fest FROM err JOIN size USING (l_suppkey)")
+def e9(spark, d):
+    """Errors of the aggregates without a closed form, and of variances and deviations, from resamples."""
+    points = E.estimates(sampled(spark, d, 10), ["l_suppkey"], "l_quantity", 0.1, read(spark, d, "lineitem").count(), list(_STATS))
+    out = E.with_bootstrap(points, _boot(spark, d), ["l_suppkey"], 0.1)
+    return out.select("l_suppkey", "op", F.round(F.col("fest") + 1e-8, 5).alias("fest"))
+
+
 @query("e17_bias_correction", f"WITH {BOOT}, p AS (SELECT l_suppkey, avg(l_quantity) AS f FROM lineitem WHERE {PID} < 10 GROUP BY 1) SELECT l_suppkey, round(stddev_samp(mean), 6) AS fest, round(2 * any_value(f) - avg(mean), 6) AS fval FROM boot JOIN p USING (l_suppkey) GROUP BY 1")
 def e17(spark, d):
     point = sampled(spark, d, 10).groupBy("l_suppkey").agg(F.avg("l_quantity").alias("fval"))
