@@ -75,6 +75,33 @@ def test_quality(spark, docs, odd, empty):
     assert none[3].base_failed and none[3].n_words == 0
 
 
+def test_log_likelihood_ratio_against_plain_python(spark, docs, odd):
+    """llr and kept of every document, nulls and repeated rows included, from dictionaries of buckets."""
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (6, 1, None), (9, 0, 0), (None, 1, 0), (999, 1, 0)], "doc_id long, quality int, toxic int").union(spark.read.parquet(f"{DATA}/labels.parquet").selectExpr("doc_id + 1000", "quality", "toxic"))
+    both = odd.select("doc_id", "text").union(docs.selectExpr("doc_id + 1000", "text"))
+    rows = [(r.doc_id, r.text or "") for r in both.collect()]
+    trusted = {r.doc_id for r in labels.collect() if r.quality == 1} - {None}
+    mod, mix = 2**64, 0x9E3779B97F4A7C15
+
+    def grams(text):
+        h = [xxhash.xxh64_intdigest(w) for w in text.encode().split()]
+        return [x * mix % mod >> 48 for x in h] + [(a * 31 + b) * mix % mod >> 48 for a, b in zip(h, h[1:])]
+
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        raw.update(grams(t))
+        if i in trusted:
+            target.update(grams(t))
+    n, m = sum(raw.values()), sum(target.values())
+    ratio = lambda b: np.log((target[b] + 1) / (raw[b] * m / n + 1)) - np.log((m + 65536) / (m + 65536))
+    want = sorted((i if i is not None else -1, len(t), round(float(np.mean([ratio(b) for b in grams(t)])) if grams(t) else 0.0, 9)) for i, t in rows)
+    out = quality.quality(both, labels).collect()
+    lengths = Counter((i if i is not None else -1, n) for i, n, _ in want)
+    assert Counter((r.doc_id if r.doc_id is not None else -1) for r in out) == Counter(i for (i, _), k in lengths.items() for _ in range(k))
+    assert sorted((r.doc_id if r.doc_id is not None else -1, round(r.llr, 6)) for r in out) == sorted((i, round(x, 6)) for i, _, x in want)
+    assert all(r.kept == (not r.base_failed and r.llr >= quality.THRESHOLD) for r in out)
+
+
 # 2
 def test_html_of_deep_pages():
     """No depth is a limit: elements far down keep their names and states, end tags close their own, and time stays linear."""
@@ -405,6 +432,25 @@ def test_sharding(request, which):
     assert ordered == sorted(ordered)
 
 
+def test_op8_against_brute_force(spark):
+    """The registered query: every column, from a plain sort and cumulative sums."""
+    path = "/root/testdata/sf0.01"
+    rows = sorted(((r.doc_id, r.text or "") for r in spark.read.parquet(f"{path}/documents.parquet").collect()), key=lambda x: x[0])
+    sizes = [len(t.encode()) + 8 for _, t in rows]
+    total, at, slots, want = sum(sizes), 0, Counter(), []
+    for (i, t), n in zip(rows, sizes):
+        shard = min(23, int((2 * at + n) * 24 // (2 * total)))
+        want.append((i, n, zlib.crc32(t.encode()), "bytes", shard, slots[shard], None))
+        slots[shard] += 1
+        at += n
+    got = sorted(map(tuple, sharding.op8_sharding(spark, path).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard").collect()))
+    assert got == want
+    loads = Counter()
+    for _, n, _, _, shard, _, _ in want:
+        loads[shard] += n
+    assert max(loads.values()) - min(loads.values()) <= 2 * max(sizes)
+
+
 # 9
 @pytest.mark.parametrize("which", ["odd", "docs", "empty"])
 def test_token_counts(request, which):
