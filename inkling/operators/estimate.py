@@ -94,10 +94,14 @@ def bootstrap_error(boot: DataFrame, keys: list[str], estimate: str, point: Data
 
 def prefix_profile(matched: DataFrame, keys: list[str], value: str, nparts: int) -> DataFrame:
     """Estimates at every sample size k/nparts in one pass: partials by pid, then cumulative sums over pid."""
-    part = matched.groupBy(*keys, "pid").agg(F.count(value).alias("n"), F.sum(value).alias("s"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    x = F.col(value).cast("double")
+    part = matched.groupBy(*keys, "pid").agg(F.count(x).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("ss"), F.min(value).alias("lo"), F.max(value).alias("hi"))
     w = Window.partitionBy(*keys).orderBy("pid").rowsBetween(Window.unboundedPreceding, 0)
-    share = (F.col("pid") + 1) / F.lit(float(nparts))
-    return part.select(*keys, "pid", F.sum("n").over(w).alias("n"), F.sum("s").over(w).alias("s"), F.min("lo").over(w).alias("lo"), F.max("hi").over(w).alias("hi")).select(*keys, "pid", E.est_count(F.col("n"), share).alias("count"), (F.col("s") / share).alias("sum"), (F.col("s") / F.col("n")).alias("avg"), "lo", "hi")
+    run = part.select(*keys, "pid", *[F.sum(c).over(w).alias(c) for c in ("n", "s", "ss")], F.min("lo").over(w).alias("lo"), F.max("hi").over(w).alias("hi"))
+    n, s, share = F.col("n"), F.col("s"), (F.col("pid") + 1) / F.lit(float(nparts))
+    var = F.when(n > 1, F.greatest(F.lit(0.0), (F.col("ss") - s * s / n) / (n - 1)))
+    err = E.guarded(E.err_avg(F.sqrt(var), n), n, share)
+    return run.select(*keys, "pid", E.est_count(n, share).alias("count"), (s / share).alias("sum"), (s / n).alias("avg"), err.alias("avg_error"), E.est_var_pop(n, var).alias("varPop"), F.sqrt(E.est_var_pop(n, var)).alias("stdPop"), "lo", "hi")
 
 
 def error_study(matched: DataFrame, keys: list[str], row_key: list[str], value: str, p: float, seeds: int) -> DataFrame:

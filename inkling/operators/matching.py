@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkling.functions.estimators import UNKNOWN_ERROR
+
 from .ranges import sums_below
 
 
@@ -28,6 +30,12 @@ def with_defaults(requests: DataFrame, aggregated: DataFrame, req_id: str, value
     return requests.join(aggregated, req_id, "left").fillna(values)
 
 
+def default_estimates(requests: DataFrame, estimated: DataFrame, req_id: str, p: float) -> DataFrame:
+    """Every request with fval and fest; without rows the value is 0, known exactly only if the whole table was read."""
+    unknown = 0.0 if p >= 1 - 1e-9 else UNKNOWN_ERROR
+    return requests.join(estimated, req_id, "left").fillna({"fval": 0.0, "fest": unknown})
+
+
 def expanding(requests: DataFrame, facts: DataFrame, keys: list[str], sums: dict[str, Column], *, req_id: str = "req_id", req_ts: str = "req_ts", ts: str = "ts", values: list[str] = ()) -> DataFrame:
     """Sums over all earlier facts of the keys: ranges of (key, time) of both, with what earlier ranges add up to carried in.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkling.functions.estimators import normal_cdf
+
 from inkling.functions.hashing import uniform
 
 EPS = 2.220446049250313e-16
@@ -87,6 +89,16 @@ def ks_two_sample(df: DataFrame, keys: list[str], value: str, side: str) -> Data
     return per.withColumn("gap", gap).groupBy(*keys).agg(F.max("gap").alias("ks"))
 
 
+def ks_normal(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Largest difference of a sample's distribution function from the normal one of its own mean and deviation."""
+    fitted = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"), F.count(value).alias("_all")).filter("_s > 0")
+    per = df.groupBy(*keys, value).agg(F.count(value).alias("n")).join(fitted, keys)
+    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) / F.col("_all")
+    z = (F.col(value) - F.col("_m")) / F.col("_s")
+    gaps = per.withColumn("_f", upto).withColumn("_g", normal_cdf(z))
+    return gaps.groupBy(*keys).agg(F.max(F.greatest(F.abs(F.col("_f") - F.col("_g")), F.abs(F.col("_g") - F.col("_f") + F.col("n") / F.col("_all")))).alias("ks"))
+
+
 def capped_regret(errors: DataFrame, key: str, cap: float) -> DataFrame:
     """Refresh priority: errors of a key by label time, each sum capped, added up."""
     per = errors.groupBy(key, "label_ts").agg(F.least(F.sum("err"), F.lit(cap)).alias("e"))

@@ -27,6 +27,8 @@ MODELS = {
     "boosting_classifier": lambda: C.GBTClassifier(seed=0),
     "svm": lambda: C.LinearSVC(),
 }
+#: Kinds that predict a class.
+CLASSIFIERS = frozenset([*(k for k in MODELS if k.endswith("classifier")), "logistic", "svm", "mlp_classifier"])
 SCALERS = {"standard": lambda **k: T.StandardScaler(withMean=True, **k), "minmax": T.MinMaxScaler, "robust": T.RobustScaler, "maxabs": T.MaxAbsScaler}
 
 

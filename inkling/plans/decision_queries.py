@@ -16,7 +16,9 @@ from inkling.streaming import jobs
 
 from . import progressive as T
 from .base import DAY, REQ, facts, h32, query, requests, rounded, u32
-from .estimate_queries import KEY
+from inkling.functions.estimators import sql_normal_ppf
+
+from .estimate_queries import KEY, PID
 
 GRAN = 0.05
 PLAN_SQL = f"""plan AS (SELECT c_custkey AS req_id, 'q' || k AS qname, k, round(({h32("'s|' || c_custkey || '|' || k")} % 20 + 1) * {GRAN}, 6) AS qsample, {u32("'i|' || c_custkey || '|' || k")} - 0.1 AS influence,
@@ -414,6 +416,37 @@ def st2(spark, d):
     return rounded(last.groupBy("user_id").agg(F.sum("e").alias("priority")), 8)
 
 
+BATCHES = (1704844800, 1705708800)  # the 10th and the 20th: three batches
+_BATCH = f"CASE WHEN label_ts < {BATCHES[0]} THEN 0 WHEN label_ts < {BATCHES[1]} THEN 1 ELSE 2 END"
+_TOP = lambda k: f"c{k} AS (SELECT user_id FROM p{k} ORDER BY round(e, 6) DESC, user_id LIMIT 20)"
+_DUE = lambda k: f"p{k} AS (SELECT user_id, sum(e) AS e FROM (SELECT user_id, e FROM p{k - 1} WHERE user_id NOT IN (SELECT user_id FROM c{k - 1}) UNION ALL SELECT user_id, e FROM e WHERE k = {k}) GROUP BY 1)"
+
+
+@query(
+    "st2_refresh_by_regret_stream",
+    f"""WITH {FB_SQL}, b AS (SELECT *, {_BATCH} AS k FROM fb), e AS (SELECT user_id, k, least(sum(err), 20) AS e FROM b GROUP BY user_id, k, label_ts), t AS (SELECT k, max(label_ts) AS now FROM b GROUP BY 1),
+    p0 AS (SELECT user_id, sum(e) AS e FROM e WHERE k = 0 GROUP BY 1), {_TOP(0)}, {_DUE(1)}, {_TOP(1)}, {_DUE(2)}, {_TOP(2)},
+    c AS (SELECT user_id, max(k) AS k FROM (SELECT user_id, 0 AS k FROM c0 UNION ALL SELECT user_id, 1 FROM c1 UNION ALL SELECT user_id, 2 FROM c2) GROUP BY 1),
+    w AS (SELECT user_id, e AS priority FROM p2 WHERE user_id NOT IN (SELECT user_id FROM c2))
+    SELECT c.user_id, any_value(now) AS stored_at, count(value) AS n, round(avg(value) + 1e-8, 5) AS mean, round(coalesce(any_value(priority), 0) + 1e-8, 4) AS waiting
+    FROM c JOIN t USING (k) LEFT JOIN w USING (user_id) LEFT JOIN events e ON e.user_id = c.user_id AND epoch_us(e.ts) // 1000000 < now GROUP BY 1""",
+)
+def st2_refresh(spark, d):
+    """Three batches of feedback in the order of time: the store at the end, and what its keys have gathered since their refresh."""
+    fb, base = materialize(feedback(spark, d)), shared_dir(spark)
+    ends = [None, *BATCHES, None]
+    for lo, hi in zip(ends, ends[1:]):
+        part = fb.filter((F.col("label_ts") >= lo) if lo else F.lit(True)).filter((F.col("label_ts") < hi) if hi else F.lit(True))
+        part.select("user_id", "label_ts", "err").repartition(2).write.mode("append").parquet(f"{base}/in")
+    stream = jobs.file_stream(spark, f"{base}/in", fb.select("user_id", "label_ts", "err").schema, 2)
+    jobs.refresh_stream(stream, fb, base, "user_id", "value", 20, 20.0).awaitTermination()
+    stored = spark.read.schema("user_id long, n long, mean double, stored_at long").option("recursiveFileLookup", True).parquet(f"{base}/store")
+    last = stored.groupBy("user_id").agg(F.max_by(F.struct("stored_at", "n", "mean"), "stored_at").alias("s")).select("user_id", "s.*")
+    waiting = spark.read.parquet(f"{base}/state/2")
+    out = last.join(waiting, "user_id", "left")
+    return out.select("user_id", "stored_at", "n", F.round(F.col("mean") + 1e-8, 5).alias("mean"), F.round(F.coalesce("priority", F.lit(0.0)) + 1e-8, 4).alias("waiting"))
+
+
 @query("st3_scoring_stream", f"WITH {REQ} SELECT req_id, count(value) AS n, round(coalesce(avg(value), 0), 6) AS mean FROM req LEFT JOIN f ON req.event_type = f.event_type AND f.ts >= req_ts - {DAY} AND f.ts < req_ts GROUP BY req_id")
 def st3(spark, d):
     e, base = read(spark, d, "events"), shared_dir(spark)
@@ -425,17 +458,45 @@ def st3(spark, d):
     return rounded(spark.read.schema("req_id long, n long, mean double").option("recursiveFileLookup", True).parquet(f"{base}/out"))
 
 
+def order_rows(spark, d):
+    """Orders with their customer's features; the label is the order's price."""
+    o, c = read(spark, d, "orders"), read(spark, d, "customer")
+    joined = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
+    return V.random_split(joined.select(F.col("o_orderkey").alias("req_id"), "c_acctbal", F.col("c_nationkey").cast("double").alias("c_nationkey"), F.month("o_orderdate").cast("double").alias("month"), F.col("o_totalprice").alias("label")), "req_id")
+
+
+ORDER_FEATURES = ["c_acctbal", "c_nationkey", "month"]
+
+
 @query("m1_m2_m5_train_and_score")
 def m1(spark, d):
     """Scaled regression of a feature table, scored in batch (held-out rows): req_id, label, prediction."""
     from inkling.operators import ml
 
-    rows = read(spark, d, "orders").join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("req_id"), "o_totalprice", "c_acctbal", "c_nationkey", (F.col("o_totalprice") * 0.5 + F.col("c_acctbal")).alias("label"))
-    split = V.random_split(rows, "req_id")
-    model = ml.make_model("linear", ["o_totalprice", "c_acctbal", "c_nationkey"], scaler="standard").fit(split.filter("split = 'train'"))
+    split = order_rows(spark, d)
+    model = ml.make_model("linear", ORDER_FEATURES, scaler="standard").fit(split.filter("split = 'train'"))
     return model.transform(split.filter("split = 'test'")).select("req_id", "label", "prediction")
 
 
+@query("m1_m2_models_and_scalers")
+def m1_all(spark, d):
+    """Held-out error of every kind of model, each with one of the scalers: kind, scaler, mse or share of right classes, rows."""
+    from inkling.operators import ml
+
+    split = materialize(order_rows(spark, d).withColumn("dear", (F.col("label") > 150000).cast("double")))
+    train, test = split.filter("split = 'train'"), split.filter("split = 'test'")
+    scalers, out = [*ml.SCALERS, None], None
+    for k, kind in enumerate([*ml.MODELS, "mlp_classifier"]):
+        sorts = kind in ml.CLASSIFIERS
+        label, scaler = "dear" if sorts else "label", scalers[k % len(scalers)]
+        told = ml.make_model(kind, ORDER_FEATURES, scaler=scaler, label=label).fit(train).transform(test)
+        miss = F.col("prediction") - F.col(label)
+        score = F.avg((miss == 0).cast("double")) if sorts else F.avg(miss * miss)
+        row = told.agg(F.lit(kind).alias("kind"), F.lit(scaler or "none").alias("scaler"), score.alias("score"), F.count(F.lit(1)).alias("rows"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("m3_grid_search")
 def m3(spark, d):
     """Mean cross-validated error of each parameter setting."""
@@ -455,7 +516,11 @@ def i9(spark, d):
     return ml.permutation_importance(model, materialize(rows), "req_id", ["l_quantity", "l_discount"], repeats=3).join(ml.importances(model, ["l_quantity", "l_discount"]), "fname")
 
 
-@query("i7_previous_step_influence")
+_STEP = lambda k: f"(SELECT l_suppkey AS req_id, avg(l_quantity) AS m, CASE WHEN count(*) < 30 THEN 1e9 ELSE stddev_samp(l_quantity) / sqrt(count(*)) END AS e FROM lineitem WHERE {PID} < {k} GROUP BY 1)"
+_DRAWN = lambda k: f"d{k} AS (SELECT req_id, m + e * {sql_normal_ppf('u')} + 5.0 AS x FROM (SELECT f.*, {u32(chr(39) + '0|' + chr(39) + ' || req_id || ' + chr(39) + '|avg_qty|' + chr(39) + ' || i')} AS u FROM {_STEP(k)} f, range(100) r(i))), c{k} AS (SELECT req_id, avg(cast(abs(x - mu) <= 1.5 AS INTEGER)) AS conf FROM d{k} JOIN (SELECT req_id, avg(x) AS mu FROM d{k} GROUP BY 1) USING (req_id) GROUP BY 1)"
+
+
+@query("i7_previous_step_influence", f"WITH {_DRAWN(30)}, {_DRAWN(20)} SELECT req_id, 'q2' AS frozen, round(c30.conf - c20.conf, 6) AS qinf FROM c30 JOIN c20 USING (req_id)")
 def i7(spark, d):
     """Gain in confidence from the last sample step: the same prediction from pid < 30 and from pid < 20."""
     from inkling.operators import influence as I

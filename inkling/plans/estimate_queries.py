@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkling.functions.estimators import normal_ppf, sql_normal_ppf
+from inkling.functions.estimators import normal_ppf, sql_normal_cdf, sql_normal_ppf
 from inkling.functions.hashing import uniform
 from inkling.operators import estimate as E
 from inkling.operators import influence as I
 from inkling.operators import propagate as U
-from inkling.operators.metrics import jarque_bera, ks_two_sample
+from inkling.operators.matching import default_estimates
+from inkling.operators.metrics import jarque_bera, ks_normal, ks_two_sample
 from inkling.sources.ingest import assign_pid, read
 
 from .base import h32, query, rounded, u32
@@ -111,9 +112,11 @@ def e18(spark, d):
 
 @query(
     "e21_prefix_profile",
-    f"""WITH g AS (SELECT l_suppkey, cast({PID} AS INTEGER) AS pid, count(*) AS n, sum(l_quantity) AS s, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY 1, 2),
-    c AS (SELECT l_suppkey, pid, sum(n) OVER w AS n, sum(s) OVER w AS s, min(lo) OVER w AS lo, max(hi) OVER w AS hi FROM g WINDOW w AS (PARTITION BY l_suppkey ORDER BY pid))
-    SELECT l_suppkey, pid, cast(round_even(n / ((pid + 1) / 100.0), 0) AS DOUBLE) AS count, round(s / ((pid + 1) / 100.0), 4) AS sum, round(s / n, 4) AS avg, lo, hi FROM c""",
+    f"""WITH g AS (SELECT l_suppkey, cast({PID} AS INTEGER) AS pid, count(*) AS n, sum(l_quantity) AS s, sum(l_quantity * l_quantity) AS ss, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY 1, 2),
+    c AS (SELECT l_suppkey, pid, sum(n) OVER w AS n, sum(s) OVER w AS s, sum(ss) OVER w AS ss, min(lo) OVER w AS lo, max(hi) OVER w AS hi FROM g WINDOW w AS (PARTITION BY l_suppkey ORDER BY pid)),
+    v AS (SELECT *, CASE WHEN n > 1 THEN greatest(0, (ss - s * s / n) / (n - 1)) WHEN n = 1 THEN 0 END AS var FROM c)
+    SELECT l_suppkey, pid, cast(round_even(n / ((pid + 1) / 100.0), 0) AS DOUBLE) AS count, round(s / ((pid + 1) / 100.0), 4) AS sum, round(s / n, 4) AS avg,
+    round(CASE WHEN pid = 99 THEN 0 WHEN n < 30 THEN 1e9 ELSE sqrt(var) / sqrt(n) END, 4) AS avg_error, round(var, 4) AS "varPop", round(sqrt(var), 4) AS "stdPop", lo, hi FROM v""",
 )
 def e21(spark, d):
     return rounded(E.prefix_profile(assign_pid(read(spark, d, "lineitem"), KEY), ["l_suppkey"], "l_quantity", 100), 4)
@@ -143,6 +146,23 @@ def v12(spark, d):
     return rounded(ks_two_sample(rows, ["l_suppkey"], "l_quantity", "side"))
 
 
+_Z = sql_normal_cdf("((x - m) / s)")
+
+
+@query("v12_ks_normal", f"WITH p AS (SELECT l_suppkey, l_quantity AS x, count(*) AS n FROM lineitem GROUP BY 1, 2), q AS (SELECT l_suppkey, avg(l_quantity) AS m, stddev_samp(l_quantity) AS s, count(*) AS c FROM lineitem GROUP BY 1), f AS (SELECT l_suppkey, n / c AS own, sum(n) OVER (PARTITION BY l_suppkey ORDER BY x) / c AS f, {_Z} AS g FROM p JOIN q USING (l_suppkey) WHERE s > 0) SELECT l_suppkey, round(max(greatest(abs(f - g), abs(g - f + own))), 6) AS ks FROM f GROUP BY 1")
+def v12_normal(spark, d):
+    return rounded(ks_normal(read(spark, d, "lineitem").select("l_suppkey", "l_quantity"), ["l_suppkey"], "l_quantity"))
+
+
+@query("p12_default_vectors", f"WITH r AS (SELECT DISTINCT user_id AS req_id FROM events), g AS (SELECT user_id AS req_id, count(value) AS n, avg(value) AS m, stddev_samp(value) AS s FROM events WHERE {h32(chr(39) + '0|' + chr(39) + ' || event_id')} % 100 < 20 GROUP BY 1) SELECT req_id, round(coalesce(m, 0) + 1e-8, 5) AS fval, round(CASE WHEN n IS NULL OR n < 3 THEN 1e9 ELSE s / sqrt(n) END + 1e-8, 5) AS fest FROM r LEFT JOIN g USING (req_id)")
+def p12(spark, d):
+    """Averages of a user's sampled events; users with no sampled event get the default vector."""
+    e = read(spark, d, "events")
+    est = E.estimates(assign_pid(e, ["event_id"]).filter("pid < 20"), ["user_id"], "value", 0.2, 1, ["avg"], min_support=3)
+    out = default_estimates(e.select(F.col("user_id").alias("req_id")).distinct(), est.select(F.col("user_id").alias("req_id"), "fval", "fest"), "req_id", 0.2)
+    return out.select("req_id", *[F.round(F.col(c) + 1e-8, 5).alias(c) for c in ("fval", "fest")])
+
+
 # --- propagation: three features of each supplier, a linear model ---------------------------------------------
 
 WEIGHTS, BIAS = {"avg_price": 0.001, "avg_qty": 1.0, "n": 0.01}, 5.0
@@ -215,6 +235,22 @@ def u3(spark, d):
     return rounded(_salt(spark, d).groupBy("req_id", "k").agg(F.avg("pred").alias("mean"), F.var_pop("pred").alias("var")), 5).withColumn("k", F.col("k").cast("long"))
 
 
+_AGAIN = lambda k: f"SELECT l_suppkey AS req_id, {k} AS k, avg(l_quantity) AS fval, stddev_samp(l_quantity) / sqrt(count(l_quantity)) AS fest FROM lineitem WHERE {PID} < {k} GROUP BY 1"
+
+
+@query("u5_reused_sequence", f"WITH f AS ({_AGAIN(20)} UNION ALL {_AGAIN(30)}), d AS (SELECT req_id, k, i, fval + fest * {sql_normal_ppf('u')} AS x FROM (SELECT *, {_REC(repr(U.root(0)))} AS u FROM f, range({NQ}) r(i))) SELECT a.req_id, round(avg(b.x - a.x), 5) AS shift, round(stddev_pop(b.x - a.x), 5) AS spread FROM d a JOIN d b USING (req_id, i) WHERE a.k = 20 AND b.k = 30 GROUP BY 1")
+def u5(spark, d):
+    """Two rounds draw from one sequence, so their draws differ by what the estimates differ by, not by chance."""
+    both = None
+    for k in (20, 30):
+        f = E.estimates(sampled(spark, d, k), ["l_suppkey"], "l_quantity", k / 100, 1, ["avg"], min_support=1).withColumn("k", F.lit(k))
+        both = f if both is None else both.unionByName(f)
+    x = both.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(NQ - 1)))).withColumn("_u", U.recurrence(F.col("i"), 0))
+    x = x.select("l_suppkey", "i", "k", U.draw(F.col("_u"), F.col("fval"), F.col("fest"), F.lit("normal")).alias("x"))
+    pairs = x.groupBy("l_suppkey", "i").agg((F.max(F.when(F.col("k") == 30, F.col("x"))) - F.max(F.when(F.col("k") == 20, F.col("x")))).alias("g"))
+    return rounded(pairs.groupBy(F.col("l_suppkey").alias("req_id")).agg(F.avg("g").alias("shift"), F.stddev_pop("g").alias("spread")), 5)
+
+
 @query("i1_i2_first_order_influence", f"WITH {FEAT}, {SALT}, {ENDS} SELECT req_id, k, round(avg((b - mu) * (c - a)) / any_value(v), 5) AS qinf FROM tri GROUP BY 1, 2")
 def i1(spark, d):
     return rounded(I.sobol(_salt(spark, d), 3), 5).withColumn("k", F.col("k").cast("long"))

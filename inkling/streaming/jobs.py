@@ -46,3 +46,28 @@ def regret_state(feedback: DataFrame, key: str, cap: float) -> DataFrame:
 
 def file_stream(spark: SparkSession, path: str, schema, per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+
+
+def refresh_stream(feedback: DataFrame, facts: DataFrame, base: str, key: str, value: str, budget: int, cap: float) -> StreamingQuery:
+    """Refresh by regret: streaming feedback (key, label_ts, err) adds to the priorities of its keys, and each batch refreshes the ``budget`` largest.
+
+    The state is one row for each key that waits, written by batch number below ``base``/state, so a repeated batch writes the same
+    again. Chosen keys get count and mean of their ``facts`` before the batch's last label time below ``base``/store, and start from
+    zero. Errors of one label time that come in several batches are capped by batch.
+    """
+    schema = f"{feedback.schema[key].name} {feedback.schema[key].dataType.simpleString()}, priority double"
+
+    def step(batch: DataFrame, k: int) -> None:
+        spark = batch.sparkSession
+        now = batch.agg(F.max("label_ts")).first()[0]  # one number
+        waiting = spark.read.schema(schema).parquet(f"{base}/state/{k - 1}") if k else spark.createDataFrame([], schema)
+        fresh = batch.groupBy(key, "label_ts").agg(F.least(F.sum("err"), F.lit(cap)).alias("priority")).select(key, "priority")
+        waiting.unionByName(fresh).groupBy(key).agg(F.sum("priority").alias("priority")).write.mode("overwrite").parquet(f"{base}/due/{k}")
+        due = spark.read.schema(schema).parquet(f"{base}/due/{k}")
+        chosen = due.orderBy(F.desc("priority"), key).limit(budget).select(key)
+        due.join(chosen, key, "left_anti").write.mode("overwrite").parquet(f"{base}/state/{k}")
+        known = facts.filter(F.col("label_ts") < now).join(chosen, key, "left_semi")
+        features = known.groupBy(key).agg(F.count(value).alias("n"), F.avg(value).alias("mean")).withColumn("stored_at", F.lit(now).cast("long"))
+        features.write.mode("overwrite").parquet(f"{base}/store/{k}")
+
+    return for_each_batch(feedback, step, f"{base}/cp")
