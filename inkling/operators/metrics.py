@@ -49,6 +49,14 @@ def pair_auc(scores: DataFrame, label: str) -> DataFrame:
     return won.groupBy("a", "b").agg((F.sum(F.col("pos") * (F.col("below") + 0.5 * F.col("neg"))) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
 
 
+def threshold_sweep(scored: DataFrame, y: str, score: str, lo: int = 40, hi: int = 80) -> DataFrame:
+    """(th, macro_f1): mean of both classes' F1 at every threshold from lo to hi hundredths."""
+    x = scored.select(F.col(y).alias("y"), F.col(score).alias("s"), F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("k")).withColumn("th", F.col("k") / 100.0)
+    x = x.withColumn("p", (F.col("s") >= F.col("th")).cast("int"))
+    flipped = binary(x.select("th", (1 - F.col("y")).alias("y"), (1 - F.col("p")).alias("p")), "y", "p", ["th"]).select("th", F.col("f1").alias("f0"))
+    return binary(x, "y", "p", ["th"]).join(flipped, "th").select("th", ((F.col("f1") + F.col("f0")) / 2).alias("macro_f1"))
+
+
 def feature_metrics(df: DataFrame) -> DataFrame:
     """Per feature from long rows (fname, exact, approx); NaN and null count as zero."""
     clean = lambda c: F.coalesce(F.nanvl(F.col(c), F.lit(None).cast("double")), F.lit(0.0)).alias(c)

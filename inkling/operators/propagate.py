@@ -8,7 +8,7 @@ from math import sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkling.functions.estimators import normal_ppf
+from inkling.functions.estimators import UNKNOWN_ERROR, normal_ppf
 from inkling.functions.hashing import uniform
 
 @lru_cache(maxsize=4096)
@@ -29,7 +29,8 @@ def recurrence(i: Column, dimension: int) -> Column:
 
 
 def draw(u: Column, fval: Column, fest: Column, fdist: Column, reps: Column | None = None) -> Column:
-    """A value of a feature for the uniform number ``u``."""
+    """A value of a feature for the uniform number ``u``; a null error is an unknown one."""
+    fest = F.coalesce(fest, F.lit(UNKNOWN_ERROR))
     z = normal_ppf(u)
     out = F.when((fdist == "fixed") | (fest < 1e-9), fval).when(fdist == "r-normal", fval + F.abs(z * fest))
     if reps is not None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from inkling.functions.hashing import hash32, uniform
@@ -356,10 +357,29 @@ def v13(spark, d):
 
 @query("m4_threshold_sweep", "WITH x AS (SELECT quality AS y, (doc_id % 101) / 100.0::DOUBLE AS s FROM labels), t AS (SELECT k / 100.0::DOUBLE AS th, y, cast(s >= k / 100.0 AS INTEGER) AS p FROM x, range(40, 81) r(k)), c AS (SELECT th, count(*) FILTER (WHERE y = 1 AND p = 1) AS tp, count(*) FILTER (WHERE y = 0 AND p = 1) AS fp, count(*) FILTER (WHERE y = 1 AND p = 0) AS fn, count(*) FILTER (WHERE y = 0 AND p = 0) AS tn FROM t GROUP BY 1) SELECT th, round((2 * tp / (2 * tp + fp + fn) + 2 * tn / (2 * tn + fp + fn)) / 2, 6) AS macro_f1 FROM c")
 def m4(spark, d):
-    x = read(spark, d, "labels").select(F.col("quality").alias("y"), (F.col("doc_id") % 101 / 100.0).alias("s"), F.explode(F.sequence(F.lit(40), F.lit(80))).alias("k")).withColumn("th", F.col("k") / 100.0)
-    x = x.withColumn("p", (F.col("s") >= F.col("th")).cast("int"))
-    flipped = V.binary(x.select("th", (1 - F.col("y")).alias("y"), (1 - F.col("p")).alias("p")), "y", "p", ["th"]).select("th", F.col("f1").alias("f0"))
-    return rounded(V.binary(x, "y", "p", ["th"]).join(flipped, "th").select("th", ((F.col("f1") + F.col("f0")) / 2).alias("macro_f1")))
+    x = read(spark, d, "labels").select(F.col("quality").alias("y"), (F.col("doc_id") % 101 / 100.0).alias("s"))
+    return rounded(V.threshold_sweep(x, "y", "s"))
+
+
+def priority_scores(spark, d):
+    """(question, req_id, y, s): held-out scores of one classifier for each order priority, whether the order is dear."""
+    from inkling.operators import ml
+
+    questions = read(spark, d, "orders").select(F.col("o_orderkey").alias("req_id"), F.col("o_orderpriority").alias("question"))
+    rows = materialize(order_rows(spark, d).join(questions, "req_id").withColumn("y", (F.col("label") > 100000).cast("int")))
+    out = None
+    for q in sorted(r.question for r in rows.select("question").distinct().collect()):  # a handful of priorities
+        own = rows.filter(F.col("question") == q)
+        model = ml.make_model("logistic", ORDER_FEATURES, scaler="standard", label="y").fit(own.filter("split = 'train'"))
+        told = model.transform(own.filter("split = 'test'")).select("question", "req_id", "y", vector_to_array("probability")[1].alias("s"))
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
+@query("m4_ensemble_sweep")
+def m4_ensemble(spark, d):
+    """Macro F1 of all questions' models together at each threshold."""
+    return V.threshold_sweep(priority_scores(spark, d), "y", "s")
 
 
 FB_SQL = "fb AS (SELECT user_id, epoch_us(ts) // 1000000 AS label_ts, value * value / 1000 AS err FROM events)"

@@ -52,3 +52,18 @@ def test_importances_find_the_feature_that_counts(spark):
     assert 1.5 < drop["a"] < 2.5 and abs(drop["b"]) < 0.05
     linear = ml.make_model("linear", ["a", "b"]).fit(rows)
     assert abs({r.fname: r.importance for r in ml.importances(linear, ["a", "b"]).collect()}["a"] - 5.0) < 1e-6
+
+
+def test_ensemble_sweep_against_plain_counts(spark):
+    scored = [(r.y, r.s) for r in Q.priority_scores(spark, DATA).collect()]
+    assert len(scored) == sum(r.split == "test" for r in Q.order_rows(spark, DATA).collect())
+
+    def f1(pairs):
+        tp, fp, fn = (sum(a == x and b == y for a, b in pairs) for x, y in ((1, 1), (0, 1), (1, 0)))
+        return 2 * tp / (2 * tp + fp + fn) if tp + fp + fn else 0.0
+
+    got = {round(r.th, 2): r.macro_f1 for r in Q.m4_ensemble(spark, DATA).collect()}
+    assert len(got) == 41
+    for th in (0.4, 0.55, 0.7, 0.8):
+        told = [(y, int(s >= th)) for y, s in scored]
+        assert abs(got[th] - (f1(told) + f1([(1 - a, 1 - b) for a, b in told])) / 2) < 1e-9
