@@ -30,7 +30,7 @@ PIECES = arrow_schema("doc_id long,piece int,start long,length long,ids_crc32 lo
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 #: Pieces of text and characters that a worker remembers at most before it starts afresh.
-KNOWN_WORDS, KNOWN_CHARS = 1_500_000, 64_000_000
+KNOWN_WORDS, KNOWN_CHARS = 500_000, 32_000_000
 
 #: Chunks of ASCII and Latin-1 letters: lower-casing changes one letter to one, and nothing composes.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
@@ -82,13 +82,16 @@ class Encoder:
     """
 
     def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+        self.tokenizer, self.chunks, self.parts = tokenizer, None, None
         vocabulary = tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
+        for old in (self.chunks, self.parts):
+            if old:
+                old.number.default_factory = None  # it refers to its dict, which would else stay until a full collection
         self.chunks, self.parts, self.chars = Ids(), Ids(), 0
 
     def learn(self) -> None:
