@@ -44,11 +44,12 @@ def priority(policy: str) -> Column:
     }[policy]
 
 
-def round_robin(plan: DataFrame, score: Column, steps: int, gran: float) -> DataFrame:
-    """``steps`` steps, one at a time to each query in order of score, until used up."""
-    ranked = with_steps(plan, gran).withColumn("_p", score).withColumn("_rank", F.row_number().over(Window.partitionBy("req_id").orderBy(F.desc("_p"), "qname")))
-    units = ranked.filter("valid > 0").select("req_id", "qname", "_rank", F.explode(F.sequence(F.lit(1), F.least(F.col("valid"), F.lit(steps)))).alias("_level"))
-    taken = units.withColumn("_i", F.row_number().over(Window.partitionBy("req_id").orderBy("_level", "_rank"))).filter(F.col("_i") <= steps).groupBy("req_id", "qname").agg(F.count(F.lit(1)).alias("_add"))
+def round_robin(plan: DataFrame, score: Column, steps: int | Column, gran: float) -> DataFrame:
+    """``steps`` steps (of each request, where it is a column), one at a time to each query in order of score, until used up."""
+    steps = steps if isinstance(steps, Column) else F.lit(steps)
+    ranked = with_steps(plan, gran).withColumn("_p", score).withColumn("_steps", steps.cast("long")).withColumn("_rank", F.row_number().over(Window.partitionBy("req_id").orderBy(F.desc("_p"), "qname")))
+    units = ranked.filter("valid > 0 and _steps > 0").select("req_id", "qname", "_rank", "_steps", F.explode(F.sequence(F.lit(1).cast("long"), F.least("valid", "_steps"))).alias("_level"))
+    taken = units.withColumn("_i", F.row_number().over(Window.partitionBy("req_id").orderBy("_level", "_rank"))).filter(F.col("_i") <= F.col("_steps")).groupBy("req_id", "qname").agg(F.count(F.lit(1)).alias("_add"))
     return _apply(ranked.join(taken, ["req_id", "qname"], "left"), F.coalesce("_add", F.lit(0)), gran)
 
 
@@ -93,8 +94,9 @@ def gradient(plan: DataFrame, steps: int, gran: float) -> DataFrame:
 
 
 def adaptive(plan: DataFrame, gran: float, support: int = 30) -> DataFrame:
-    """Base rule: queries with few rows jump to all of it; the others take ceil(1 / conf) steps in turn by influence."""
-    return plan.withColumn("qnext", F.when(F.col("qcard") < support, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.round(F.col("qsample") + gran * F.ceil(1 / F.greatest(F.col("pred_conf"), F.lit(0.05))), 6))))
+    """Base rule: queries with few rows jump to all of it; the request then has ceil(1 / conf) steps in all, one at a time by influence."""
+    jumped = plan.withColumn("qsample", F.when(F.col("qcard") < support, F.lit(1.0)).otherwise(F.col("qsample")))
+    return round_robin(jumped, F.col("influence"), F.ceil(1 / F.greatest(F.col("pred_conf"), F.lit(0.05))), gran)
 
 
 def _apply(rows: DataFrame, add: Column, gran: float) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkling.functions import estimators as E
-from inkling.functions.hashing import hash32, uniform
+from inkling.functions.hashing import uniform
+from inkling.sources.storage import materialize
 
 #: Cumulative probabilities of the Poisson(1) distribution by the first seven counts.
 POISSON_CUTS = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
@@ -40,15 +43,46 @@ def poisson_weight(u: Column) -> Column:
     return sum(((u > c).cast("int") for c in POISSON_CUTS[1:]), (u > POISSON_CUTS[0]).cast("int"))
 
 
-def poisson_bootstrap(matched: DataFrame, keys: list[str], row_key: list[str], value: str, replicates: int = 100, seed: int = 0) -> DataFrame:
-    """(keys, rep, n, s, mean, median, p50, p90, p99, var, lo, hi, u): aggregates of ``replicates`` resamples.
+#: Replicates that one aggregation adds up side by side (more and its code no longer compiles as one); further ones take further aggregations.
+SIDE_BY_SIDE = 10
+
+
+def md5_chance(seed: int, row_key: list[str]) -> Callable[[Column], Column]:
+    """A number in (0, 1) of a row (by its key) and a replicate, the same in any engine."""
+    return lambda rep: uniform(seed, rep, *[F.col(k) for k in row_key])
+
+
+def _side_by_side(matched: DataFrame, by: list[str], value: str, chance: Callable[[Column], Column], replicates: int, sums: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
+    """(by, rep, sums): one aggregation adds up the weighted sums of many replicates, so no row is repeated for a replicate."""
+    out = None
+    matched = materialize(matched) if replicates > SIDE_BY_SIDE else matched
+    for lo in range(0, replicates, SIDE_BY_SIDE):
+        reps = range(lo, min(replicates, lo + SIDE_BY_SIDE))
+        rows = matched.select(*by, *([value] if value not in by else []), *[poisson_weight(chance(F.lit(r))).alias(f"_w{r}") for r in reps])
+        added = rows.groupBy(*by).agg(*[f(F.col(f"_w{r}"), F.col(value)).alias(f"{name}_{r}") for r in reps for name, f in sums.items()])
+        told = added.select(*by, F.explode(F.array(*[F.struct(F.lit(r).alias("rep"), *[F.col(f"{name}_{r}").alias(name) for name in sums]) for r in reps])).alias("_r")).select(*by, "_r.*")
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
+def bootstrap_means(matched: DataFrame, keys: list[str], row_key: list[str], value: str, replicates: int = 100, seed: int = 0, chance: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(keys, rep, n, s, mean, var): the moments of ``replicates`` resamples in one pass, whatever the number of distinct values."""
+    there = lambda w, x: F.when(x.isNotNull(), w)
+    sums = {"n": lambda w, x: F.sum(there(w, x)), "s": lambda w, x: F.sum(w * x), "ss": lambda w, x: F.sum(w * x * x)}
+    m, s, ss = F.col("n"), F.col("s"), F.col("ss")
+    var = F.when(m > 1, F.greatest(F.lit(0.0), (ss - s * s / m) / (m - 1)))
+    return _side_by_side(matched, keys, value, chance or md5_chance(seed, row_key), replicates, sums).filter("n > 0").select(*keys, "rep", "n", "s", (s / m).alias("mean"), var.alias("var"))
+
+
+def poisson_bootstrap(matched: DataFrame, keys: list[str], row_key: list[str], value: str, replicates: int = 100, seed: int = 0, chance: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(keys, rep, n, s, mean, median, p50, p90, p99, var, lo, hi, u): aggregates of ``replicates`` resamples (see ``bootstrap_means`` for moments alone).
 
-    Weights are added up by distinct value before anything is shuffled, so what is sorted follows the values of a key, not
-    its rows. ``median`` is the lower one; p50, p90 and p99 interpolate; var is the unbiased variance, u the distinct values.
+    Weights are added up by distinct value in the map tasks, those of many replicates side by side, so what is shuffled and sorted
+    follows the values of a key, not its rows. ``median`` is the lower one; p50, p90 and p99 interpolate; var is the unbiased variance, u the
+    distinct values. ``chance`` maps a replicate to a number in (0, 1) for the row; without it that is md5 of seed, replicate and row key.
     """
-    reps = matched.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    weighted = reps.withColumn("w", poisson_weight(uniform(seed, F.col("rep"), *[F.col(k) for k in row_key]))).filter("w > 0")
-    counted = weighted.groupBy(*keys, "rep", value).agg(F.sum("w").alias("w"))
+    known = matched.filter(F.col(value).isNotNull())
+    counted = _side_by_side(known, [*keys, value], value, chance or md5_chance(seed, row_key), replicates, {"w": lambda w, x: F.sum(w)}).filter("w > 0")
     upto = Window.partitionBy(*keys, "rep").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.withColumn("_c", F.sum("w").over(upto)).withColumn("_n", F.sum("w").over(Window.partitionBy(*keys, "rep")))
     x, w, c, n = (F.col(k) for k in (value, "w", "_c", "_n"))

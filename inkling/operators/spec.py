@@ -9,7 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkling.operators import matching as J
-from inkling.operators.exact import aggregate
+from inkling.operators import windows as W
+from inkling.operators.exact import ALIASES, aggregate
+
+#: Aggregates of the whole past that running sums give.
+RUNNING = ("count", "sum", "avg", "varPop", "stdPop")
 
 
 @dataclass(frozen=True)
@@ -17,10 +21,11 @@ class FeatureSpec:
     """One query of a pipeline: facts, how they match a request, and the features made of the matching rows.
 
     ``kind``: "request" (expressions over the request itself), "group" (equal keys), "trailing" (equal keys, ``width`` before
-    the request), "expanding" (equal keys, before the request; count, sum, avg, varPop and stdPop), "lookup" (first stored row).
+    the request), "expanding" (equal keys, before the request), "lookup" (first stored row).
     ``features`` maps a name to (operator, column); an operator is the name of a textbook aggregate or any function from
     a column to an aggregate, a grouped-aggregate Pandas UDF included. ``condition`` filters the facts, ``post`` changes a
-    finished feature, ``default`` takes the place of missing ones.
+    finished feature, ``default`` takes the place of missing ones. ``row_key`` names the columns that tell facts apart (all, if none) where
+    rows are resampled.
     """
 
     kind: str
@@ -31,9 +36,10 @@ class FeatureSpec:
     condition: Column | str | None = None
     post: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
     default: float = 0.0
+    row_key: list[str] = field(default_factory=list)
 
     def swapped(self, old: str, new: str) -> "FeatureSpec":
-        """The variant with another operator in place of ``old``; what is expanding becomes a window over the whole past."""
+        """The variant with another operator in place of ``old``."""
         features = {n: (new if op == old else op, c) for n, (op, c) in self.features.items()}
         return replace(self, features=features)
 
@@ -51,18 +57,17 @@ def _expanding(requests: DataFrame, facts: DataFrame, spec: FeatureSpec) -> Data
     def value(op, c):
         n, s, q = (F.col(f"_{k}_{c}") for k in "nsq")
         var = F.greatest(F.lit(0.0), q / n - (s / n) * (s / n))
-        return {"count": n, "sum": s, "avg": s / n, "varPop": var, "stdPop": F.sqrt(var)}[op].cast("double")
+        return {"count": n, "sum": s, "avg": s / n, "varPop": var, "stdPop": F.sqrt(var)}[ALIASES.get(op, op)].cast("double")
 
     return found.select("req_id", *[F.when(F.col(f"_n_{c}") > 0, value(op, c)).alias(n) for n, (op, c) in spec.features.items()])
 
 
 def _matched(requests: DataFrame, spec: FeatureSpec) -> DataFrame:
     facts = spec.facts if spec.condition is None else spec.facts.filter(spec.condition)
-    if spec.kind == "expanding":
+    if spec.kind == "expanding" and all(isinstance(op, str) and ALIASES.get(op, op) in RUNNING for op, _ in spec.features.values()):
         return _expanding(requests, facts, spec)
-    if spec.kind == "trailing":
-        slim = requests.select("req_id", "req_ts", *spec.keys)
-        return J.interval_join(slim, facts, spec.keys, spec.width).groupBy("req_id").agg(*_aggregates(spec))
+    if spec.kind in ("trailing", "expanding"):
+        return W.trailing(requests.select("req_id", "req_ts", *spec.keys), facts, spec.keys, spec.width if spec.kind == "trailing" else None, spec.features)
     if spec.kind == "group":
         return requests.select("req_id", *spec.keys).join(facts.groupBy(*spec.keys).agg(*_aggregates(spec)), spec.keys).drop(*spec.keys)
     if spec.kind == "lookup":

@@ -95,9 +95,16 @@ def l9(spark, d):
     return _next(L.step_gradient(plan(spark, d).withColumn("pvar", F.lit(0.02)), 12, GRAN))
 
 
-@query("l14_adaptive", f"WITH {PLAN_SQL} SELECT req_id, qname, round(CASE WHEN qcard < 30 THEN 1.0 ELSE least(1, qsample + {GRAN} * ceil(1 / greatest(influence, 0.05))) END, 6) AS qnext FROM plan")
+@query(
+    "l14_adaptive",
+    f"""WITH {PLAN_SQL}, j AS (SELECT req_id, qname, influence, CASE WHEN qcard < 30 THEN 1.0 ELSE qsample END AS qsample, ceil(1 / greatest({u32("'p|' || req_id")}, 0.05)) AS steps FROM plan),
+    rk AS (SELECT *, cast(round((1 - qsample) / {GRAN}) AS BIGINT) AS valid, row_number() OVER (PARTITION BY req_id ORDER BY influence DESC, qname) AS rank FROM j),
+    tk AS (SELECT req_id, qname, steps, row_number() OVER (PARTITION BY req_id ORDER BY lv, rank) AS i FROM rk, range(1, 21) l(lv) WHERE lv <= valid),
+    ad AS (SELECT req_id, qname, count(*) AS n FROM tk WHERE i <= steps GROUP BY 1, 2)
+    SELECT req_id, qname, least(1.0, round(qsample + coalesce(n, 0) * {GRAN}, 6))::DOUBLE AS qnext FROM j LEFT JOIN ad USING (req_id, qname)""",
+)
 def l14(spark, d):
-    return _next(L.adaptive(plan(spark, d).withColumn("pred_conf", F.col("influence")), GRAN))
+    return _next(L.adaptive(plan(spark, d).withColumn("pred_conf", uniform("p", F.col("req_id"))), GRAN))
 
 
 @query("t1_termination", f"WITH {PLAN_SQL} SELECT req_id, min(qsample) >= 1 OR (avg(influence) <= 0.45 AND max(influence) >= 0.6) OR (avg(influence) < 1e-9 AND max(influence) > 1 - 1e-9) AS done FROM plan GROUP BY 1")

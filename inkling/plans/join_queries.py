@@ -8,6 +8,7 @@ from inkling.functions.hashing import hash32, uniform
 from inkling.functions.scalar import epoch_s, epoch_us
 from inkling.operators import exact as A
 from inkling.operators import matching as J
+from inkling.operators import windows as W
 from inkling.sources.ingest import hourly_store, read
 
 from .base import DAY, HOUR, REQ, facts, h32, query, requests, rounded, u32
@@ -20,16 +21,17 @@ from .base import DAY, HOUR, REQ, facts, h32, query, requests, rounded, u32
 )
 def j1(spark, d):
     e = read(spark, d, "events")
-    hits = J.interval_join(requests(e).select("req_id", "event_type", "req_ts"), facts(e), ["event_type"], 7 * DAY)
-    agg = hits.groupBy("req_id").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.max("value").alias("top"), F.count_distinct("user_id").alias("users"))
-    return rounded(J.with_defaults(requests(e).select("req_id"), agg, "req_id", {"n": 0, "mean": 0.0, "std": 0.0, "top": 0.0, "users": 0}))
+    features = {"n": ("count", "value"), "mean": ("avg", "value"), "std": ("stdPop", "value"), "top": ("max", "value"), "users": ("unique", "user_id")}
+    agg = W.trailing(requests(e), facts(e), ["event_type"], 7 * DAY, features)
+    out = J.with_defaults(requests(e).select("req_id"), agg, "req_id", dict.fromkeys(features, 0.0))
+    return rounded(out.withColumns({c: F.col(c).cast("long") for c in ("n", "users")}))
 
 
 @query("j2_forward_window", f"WITH {REQ} SELECT req_id, count(value) AS n, round(coalesce(avg(value), 0), 6) AS mean FROM req LEFT JOIN f ON req.event_type = f.event_type AND f.ts >= req_ts AND f.ts < req_ts + {HOUR} GROUP BY req_id")
 def j2(spark, d):
     e = read(spark, d, "events")
-    hits = J.interval_join(requests(e).select("req_id", "event_type", "req_ts"), facts(e), ["event_type"], HOUR, forward=True)
-    return rounded(J.with_defaults(requests(e).select("req_id"), hits.groupBy("req_id").agg(F.count("value").alias("n"), F.avg("value").alias("mean")), "req_id", {"n": 0, "mean": 0.0}))
+    agg = W.trailing(requests(e), facts(e), ["event_type"], HOUR, {"n": ("count", "value"), "mean": ("avg", "value")}, forward=True)
+    return rounded(J.with_defaults(requests(e).select("req_id"), agg, "req_id", {"n": 0.0, "mean": 0.0}).withColumn("n", F.col("n").cast("long")))
 
 
 @query("j3_expanding_window", f"WITH {REQ} SELECT req_id, count(f.event_id) AS n, round(coalesce(sum(value), 0), 6) AS total FROM req LEFT JOIN f ON req.user_id = f.user_id AND req.event_type = f.event_type AND f.ts < req_ts GROUP BY req_id")

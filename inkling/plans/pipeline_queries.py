@@ -9,6 +9,7 @@ from pyspark.sql.types import DoubleType
 
 from inkling.functions.scalar import epoch_us, is_weekend, monday_weekday
 from inkling.operators import matching as J
+from inkling.operators import windows as W
 from inkling.operators.spec import FeatureSpec, assemble
 from inkling.sources.ingest import read
 
@@ -113,12 +114,8 @@ def tick(spark, d, op: str):
     r = event_requests(spark, d).withColumn("hour_ts", hour)
     store = e.groupBy("event_type", hour.alias("hour_ts")).agg(F.avg("value").alias("v"))
     lags = J.hour_offsets(r.select("req_id", "event_type", "hour_ts"), store, ["event_type"], "hour_ts", "v", 6)
-    # The hour so far is an equi-join on key and hour.
-    now = facts(e).withColumn("hour", F.floor(F.col("ts") / HOUR))
-    so_far = r.select("req_id", "event_type", "req_ts", F.floor(F.col("req_ts") / HOUR).alias("hour")).join(now, ["event_type", "hour"]).filter("ts < req_ts")
-    from inkling.operators.exact import aggregate
-
-    current = so_far.groupBy("req_id").agg(aggregate(op, F.col("value")).alias("now"))
+    so_far = r.select("req_id", "event_type", (F.floor(F.col("req_ts") / HOUR) * HOUR).alias("_lo"), F.col("req_ts").alias("_hi"))
+    current = W.between(so_far, facts(e), ["event_type"], HOUR, {"now": (op, "value")})
     return rounded(lags.join(current, "req_id", "left").fillna(0.0, ["now"]), 5)
 
 
@@ -153,15 +150,21 @@ CARD = {n: {f"sum_{n}d": ("sum", "price"), f"avg_{n}d": ("avg", "price"), f"n_{n
 CARD_SQL = "req AS (SELECT o_orderkey AS req_id, o_custkey, o_orderstatus, o_totalprice, epoch_us(o_orderdate) AS req_ts FROM orders WHERE o_orderkey % 100 = 0), f AS (SELECT o_custkey, o_totalprice AS price, epoch_us(o_orderdate) AS ts FROM orders)"
 
 
-@query("pl_card_fraud", f"WITH {CARD_SQL}, {sql_trailing('a', ['o_custkey'], 30 * DAY, CARD[30])}, {sql_trailing('b', ['o_custkey'], 360 * DAY, CARD[360])} SELECT req_id, {code_sql('o_orderstatus', 'FOP')} AS status, round(o_totalprice + {NUDGE}, 3) AS amount, round(coalesce(c_acctbal, 0) + {NUDGE}, 3) AS balance, coalesce(cast(c_nationkey AS DOUBLE), 0) AS nation, {sql_rounded([*CARD[30], *CARD[360]], 3)} FROM req LEFT JOIN customer ON c_custkey = o_custkey JOIN a USING (req_id) JOIN b USING (req_id)")
-def card_fraud(spark, d):
+def card_parts(spark, d):
+    """Requests, the request's own features, the lookup and the facts."""
     o = read(spark, d, "orders")
     r = o.filter("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("req_id"), "o_custkey", "o_orderstatus", "o_totalprice", epoch_us(F.col("o_orderdate")).alias("req_ts"))
     f = o.select("o_custkey", F.col("o_totalprice").alias("price"), epoch_us(F.col("o_orderdate")).alias("ts"))
     c = read(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal", F.col("c_nationkey").cast("double").alias("c_nationkey"))
     own = FeatureSpec("request", {"status": (lambda x: code(x, "FOP"), "o_orderstatus"), "amount": (lambda x: x, "o_totalprice")})
+    return r, own, FeatureSpec("lookup", {"balance": ("first", "c_acctbal"), "nation": ("first", "c_nationkey")}, c, ["o_custkey"]), f
+
+
+@query("pl_card_fraud", f"WITH {CARD_SQL}, {sql_trailing('a', ['o_custkey'], 30 * DAY, CARD[30])}, {sql_trailing('b', ['o_custkey'], 360 * DAY, CARD[360])} SELECT req_id, {code_sql('o_orderstatus', 'FOP')} AS status, round(o_totalprice + {NUDGE}, 3) AS amount, round(coalesce(c_acctbal, 0) + {NUDGE}, 3) AS balance, coalesce(cast(c_nationkey AS DOUBLE), 0) AS nation, {sql_rounded([*CARD[30], *CARD[360]], 3)} FROM req LEFT JOIN customer ON c_custkey = o_custkey JOIN a USING (req_id) JOIN b USING (req_id)")
+def card_fraud(spark, d):
+    r, own, lookup, f = card_parts(spark, d)
     windows = [FeatureSpec("trailing", x, f, ["o_custkey"], n * DAY) for n, x in CARD.items()]
-    return rounded(assemble(r, [own, FeatureSpec("lookup", {"balance": ("first", "c_acctbal"), "nation": ("first", "c_nationkey")}, c, ["o_custkey"]), *windows]), 3)
+    return rounded(assemble(r, [own, lookup, *windows]), 3)
 
 
 # --- machines: aggregates of a block ------------------------------------------------------------------------------
@@ -206,8 +209,8 @@ def battery(spark, d, median: bool):
     l = read(spark, d, "lineitem").select("l_partkey", epoch_us(F.col("l_shipdate")).alias("ts"), *SENSORS)
     cut = F.lit(BATTERY_FROM) + (F.col("l_partkey") % 7) * ((BATTERY_TO - BATTERY_FROM) // 7)
     r = l.select("l_partkey").distinct().select(F.col("l_partkey").alias("req_id"), "l_partkey", cut.alias("req_ts"))
-    # Running sums serve averages and deviations; a median needs the values, which one request a key gathers by aggregation.
-    spec = FeatureSpec("trailing", median_of(BATTERY), l, ["l_partkey"], 20 * 365 * DAY) if median else FeatureSpec("expanding", BATTERY, l, ["l_partkey"])
+    spec = FeatureSpec("expanding", BATTERY, l, ["l_partkey"])
+    spec = spec.swapped("avg", "median") if median else spec
     own = FeatureSpec("request", {"req_ts": (lambda c: c, "req_ts")})
     return rounded(assemble(r, [own, spec]), 3)
 

@@ -29,10 +29,11 @@ def score_requests(requests: DataFrame, facts: DataFrame, keys: list[str], width
 
     The request's aggregates end with its micro-batch, so they are computed per batch by the caller's ``foreachBatch``.
     """
-    from inkling.operators.matching import interval_join, with_defaults
+    from inkling.operators.matching import with_defaults
+    from inkling.operators.windows import trailing
 
-    hits = interval_join(requests, facts, keys, width)
-    return with_defaults(requests.select("req_id"), hits.groupBy("req_id").agg(F.count("value").alias("n"), F.avg("value").alias("mean")), "req_id", {"n": 0, "mean": 0.0})
+    told = trailing(requests, facts, keys, width, {"n": ("count", "value"), "mean": ("avg", "value")})
+    return with_defaults(requests.select("req_id"), told, "req_id", {"n": 0.0, "mean": 0.0}).withColumn("n", F.col("n").cast("long"))
 
 
 def for_each_batch(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkling.plans import decision_queries as Q
+from inkling.operators.spec import FeatureSpec
 from inkling.plans import progressive as T
 
 DATA = "/root/testdata/sf0.01"
@@ -61,7 +62,8 @@ def test_progressive_model_to_the_end_is_the_exact_job(spark, classifier):
 
 def test_rounds_read_open_requests_alone(spark):
     """Facts of a request that is not in the plan, or outside its ranges, add nothing."""
-    facts = spark.createDataFrame([(i, p, float(10 * i + p)) for i in (1, 2, 3) for p in range(10)], "req_id long, pid int, x double")
-    plan = spark.createDataFrame([(1, 0.2, 0.5), (3, 0.5, 0.5)], "req_id long, qs_q double, qn_q double")
-    got = T.new_partials(facts, plan, {"q": ("avg", "x")}, 10).collect()
-    assert [(r.req_id, r.n_q, r.s_q) for r in got] == [(1, 3, 12.0 + 13 + 14)]
+    facts = spark.createDataFrame([(i, p, float(10 * i + p)) for i in (1, 2, 3) for p in range(10)], "key long, pid int, x double")
+    plan = spark.createDataFrame([(1, 1, 0.2, 0.5), (3, 3, 0.5, 0.5)], "req_id long, k_key long, qs_0 double, qn_0 double")
+    q = [T._query(0, FeatureSpec("group", {"q": ("avg", "x")}, facts, ["key"]), False)]
+    got = T.matched(plan, q, 10, {0: (2, 5)}).groupBy("req_id").agg(*T.partials(q, True)).collect()
+    assert [(r.req_id, r.n_0_0, r.s_0_0, r.b_n_0_0, r.b_s_0_0) for r in got] == [(1, 3, 12.0 + 13 + 14, 2, 12.0 + 13)]
