@@ -180,7 +180,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, bits: int = 3, width: int = 3, dense: int = 2048) -> DataFrame:
-    """One row per document: doc_id, _id, _tkey, fp, component_id (the smallest doc_id reachable over links, itself included).
+    """One row per document: doc_id, _id, _tkey, fp, component_id (the smallest doc_id reachable over links, itself included), root (the
+    component's own name, as ids may repeat).
 
     Copies share a fingerprint and are represented by it, so only distinct fingerprints are joined. Null ids sort first
     and are returned as null; texts without words have fingerprint zero and link like any other. A table without rows
@@ -192,8 +193,9 @@ def near_duplicates(docs: DataFrame, bits: int = 3, width: int = 3, dense: int =
     roots = materialize(components(links(prints, bits, dense)))
     grouped = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = materialize(grouped.groupBy("root").agg(F.min("least").alias("component_id")))
-    named = materialize(grouped.join(ids, "root").select("fp", "component_id"))
-    return rows.join(named, "fp").select("doc_id", "_id", "_tkey", "fp", F.when(F.col("component_id") != -(2**63), F.col("component_id")).alias("component_id"))
+    named = materialize(grouped.join(ids, "root").select("fp", "component_id", "root"))
+    known = F.when(F.col("component_id") != -(2**63), F.col("component_id")).alias("component_id")
+    return rows.join(named, "fp").select("doc_id", "_id", "_tkey", "fp", known, "root")
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
@@ -202,11 +204,22 @@ def op7_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` without near-duplicates: of each component the rows with its smallest doc_id stay (repeated rows stay repeated).
+    """``docs`` without near-duplicates: of each component one row stays, that of the smallest doc_id, then of the smallest hash of the text.
 
-    Rows are told apart by id and text, so a row of another component that shares that id is judged on its own.
+    A component is known by its fingerprints, so rows of two components that share an id are judged apart. Rows equal in id and text
+    leave one (that of the smallest hash of the other columns, or one of equal ones); null ids come first and leave one as well.
     """
-    found = near_duplicates(docs)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("_id", "_tkey").distinct()
-    i, t = unused(docs, "_id", "_tkey")
-    return docs.withColumns({i: row_id(), t: F.xxhash64("text")}).join(keep.toDF(i, t), [i, t], "left_semi").select(*docs.columns)
+    found = materialize(near_duplicates(docs).select("_id", "_tkey", "root"))
+    first = found.groupBy("root").agg(F.min(F.struct("_id", "_tkey")).alias("_r")).select("_r.*")
+    i, t, row = unused(docs, "_id", "_tkey", "_row")
+    rows = found.groupBy("_id", "_tkey").agg(F.count(F.lit(1)).alias("_n"))
+    keep = materialize(first.join(rows, ["_id", "_tkey"]).toDF(i, t, "_n"))
+    named = docs.withColumns({i: row_id(), t: F.xxhash64("text")})
+    out = named.join(keep.select(i, t), [i, t], "left_semi").select(*docs.columns)
+    repeated = keep.filter("_n > 1").select(i, t)
+    if repeated.isEmpty():  # ids are unique as a rule
+        return out
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    order = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])
+    one = named.join(repeated, [i, t], "left_semi").groupBy(i, t).agg(F.min_by(whole, order).alias(row)).select(f"{row}.*")
+    return named.join(keep.filter("_n = 1").select(i, t), [i, t], "left_semi").select(*docs.columns).unionByName(one)

@@ -394,7 +394,18 @@ def test_one_of_each_tells_rows_of_one_id_apart(spark):
     copy, other = "one two three four five six seven", "quite another text without any word in common here"
     rows = [(1, copy), (2, copy), (2, other), (2, other), (None, None), (5, "")]
     left = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert Counter(map(tuple, left)) == Counter([(1, copy), (2, other), (2, other), (None, None)])
+    assert Counter(map(tuple, left)) == Counter([(1, copy), (2, other), (None, None)])
+
+
+def test_one_row_of_each_component(spark):
+    """Equal rows, rows equal in id and text alone, null ids, and copies under several ids leave one row each."""
+    copy, near, other = "one two three four five six seven", "ONE two three four five six seven", "quite another text without any word in common here"
+    rows = [(1, copy, "b"), (1, copy, "a"), (1, copy, "a"), (2, copy, "a"), (1, near, "c"), *[(None, other, str(k)) for k in range(5)], (3, None, "x"), (4, "", "x"), (4, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row string")
+    left = sorted(map(tuple, simhash.one_of_each(df).collect()), key=repr)
+    assert len(left) == 3 and {(r[0], (r[1] or "").lower()) for r in left} == {(1, copy), (None, other), (3, "")}
+    assert left == sorted(map(tuple, simhash.one_of_each(df.repartition(3)).collect()), key=repr)
+    assert simhash.one_of_each(df.filter("doc_id > 9")).collect() == []
 
 
 def test_simhash_links_and_crowded_buckets(spark):
