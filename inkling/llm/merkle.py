@@ -96,6 +96,7 @@ def _numbered(nodes: DataFrame, group: str, order: list[str]) -> DataFrame:
 
     Null is a group of its own. Each range counts its groups; the counts before a range are carried into it.
     """
+    nodes = materialize(nodes)  # range partitioning reads its input twice
     rows = nodes.repartitionByRange(shuffle_partitions(nodes.sparkSession), group, *order).withColumn("_part", F.spark_partition_id())
     rows = materialize(rows)
     by = Window.partitionBy(group)
