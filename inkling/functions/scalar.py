@@ -35,3 +35,8 @@ def yes_no(text: Column) -> Column:
 def level_group(question: Column) -> Column:
     """Questions up to 3, 13 and 22."""
     return F.when(question <= 3, "0-4").when(question <= 13, "5-12").when(question <= 22, "13-22")
+
+
+def label_time(label_ts: Column, ts: Column) -> Column:
+    """When a label is known: never before the row itself; without a time of its own, with the row."""
+    return F.greatest(label_ts, ts)

@@ -115,3 +115,51 @@ def capped_regret(errors: DataFrame, key: str, cap: float) -> DataFrame:
 
 def refresh_budget(now: Column, last: Column, budget: float) -> Column:
     return F.when(F.lit(abs(budget) < 1e-12), 0).when(last.isNull(), 1).otherwise(F.floor((now - last) * budget)).cast("long")
+
+
+def run_report(run: DataFrame, by: list[str], *, max_error: float, max_relative: float, min_conf: float) -> DataFrame:
+    """One row for each run of ``run`` (by; pred, pred_error, pred_conf, pred_var, rounds, shares, cost; exact, exact_cost, label).
+
+    Means of claimed error, confidence, variance and real error; shares of requests that meet each target; rounds and the share read, by query and in
+    all; similarity to the exact prediction and accuracy against the label (r2, predictions held within the run's labels), the
+    loss of accuracy against the exact job, and how many times cheaper than it the run was.
+    """
+    real = F.abs(F.col("pred") - F.col("exact"))
+    met = lambda c: F.avg(c.cast("double"))
+    ends = run.groupBy(*by).agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"))
+    held = lambda c: F.least(F.greatest(F.col(c), F.col("_lo")), F.col("_hi"))
+    rows = run.join(ends, by).withColumns({"_p": held("pred"), "_x": held("exact")})
+    r2 = lambda y, p: 1 - F.avg((F.col(y) - F.col(p)) * (F.col(y) - F.col(p))) / F.var_pop(y)
+    width = F.size(F.first("shares"))
+    told = rows.groupBy(*by).agg(
+        F.avg("pred_error").alias("claimed_error"), F.avg("pred_conf").alias("conf"), F.avg("pred_var").alias("var"), F.avg(real).alias("real_error"),
+        met(real <= max_error).alias("meet_error"), met(real <= max_relative * F.abs("exact")).alias("meet_relative"), met(F.col("pred_error") <= max_error).alias("meet_claimed"), met(F.col("pred_conf") >= min_conf).alias("meet_conf"),
+        F.avg("rounds").alias("rounds"), r2("_x", "_p").alias("similarity"), r2("label", "_p").alias("accuracy"), r2("label", "_x").alias("exact_accuracy"), (F.avg("exact_cost") / F.avg("cost")).alias("speedup"), width.alias("_w"),
+    )
+    shares = list_means(run.select(*by, "shares"), by, "shares")
+    loss = (F.col("exact_accuracy") - F.col("accuracy")).alias("loss")
+    total = F.aggregate("shares", F.lit(0.0), lambda s, x: s + x).alias("share_total")
+    return told.join(shares, by).select("*", loss, (100 * loss / F.col("exact_accuracy")).alias("loss_pct"), total).drop("_w")
+
+
+def list_means(df: DataFrame, by: list[str], column: str) -> DataFrame:
+    """(by, column): the element-wise mean of a column of lists."""
+    each = df.select(*by, F.posexplode(column).alias("_at", "_x")).groupBy(*by, "_at").agg(F.avg("_x").alias("_x"))
+    return each.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_x"))), lambda x: x["_x"]).alias(column))
+
+
+def over_seeds(reports: DataFrame, keys: list[str], seed: str, values: list[str], lists: list[str] = (), order: str | None = None) -> DataFrame:
+    """Means over the seeds of each configuration, lists element by element; of several reports of a seed the first by ``order`` counts."""
+    first = reports.groupBy(*keys, seed).agg(F.min_by(F.struct(*values, *lists), order or F.lit(0)).alias("_r")).select(*keys, seed, "_r.*")
+    out = first.groupBy(*keys).agg(*[F.avg(v).alias(v) for v in values], F.count(F.lit(1)).alias("seeds"))
+    for c in lists:
+        out = out.join(list_means(first.select(*keys, c), keys, c), keys)
+    return out
+
+
+def round_counts(run: DataFrame, by: list[str]) -> DataFrame:
+    """(by, rounds, n, share, failed_share): the histogram of rounds, and the share of all rounds that did not end a request."""
+    counted = run.groupBy(*by, "rounds").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*by)
+    failed = F.sum((F.col("rounds") - 1) * F.col("n")).over(w) / F.sum(F.col("rounds") * F.col("n")).over(w)
+    return counted.select(*by, "rounds", "n", (F.col("n") / F.sum("n").over(w)).alias("share"), failed.alias("failed_share"))

@@ -10,6 +10,7 @@ from inkling.functions.scalar import epoch_s
 from inkling.operators import allocate as L
 from inkling.operators import metrics as V
 from inkling.operators import refresh as R
+from inkling.operators.planning import frontier, level_profile
 from inkling.operators.ranges import previous, quantiles
 from inkling.sources.ingest import assign_pid, read
 from inkling.sources.storage import materialize, shared_dir
@@ -226,6 +227,25 @@ def c5(spark, d):
     return m.agg(F.min(F.struct("cost", "qa", "qb")).alias("b")).select(F.col("b.qa").cast("long").alias("qa"), F.col("b.qb").cast("long").alias("qb"), F.col("b.cost").cast("long").alias("cost"))
 
 
+PLAN_LEVELS, PLAN_WEIGHTS = [5, 10, 20, 40, 70, 100], {"l_quantity": 1.0, "l_discount": 200.0, "l_extendedprice": 0.001}
+_LEVEL_AVG = lambda k: f"SELECT l_suppkey, {k} AS level, count(*) AS n, " + ", ".join(f"avg({c}) AS {c}" for c in PLAN_WEIGHTS) + f" FROM lineitem WHERE {PID} < {k} GROUP BY 1"
+_LEVEL_VAR = " UNION ALL ".join(f"SELECT '{c}' AS q, level, sum(n)::DOUBLE AS cost, avg(power({w!r} * (coalesce({c}, 0) - w_{c}), 2)) AS var FROM e GROUP BY level" for c, w in PLAN_WEIGHTS.items())
+
+
+@query(
+    "c5_plan_frontier",
+    f"""WITH a AS ({' UNION ALL '.join(_LEVEL_AVG(k) for k in PLAN_LEVELS)}), w AS (SELECT l_suppkey, {', '.join(f'{c} AS w_{c}' for c in PLAN_WEIGHTS)} FROM a WHERE level = 100),
+    g AS (SELECT l_suppkey, level FROM w, (SELECT DISTINCT level FROM a)), e AS (SELECT g.level, coalesce(n, 0) AS n, {', '.join(PLAN_WEIGHTS)}, {', '.join(f'w_{c}' for c in PLAN_WEIGHTS)} FROM g JOIN w USING (l_suppkey) LEFT JOIN a ON a.l_suppkey = g.l_suppkey AND a.level = g.level),
+    p AS ({_LEVEL_VAR}), c AS (SELECT x.level AS a, y.level AS b, z.level AS c, x.cost + y.cost + z.cost AS cost, x.var + y.var + z.var AS var FROM p x, p y, p z WHERE x.q = 'l_quantity' AND y.q = 'l_discount' AND z.q = 'l_extendedprice')
+    SELECT cost, round(var, 6) AS var FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.cost <= c.cost AND o.var <= c.var AND (o.cost < c.cost OR o.var < c.var)) GROUP BY 1, 2""",
+)
+def c5_frontier(spark, d):
+    """All plans of six levels for each of three queries that no other plan beats, from a profile of the real table."""
+    facts = assign_pid(read(spark, d, "lineitem"), KEY).select("l_suppkey", "pid", *PLAN_WEIGHTS)
+    plans = frontier(level_profile(facts, "l_suppkey", PLAN_WEIGHTS, PLAN_LEVELS), list(PLAN_WEIGHTS))
+    return plans.select("cost", F.round("var", 6).alias("var"))
+
+
 @query("d1_d2_dataset", "SELECT e.event_id AS req_id, e.user_id AS req_user, f.n AS f_n, round(f.m, 5) AS f_mean, CASE WHEN e.event_type = 'purchase' THEN 1 ELSE 0 END AS label FROM events e JOIN (SELECT user_id, count(*) AS n, avg(value) AS m FROM events GROUP BY 1) f USING (user_id)")
 def d1(spark, d):
     e = read(spark, d, "events")

@@ -201,10 +201,15 @@ def p11(spark, d):
     return rounded(req.join(means, "event_type").select("req_id", (F.col("fval") + F.coalesce("req_offset_value", F.lit(0))).alias("fval")))
 
 
-@query("d13_d14_times_and_levels", "SELECT event_id, cast(epoch_us(ts) // 1000000 AS BIGINT) AS t, cast((epoch_us(ts) // 1000000 - min(epoch_us(ts) // 1000000) OVER ()) // 3600 AS BIGINT) AS hours, CASE WHEN event_id % 22 + 1 <= 3 THEN '0-4' WHEN event_id % 22 + 1 <= 13 THEN '5-12' ELSE '13-22' END AS level_group FROM events")
+DELAY = "(event_id % 7 - 3) * 1800"  # a label's delay: for some rows it would come before the row itself
+
+
+@query("d13_d14_times_and_levels", f"SELECT event_id, cast(epoch_us(ts) // 1000000 AS BIGINT) AS t, cast((epoch_us(ts) // 1000000 - min(epoch_us(ts) // 1000000) OVER ()) // 3600 AS BIGINT) AS hours, cast(greatest(epoch_us(ts) // 1000000 + {DELAY}, epoch_us(ts) // 1000000) AS BIGINT) AS label_ts, CASE WHEN event_id % 22 + 1 <= 3 THEN '0-4' WHEN event_id % 22 + 1 <= 13 THEN '5-12' ELSE '13-22' END AS level_group FROM events")
 def d13(spark, d):
-    from inkling.functions.scalar import epoch_s
+    from inkling.functions.scalar import epoch_s, label_time
 
     e = S.read(spark, d, "events").select("event_id", epoch_s(F.col("ts")).alias("t"))
     first = e.agg(F.min("t").alias("t0"))  # one row
-    return e.join(F.broadcast(first)).select("event_id", "t", F.floor((F.col("t") - F.col("t0")) / 3600).cast("long").alias("hours"), level_group(F.col("event_id") % 22 + 1).alias("level_group"))
+    hours = F.floor((F.col("t") - F.col("t0")) / 3600).cast("long")
+    label = label_time(F.col("t") + F.expr(DELAY), F.col("t")).cast("long")
+    return e.join(F.broadcast(first)).select("event_id", "t", hours.alias("hours"), label.alias("label_ts"), level_group(F.col("event_id") % 22 + 1).alias("level_group"))
