@@ -455,11 +455,8 @@ def st1(spark, d):
 def st2(spark, d):
     fb, base = feedback(spark, d).select("user_id", "label_ts", "err"), shared_dir(spark)
     fb.repartition(4, "user_id").write.parquet(f"{base}/in")
-    state = jobs.regret_state(jobs.file_stream(spark, f"{base}/in", fb.schema, 2), "user_id", 20.0)
-    step = lambda batch, k: batch.withColumn("batch", F.lit(k)).write.mode("overwrite").parquet(f"{base}/out/batch={k}")
-    state.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.schema("user_id long, label_ts long, e double, batch int").option("recursiveFileLookup", True).parquet(f"{base}/out")
-    last = out.groupBy("user_id", "label_ts").agg(F.max_by("e", "batch").alias("e"))
+    jobs.regret_log(jobs.file_stream(spark, f"{base}/in", fb.schema, 2), "user_id", 20.0, base, lateness="60 days").awaitTermination()
+    last = jobs.regrets(spark, base, "user_id", "bigint")
     return rounded(last.groupBy("user_id").agg(F.sum("e").alias("priority")), 8)
 
 
@@ -489,7 +486,8 @@ def st2_refresh(spark, d):
     jobs.refresh_stream(stream, fb, base, "user_id", "value", 20, 20.0).awaitTermination()
     stored = spark.read.schema("user_id long, n long, mean double, stored_at long").option("recursiveFileLookup", True).parquet(f"{base}/store")
     last = stored.groupBy("user_id").agg(F.max_by(F.struct("stored_at", "n", "mean"), "stored_at").alias("s")).select("user_id", "s.*")
-    waiting = spark.read.parquet(f"{base}/state/2")
+    left = jobs.regrets(spark, base, "user_id", "bigint").join(last.select("user_id", "stored_at"), "user_id").filter("label_ts > stored_at")
+    waiting = left.groupBy("user_id").agg(F.sum("e").alias("priority"))
     out = last.join(waiting, "user_id", "left")
     return out.select("user_id", "stored_at", "n", F.round(F.col("mean") + 1e-8, 5).alias("mean"), F.round(F.coalesce("priority", F.lit(0.0)) + 1e-8, 4).alias("waiting"))
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 
 def hourly_store_stream(events: DataFrame, key: str, ts: str, value: str, lateness: str = "1 hour") -> DataFrame:
@@ -40,35 +41,138 @@ def for_each_batch(stream: DataFrame, step: Callable[[DataFrame, int], None], ch
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def regret_state(feedback: DataFrame, key: str, cap: float) -> DataFrame:
-    """Running priority of every key from streaming feedback (key, label_ts, err): sums by key and label time are the state."""
-    return feedback.groupBy(key, "label_ts").agg(F.least(F.sum("err"), F.lit(cap)).alias("e"))
+class Regret(StatefulProcessor):
+    """Errors of one key by label time: raw sums, so that a cap holds however they come in batches.
+
+    An error counts from its label's time on: at once where that has come, else when the watermark reaches it, by a timer. What changes
+    is emitted as (key, label_ts, e, version), e being the capped sum. Sums that the watermark has left ``keep_ms`` behind expire.
+    """
+
+    def __init__(self, key: str, cap: float, keep_ms: int):
+        self.key, self.cap, self.keep_ms = key, cap, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sums = handle.getMapState("sums", "label_ts long", "err double, version long")
+        self.due = handle.getMapState("due", "label_ts long", "there boolean")
+
+    def _row(self, key, label_ts: int):
+        err, version = self.sums.getValue((label_ts,))
+        return Row(**{self.key: key[0], "label_ts": label_ts, "e": min(err, self.cap), "version": version})
+
+    def handleInputRows(self, key, rows, timerValues):
+        now, changed = timerValues.getCurrentWatermarkInMs(), {}
+        for r in rows:
+            at = (r["label_ts"],)
+            if r["label_ts"] is None or r["err"] is None:
+                continue
+            if self.sums.containsKey(at):
+                err, version = self.sums.getValue(at)
+            else:
+                err, version = 0.0, 0
+                self.handle.registerTimer(at[0] * 1000 + self.keep_ms)
+            self.sums.updateValue(at, (err + r["err"], version + 1))
+            known = at[0] <= r["at_s"] or at[0] * 1000 <= now
+            if not known and not self.due.containsKey(at):
+                self.due.updateValue(at, (True,))
+                self.handle.registerTimer(at[0] * 1000)
+            changed[at[0]] = changed.get(at[0], False) or known
+        for label_ts, known in changed.items():
+            if known or label_ts * 1000 <= now:
+                yield self._row(key, label_ts)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        due, old = (at // 1000,), ((at - self.keep_ms) // 1000,)
+        if at % 1000 == 0 and self.due.containsKey(due):
+            self.due.removeKey(due)
+            yield self._row(key, due[0])
+        if self.sums.containsKey(old) and old[0] * 1000 + self.keep_ms == at:
+            self.sums.removeKey(old)
+
+    def close(self) -> None:
+        pass
+
+
+def regret_updates(feedback: DataFrame, key: str, cap: float, lateness: str = "1 hour", keep_s: int = 86400) -> DataFrame:
+    """(key, label_ts, e, version): capped errors by key and label time as they change, from streaming feedback (key, label_ts, err, and the
+    timestamp ``at`` of its arrival; without one it arrives with its label). The state of a key is its own in a RocksDB store; see ``Regret``."""
+    if "at" not in feedback.columns:
+        feedback = feedback.withColumn("at", F.timestamp_seconds("label_ts"))
+    rows = feedback.select(key, "at", "label_ts", "err").withWatermark("at", lateness).withColumn("at_s", F.unix_timestamp("at"))
+    kind = feedback.schema[key].dataType.simpleString()
+    return rows.groupBy(key).transformWithState(Regret(key, cap, keep_s * 1000 + 1), f"{key} {kind}, label_ts long, e double, version long", "Update", "EventTime")
+
+
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """Streams that start in here keep their state in RocksDB, which state by key asks for."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def regret_log(feedback: DataFrame, key: str, cap: float, base: str, each: Callable[[DataFrame, int], None] | None = None, **settings) -> StreamingQuery:
+    """Appends ``regret_updates`` to ``base``/log, a folder a batch (a repeated batch writes the same again), and then calls ``each``."""
+
+    def step(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/log/batch={k}")
+        if each:
+            each(batch, k)
+
+    with keyed_state(feedback.sparkSession):
+        updates = regret_updates(feedback, key, cap, **settings)
+        return updates.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start()
+
+
+def regrets(spark: SparkSession, base: str, key: str, kind: str) -> DataFrame:
+    """(key, label_ts, e) as they stand after the batches in ``base``/log."""
+    log = spark.read.schema(f"{key} {kind}, label_ts long, e double, version long").option("recursiveFileLookup", True).parquet(f"{base}/log")
+    return log.groupBy(key, "label_ts").agg(F.max_by("e", "version").alias("e"))
 
 
 def file_stream(spark: SparkSession, path: str, schema, per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def refresh_stream(feedback: DataFrame, facts: DataFrame, base: str, key: str, value: str, budget: int, cap: float) -> StreamingQuery:
-    """Refresh by regret: streaming feedback (key, label_ts, err) adds to the priorities of its keys, and each batch refreshes the ``budget`` largest.
+def refresh_stream(feedback: DataFrame, facts: DataFrame, base: str, key: str, value: str, budget: int | float, cap: float, **settings) -> StreamingQuery:
+    """Refresh by regret: streaming feedback adds to the priorities of its keys, and each batch refreshes those of the largest.
 
-    The state is one row for each key that waits, written by batch number below ``base``/state, so a repeated batch writes the same
-    again. Chosen keys get count and mean of their ``facts`` before the batch's last label time below ``base``/store, and start from
-    zero. Errors of one label time that come in several batches are capped by batch.
+    An integer ``budget`` is a number of keys a batch; a float is keys a second since the batch before (one in the first). A priority is the sum
+    of the key's capped errors by label time since its refresh: errors are kept by ``regret_log``, whatever their batch, and only what
+    changed is written. Chosen keys get count and mean of their ``facts`` before the batch's last label time below ``base``/store.
     """
-    schema = f"{feedback.schema[key].name} {feedback.schema[key].dataType.simpleString()}, priority double"
+    kind = feedback.schema[key].dataType.simpleString()
 
     def step(batch: DataFrame, k: int) -> None:
         spark = batch.sparkSession
-        now = batch.agg(F.max("label_ts")).first()[0]  # one number
-        waiting = spark.read.schema(schema).parquet(f"{base}/state/{k - 1}") if k else spark.createDataFrame([], schema)
-        fresh = batch.groupBy(key, "label_ts").agg(F.least(F.sum("err"), F.lit(cap)).alias("priority")).select(key, "priority")
-        waiting.unionByName(fresh).groupBy(key).agg(F.sum("priority").alias("priority")).write.mode("overwrite").parquet(f"{base}/due/{k}")
-        due = spark.read.schema(schema).parquet(f"{base}/due/{k}")
-        chosen = due.orderBy(F.desc("priority"), key).limit(budget).select(key)
-        due.join(chosen, key, "left_anti").write.mode("overwrite").parquet(f"{base}/state/{k}")
+        at = f"{base}/log/batch={k}"
+        now = spark.read.schema("label_ts long").parquet(at).agg(F.max("label_ts")).first()[0]  # one number
+        stores = spark.read.schema(f"{key} {kind}, n long, mean double, stored_at long").option("recursiveFileLookup", True)
+        done = None
+        for j in range(k):
+            if _there(spark, f"{base}/store/{j}"):
+                one = stores.parquet(f"{base}/store/{j}").select(key, "stored_at")
+                done = one if done is None else done.unionByName(one)
+        last = done.agg(F.max("stored_at")).first()[0] if done is not None else None
+        if now is None:
+            return
+        count = budget if isinstance(budget, int) else 1 if last is None else int((now - last) * budget)
+        waiting = regrets(spark, base, key, kind)
+        if done is not None:
+            waiting = waiting.join(done.groupBy(key).agg(F.max("stored_at").alias("stored_at")), key, "left").filter(F.col("stored_at").isNull() | (F.col("label_ts") > F.col("stored_at")))
+        chosen = waiting.groupBy(key).agg(F.sum("e").alias("priority")).orderBy(F.desc("priority"), key).limit(count).select(key)
         known = facts.filter(F.col("label_ts") < now).join(chosen, key, "left_semi")
         features = known.groupBy(key).agg(F.count(value).alias("n"), F.avg(value).alias("mean")).withColumn("stored_at", F.lit(now).cast("long"))
         features.write.mode("overwrite").parquet(f"{base}/store/{k}")
 
-    return for_each_batch(feedback, step, f"{base}/cp")
+    return regret_log(feedback, key, cap, base, step, **settings)
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
