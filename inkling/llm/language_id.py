@@ -22,6 +22,10 @@ FAMILIES = {"germanic": ("en", "de", "nl", "sv", "da", "no", "is", "af"), "roman
 ROWS_PER_LANGUAGE = 400
 
 BUCKETS = 1 << 13
+
+#: Characters scored at once.
+SLICE = 300_000
+
 UNDETERMINED = "und"
 
 
@@ -120,6 +124,19 @@ class Model:
         self.weights, self.bias = np.array(weights).reshape(len(self.tasks), BUCKETS), np.array(bias)
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        """Languages and scores, worked out in slices, so that memory follows SLICE or the longest text and not the batch."""
+        langs, scores, at = [], [], 0
+        while at < len(texts):
+            end, size = at + 1, len(texts[at])
+            while end < len(texts) and size + len(texts[end]) <= SLICE:
+                size, end = size + len(texts[end]), end + 1
+            some = self._predict(texts[at:end])
+            langs += some[0]
+            scores += some[1]
+            at = end
+        return langs, scores
+
+    def _predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         b, t = ngram_buckets(texts)
         n = np.bincount(t, minlength=len(texts))
         b = b.astype(np.int64)
