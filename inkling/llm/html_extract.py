@@ -23,8 +23,8 @@ from .common import arrow_schema, batch_of, table, texts
 #: Fixed values of HTML: elements without content, with raw text, whose text is not shown, and inline ones.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("head script style title template noscript iframe object svg math canvas noembed noframes xmp".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+UNSEEN = frozenset("annotation head script style title template noscript iframe object svg canvas noembed noframes xmp".split())
+INLINE = frozenset("math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot semantics a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Start tags that close an open element of the second set, up to a border.
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 SAME = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
@@ -129,7 +129,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             given: dict[str, str] = {}
             for name, value in ATTRIBUTE.findall(rest):
                 given.setdefault(name.lower(), html_lib.unescape(value[1:-1] if value[:1] in ("'", '"') else value))  # the first of a name counts
-            hidden = hidden or "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true" or bool(UNDISPLAYED.search(given.get("style", "")))
+            hidden = hidden or "hidden" in given or bool(UNDISPLAYED.search(given.get("style", "")))
             tokens = tuple(t for name in ("class", "id", "role") if name in given for t in TOKEN.findall(CAMEL.sub(" ", given[name]).lower()))
         if tag in VOID:
             if tag == "hr" and not here.hidden:
@@ -216,7 +216,7 @@ def describe(nodes: list[Node], stream: list[tuple[int, str]]) -> tuple[np.ndarr
     return np.concatenate([x, one_tag, np.array(groups, float), np.array(above, float)], axis=1), np.array(own, float)
 
 
-def decode(nodes: list[Node], odds: np.ndarray, own: np.ndarray, change: float = 6.0) -> np.ndarray:
+def decode(nodes: list[Node], odds: np.ndarray, own: np.ndarray, change: float = 3.0) -> np.ndarray:
     """Which elements' direct text is kept: the best consistent choice, with ``change`` as the price of a split."""
     n = len(nodes)
     weight = np.log1p(own) * (own > 0)
@@ -237,6 +237,19 @@ def decode(nodes: list[Node], odds: np.ndarray, own: np.ndarray, change: float =
     return kept
 
 
+#: Characters, without spaces, that make an element's own text prose, and the share of links that it may have.
+PROSE, LINKED = 60, 0.3
+
+
+def choose(nodes: list[Node], x: np.ndarray, odds: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """``decode``; where that keeps nothing although the page has prose, once more with the odds raised until the likeliest prose is for keeping."""
+    kept = decode(nodes, odds, own)
+    if kept.any():
+        return kept
+    prose = (own >= PROSE) & (x[:, 5] <= LINKED)
+    return decode(nodes, odds - odds[prose].max() + 0.5, own) if prose.any() else kept
+
+
 def blocks(stream: list[tuple[int, str]], kept: np.ndarray) -> str:
     out, now = [], []
     for i, text in [*stream, (0, None)]:
@@ -253,8 +266,19 @@ def blocks(stream: list[tuple[int, str]], kept: np.ndarray) -> str:
 # --- the model -------------------------------------------------------------------------------------------------
 
 
-def template_page(r: random.Random) -> tuple[str, str]:
-    """A page from templates and the marker of what is article: article words begin with "q"; others do not."""
+#: How a template lays out its article; ``plain`` ones have no telling tag or name.
+LAYOUTS = ("article", "main", "named", "grid", "plain", "table", "body")
+
+
+def template_page(r: random.Random, layouts: tuple[str, ...] = LAYOUTS) -> str:
+    """A page from templates: article words begin with "q", all others do not.
+
+    Names are telling, mixed with words that mislead, invented, or missing altogether, so that text density has to speak as well.
+    """
+    naming = r.choice(["told"] * 5 + ["mixed", "invented", "none"])
+    invented = lambda: r.choice(["", "l-", "js-", "c-", "u-"]) + "".join(r.choice("aeiounrstlmdkgp") for _ in range(r.randint(2, 8))) + r.choice(["", "-1", "-wrap", "-inner", "__x", "-md-8"])
+    mislead = [w for words in TOKENS.values() for w in words.split()]
+
     def words(n, mark=""):
         return " ".join(mark + "".join(r.choice("aeiounrstlmd") for _ in range(r.randint(1, 9))) + r.choice(["", "", "", "", ",", "."]) for _ in range(n))
 
@@ -262,18 +286,25 @@ def template_page(r: random.Random) -> tuple[str, str]:
         items = "".join(f'<li><a href="/x">{words(r.randint(1, 3))}</a></li>' for _ in range(n))
         return f"<ul{cls}>{items}</ul>"
 
-    def attr(*names):
-        return r.choice(["", f' class="{r.choice(names)}"', f' id="{r.choice(names)}"', f' class="{r.choice(names)} {words(1).strip(",.")}"'])
+    def name(names):
+        if naming == "mixed" and r.random() < 0.5:
+            return f"{r.choice(names)} {r.choice(['tags', 'post', 'js', 'is', 'has', 'cat'])}-{r.choice(mislead)}"
+        return r.choice(names) if naming in ("told", "mixed") else invented()
 
     def must(*names):
-        return r.choice([f' class="{r.choice(names)}"', f' id="{r.choice(names)}"'])
+        if naming == "none":
+            return ""
+        return r.choice([f' class="{name(names)}"', f' id="{name(names)}"', f' class="{name(names)} {invented()}"', f" class='{invented()} {name(names)}'"])
+
+    def attr(*names):
+        return r.choice(["", must(*names), must(*names)])
 
     body = []
     if r.random() < 0.8:
         inner = links(r.randint(2, 9))
         body.append(r.choice([f"<nav{attr('menu', 'nav')}>{inner}</nav>", f"<header{attr('header', 'masthead')}><a href='/'>{words(2)}</a><nav>{inner}</nav></header>", f"<div{must('menu', 'navbar', 'nav-menu', 'breadcrumbs')}>{inner}</div>", f"<header><h1>{words(3)}</h1><p>{words(6)}</p></header>"]))
     boiler = [
-        lambda: f"<div{must('ad', 'ads', 'advert', 'sponsored', 'promo-box')}>{r.choice(['<p>' + words(r.randint(4, 25)) + '</p>', words(r.randint(3, 20))])}</div>",
+        lambda: f"<div{must('ad', 'ads', 'advert', 'sponsored', 'promo-box', 'ad-slot', 'ad-banner')}>{r.choice(['<p>' + words(r.randint(4, 25)) + '</p>', words(r.randint(3, 20))])}</div>",
         lambda: f"<aside{attr('sidebar', 'widget')}><h3>{words(2)}</h3>{links(r.randint(2, 6))}<p>{words(r.randint(5, 30))}</p></aside>",
         lambda: f"<div{must('sidebar', 'related', 'widget', 'share', 'popular-posts')}><h4>{words(2)}</h4>{links(r.randint(2, 6))}<p>{words(r.randint(0, 30))}</p></div>",
         lambda: f"<div{must('cookie-notice', 'consent', 'alert', 'newsletter-signup', 'popup')}><p>{words(r.randint(5, 30))}</p><button>{words(1)}</button></div>",
@@ -292,22 +323,38 @@ def template_page(r: random.Random) -> tuple[str, str]:
             parts.insert(r.randint(1, len(parts)), r.choice(boiler)())
         return "".join(parts)
 
+    def bare():
+        """Links and slogans in elements without a name."""
+        return r.choice([f"<div>{links(r.randint(2, 9))}</div>", f"<p><a href='/'>{words(2)}</a> | <a href='/a'>{words(1)}</a> | <a href='/b'>{words(1)}</a></p>", f"<div><a href='/'>{words(r.randint(1, 3))}</a></div>"])
+
+    boiler.append(bare)
+
     for _ in range(r.choice([0, 1, 1, 2])):
         body.append(r.choice(boiler)())
-    article = r.choice([lambda: f"<article{attr('post', 'entry')}>{inside()}</article>"] * 3 + [lambda: f"<main>{inside()}</main>", lambda: f"<main><article>{inside()}</article></main>", lambda: f"<div{must('content', 'article-body', 'post', 'entry-content', 'main-text', 'story')}>{inside()}</div>", lambda: f"<section{must('content', 'article')}>{inside()}</section>", lambda: f"<div{attr('wrap')}><div{must('content', 'main')}>{inside()}</div></div>"])()
+    layout = r.choice(layouts)
+    rows = lambda inner, n: "".join(f"<div{must('row', 'wrap', 'container')}>" for _ in range(n)) + inner + "</div>" * n
+    article = {
+        "article": lambda: f"<article{attr('post', 'entry', 'hentry', 'story')}>{inside()}</article>",
+        "main": lambda: r.choice([f"<main>{inside()}</main>", f"<main><article>{inside()}</article></main>"]),
+        "named": lambda: r.choice([f"<div{must('content', 'article-body', 'post', 'entry-content', 'main-text', 'story')}>{inside()}</div>", f"<section{must('content', 'article')}>{inside()}</section>", f"<div{attr('wrap')}><div{must('content', 'main')}>{inside()}</div></div>"]),
+        "grid": lambda: f"<div class='row'><div class='col-md-{r.choice([6, 7, 8, 9])}'>{inside()}</div>" + (f"<div class='col-md-{r.choice([3, 4])}'><h3>{words(2)}</h3>{links(r.randint(3, 8))}</div>" if r.random() < 0.7 else "") + "</div>",
+        "plain": lambda: rows(inside(), r.randint(1, 5)),
+        "table": lambda: f"<table><tr><td>{links(r.randint(3, 9))}</td><td>{inside()}</td>" + (f"<td><p>{words(r.randint(3, 12))}</p>{links(r.randint(2, 5))}</td>" if r.random() < 0.5 else "") + "</tr></table>",
+        "body": inside,
+    }[layout]()
     body.append(article)
     for _ in range(r.choice([0, 1, 1, 2])):
         body.append(r.choice(boiler)())
     if r.random() < 0.85:
-        body.append(r.choice([f"<footer{attr('footer')}>&copy; {words(r.randint(2, 20))}</footer>", f"<footer><p>{words(8)}</p>{links(3)}</footer>", f"<div{must('footer', 'site-footer', 'copyright')}><p>{words(r.randint(2, 20))}</p></div>"]))
+        body.append(r.choice([f"<footer{attr('footer')}>&copy; {words(r.randint(2, 20))}</footer>", f"<footer><p>{words(8)}</p>{links(3)}</footer>", f"<div{must('footer', 'site-footer', 'copyright', 'colophon')}><p>{words(r.randint(2, 20))}</p></div>", f"<div{must('footer', 'legal', 'colophon')}>{words(r.randint(2, 8))}</div>"]))
     return f"<html><head><title>{words(3)}</title><script>var a='<p>';</script></head><body{attr('page', 'home')}>{''.join(body)}</body></html>"
 
 
-def training_rows(pages: int = 500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, labels and weights of elements with text; an element is article if most of its text is."""
-    xs, ys, ws, r = [], [], [], random.Random(7)
+def training_rows(pages: int = 900, layouts: tuple[str, ...] = LAYOUTS) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of elements with text; an element is article if most of its text is."""
+    xs, ys, r = [], [], random.Random(7)
     for _ in range(pages):
-        nodes, stream = parse(template_page(r))
+        nodes, stream = parse(template_page(r, layouts))
         x, own = describe(nodes, stream)
         good, every = np.zeros(len(nodes)), np.zeros(len(nodes))
         for i, text in stream:
@@ -321,8 +368,7 @@ def training_rows(pages: int = 500) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         rows = [i for i in range(1, len(nodes)) if every[i] and nodes[i].tag not in ("html", "body")]
         xs.append(x[rows])
         ys.append((good[rows] > 0.5 * every[rows]).astype(float))
-        ws.append(np.ones(len(rows)))
-    return np.concatenate(xs), np.concatenate(ys), np.concatenate(ws)
+    return np.concatenate(xs), np.concatenate(ys)
 
 
 class Trees:
@@ -360,16 +406,16 @@ class Trees:
         return 2 * total
 
 
-@lru_cache(maxsize=1)
-def _fitted() -> Trees:
+@lru_cache(maxsize=4)
+def _fitted(layouts: tuple[str, ...] = LAYOUTS) -> Trees:
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
     spark = SparkSession.getActiveSession()
-    x, y, _ = training_rows()
+    x, y = training_rows(layouts=layouts)
     rows = pa.table({"x": pa.array(list(x), pa.list_(pa.float64())), "label": y})
     frame = spark.createDataFrame(rows).coalesce(1).select(array_to_vector("x").alias("features"), "label").cache()
-    model = GBTClassifier(maxIter=12, maxDepth=5, stepSize=0.3, seed=1).fit(frame)
+    model = GBTClassifier(maxIter=16, maxDepth=6, stepSize=0.3, seed=1).fit(frame)
     frame.unpersist()
     return Trees(model)
 
@@ -385,11 +431,15 @@ TEXT = arrow_schema("page_id long,url string,text string,n_chars long")
 def extract_one(page: str, model: Trees) -> str:
     nodes, stream = parse(page)
     x, own = describe(nodes, stream)
-    return blocks(stream, decode(nodes, model.odds(x), own))
+    return blocks(stream, choose(nodes, x, model.odds(x), own))
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """One row per page: page_id, url, text, n_chars. Null html and pages without an article have empty text."""
+    """One row per page: page_id, url, text, n_chars. Null and empty html, and pages without an article or prose, have empty text.
+
+    Every page is worked out on its own and whole, in memory in proportion to it: repeated rows and ids get a row each, there are no ties, other
+    columns, of whatever names, are not read, and an empty table gives an empty one.
+    """
     shared = pages.sparkSession.sparkContext.broadcast(fit(pages.sparkSession))
 
     def run(batches):
@@ -399,7 +449,7 @@ def extract(pages: DataFrame) -> DataFrame:
             described = [describe(*p) for p in parsed]
             sizes = [len(x) for x, _ in described]
             odds = np.split(model.odds(np.concatenate([x for x, _ in described])), np.cumsum(sizes)[:-1]) if parsed else []
-            out = [blocks(stream, decode(nodes, o, own)) for (nodes, stream), o, (_, own) in zip(parsed, odds, described)]
+            out = [blocks(stream, choose(nodes, x, o, own)) for (nodes, stream), o, (x, own) in zip(parsed, odds, described)]
             yield batch_of(TEXT, b.column("page_id"), b.column("url"), out, [len(x) for x in out])
 
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -126,7 +126,7 @@ def test_html_tags_and_attributes():
     assert shown('<p title="5" screen">text one</p>') == "text one"
     assert shown('<p title="never closed>text</p><p>two</p>') == "text two"
     assert shown("<p a = 'x>y' b=\"<i>\" / c>one</p><!--> two --><p>three<!-- no -->four</3>five</p>") == "one two --> threefourfive"
-    assert shown("1 < 2 <3 a<b>c</b><br/>d<p hidden>no</p><p aria-hidden=true>no</p><p style='display : none'>no</p><p class=hidden>yes") == "1 < 2 <3 ac d yes"
+    assert shown("1 < 2 <3 a<b>c</b><br/>d<p hidden>no</p><p aria-hidden=true>shown</p><p style='display : none'>no</p><p class=hidden>yes<math><mi>x</mi><annotation>no</annotation></math>") == "1 < 2 <3 ac d shown yesx"
     for depth in (3, 260):
         assert shown("<div>" * depth + "one<p style='display:none'>HIDDEN</p>two" + "</div>" * depth + "after") == "one two after"
     assert shown("<script>a</scripty>b</script >c<textarea></p>no</textarea>d<p x=1") == "c d"
@@ -154,6 +154,26 @@ def test_html_extraction(spark):
     assert tp / (tp + fp) > 0.96 and tp / (tp + fn) > 0.96
 
 
+def test_html_of_other_makes(spark):
+    """Pages without telling names, laid out by grids, tables or nothing at all; misleading class words; short adverts and footers without their tags."""
+    p = "<p>The committee met on Tuesday to discuss the new bridge, and after a long debate it was decided to build it in stone.</p>"
+    menu = "<ul><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li></ul>"
+    pages = {
+        f"<body><nav>{menu}</nav><article class='post tags-news'><h1>Bridge</h1>{p}{p}</article><footer>&copy; us</footer></body>": 2,
+        f"<body><div class='row'><div class='col-md-8'><h1>Bridge</h1>{p * 8}</div></div></body>": 8,
+        f"<body><table><tr><td>{menu}</td><td><h1>Bridge</h1>{p * 4}</td></tr></table></body>": 4,
+        f"<body><div><div><div><h1>Bridge</h1>{p * 4}</div></div></div></body>": 4,
+        f"<body><h1>Bridge</h1>{p * 3}</body>": 3,
+        f"<body><div class='js-x'><span>{p[3:-4]}</span></div></body>": 1,
+    }
+    rows = [(i, "u", page, "c") for i, page in enumerate(pages)]
+    out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()}
+    for (i, *_), n in zip(rows, pages.values()):
+        lines = out[i].split("\n")
+        assert lines.count(p[3:-4]) == n and set(lines) <= {p[3:-4], "Bridge"}
+    assert html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string").filter("page_id > 99")).collect() == []
+
+
 # 3
 def brute_lines(rows):
     up = str.maketrans(line_dedup.UPPER, line_dedup.LOWER)
