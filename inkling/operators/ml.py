@@ -42,6 +42,11 @@ def make_model(kind: str, features: list[str], scaler: str | None = None, label:
     return Pipeline(stages=[*stages, model.setLabelCol(label)])
 
 
+def scoring(model: PipelineModel) -> PipelineModel:
+    """A fitted pipeline for scoring: training leaves rows with nulls out, scoring answers every row (what it lacks is NaN to the model)."""
+    return PipelineModel([model.stages[0].copy().setHandleInvalid("keep"), *model.stages[1:]])
+
+
 def grid_search(df: DataFrame, kind: str, features: list[str], grid: dict[str, list], folds: int = 5, metric: str = "rmse") -> DataFrame:
     """One row per setting: its number and mean metric over the folds, which run in parallel."""
     pipeline = make_model(kind, features)

@@ -451,6 +451,30 @@ def st1(spark, d):
     return rounded(spark.read.schema(stream.schema).parquet(f"{base}/out").withColumn("hour_ts", F.col("hour_ts").cast("timestamp_ntz")), 5)
 
 
+@query(
+    "st1_hourly_median_stream",
+    "WITH e AS (SELECT event_type, date_trunc('hour', ts) AS h, date_trunc('day', ts) AS day, value FROM events WHERE value IS NOT NULL), c AS (SELECT max(h) AS last FROM e WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)) SELECT event_type, day, count(*) AS n, true AS median_within, true AS p90_within FROM e, c WHERE h <= last GROUP BY 1, 2",
+)
+def st1_median(spark, d):
+    """Medians and 90 % quantiles of days from the stream's hourly sketches: whether their ranks among the day's values are within the stated error."""
+    from inkling.operators import sketches
+
+    e = read(spark, d, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+    base = shared_dir(spark)
+    e.repartitionByRange(4, "ts").write.parquet(f"{base}/in")
+    stream = jobs.sketch_store_stream(jobs.file_stream(spark, f"{base}/in", e.schema, 100), "event_type", "ts", "value")
+    jobs.run_available(stream, f"{base}/out", f"{base}/cp")
+    hours = spark.read.schema(stream.schema).parquet(f"{base}/out")
+    days = sketches.merged(hours.withColumn("day", F.date_trunc("day", "hour_ts")), ["event_type", "day"])
+    told = days.select("event_type", "day", "n", sketches.quantile(0.5).alias("q50"), sketches.quantile(0.9).alias("q90"))
+    stored = hours.select("event_type", "hour_ts")
+    rows = e.filter("value IS NOT NULL").withColumns({"hour_ts": F.date_trunc("hour", "ts"), "day": F.date_trunc("day", "ts")}).join(stored, ["event_type", "hour_ts"], "left_semi").join(told, ["event_type", "day"])
+    # A quantile's rank lies between the shares of smaller values and of values up to it; a value's own share is no error.
+    within = lambda q, p: ((F.avg((F.col("value") < F.col(q)).cast("double")) <= p + sketches.RANK_ERROR + 1 / F.count(F.lit(1))) & (F.avg((F.col("value") <= F.col(q)).cast("double")) >= p - sketches.RANK_ERROR - 1 / F.count(F.lit(1))))
+    out = rows.groupBy("event_type", "day", "n").agg(within("q50", 0.5).alias("median_within"), within("q90", 0.9).alias("p90_within"))
+    return out.withColumn("day", F.col("day").cast("timestamp_ntz"))
+
+
 @query("st2_refresh_stream", f"WITH {FB_SQL}, s AS (SELECT user_id, label_ts, least(sum(err), 20) AS e FROM fb GROUP BY 1, 2) SELECT user_id, round(sum(e), 8) AS priority FROM s GROUP BY 1")
 def st2(spark, d):
     fb, base = feedback(spark, d).select("user_id", "label_ts", "err"), shared_dir(spark)
@@ -520,7 +544,7 @@ def m1(spark, d):
 
     split = order_rows(spark, d)
     model = ml.make_model("linear", ORDER_FEATURES, scaler="standard").fit(split.filter("split = 'train'"))
-    return model.transform(split.filter("split = 'test'")).select("req_id", "label", "prediction")
+    return ml.scoring(model).transform(split.filter("split = 'test'")).select("req_id", "label", "prediction")
 
 
 @query("m1_m2_models_and_scalers")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from inkling.functions import estimators as E
 from inkling.operators import matching as J
+from inkling.operators import ml
 from inkling.operators import policies as P
 from inkling.operators import propagate as U
 from inkling.operators import resample as B
@@ -48,10 +49,10 @@ def linear_model(weights: dict[str, float], bias: float) -> Predict:
 
 def ml_model(model: PipelineModel) -> Predict:
     """Adds ``pred`` from a fitted Spark ML pipeline over the feature columns (its assembler is the first stage). No row is skipped."""
-    stages = [model.stages[0].copy().setHandleInvalid("keep"), *model.stages[1:]]
+    scoring = ml.scoring(model)
 
     def predict(df: DataFrame) -> DataFrame:
-        out = PipelineModel(stages).transform(df)
+        out = scoring.transform(df)
         return out.select(*df.columns, F.col("prediction").cast("double").alias("pred"))
 
     return predict

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from inkling.operators import sketches as S
+
 
 def hourly_store_stream(events: DataFrame, key: str, ts: str, value: str, lateness: str = "1 hour") -> DataFrame:
     """Tumbling hours with a watermark, for append mode. Exact medians are not incremental, so the stream has none."""
@@ -20,6 +22,13 @@ def hourly_store_stream(events: DataFrame, key: str, ts: str, value: str, latene
     )
 
 
+def sketch_store_stream(events: DataFrame, key: str, ts: str, value: str, distinct: str | None = None, lateness: str = "1 hour") -> DataFrame:
+    """(key, hour_ts, n, q, d): hourly sketches in append mode, from which medians, quantiles and distinct counts of any hours come (``operators.sketches``)."""
+    known = events.withWatermark(ts, lateness).filter(F.col(value).isNotNull())
+    told = known.groupBy(key, F.window(ts, "1 hour")).agg(*S.aggregates(value, distinct))
+    return told.select(key, F.col("window.start").alias("hour_ts"), "n", "q", *(["d"] if distinct else []))
+
+
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process what is there into parquet, with the exactly-once guarantee of the file sink."""
     stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -67,3 +67,16 @@ def test_rounds_read_open_requests_alone(spark):
     q = [T._query(0, FeatureSpec("group", {"q": ("avg", "x")}, facts, ["key"]), False)]
     got = T.matched(plan, q, 10, {0: (2, 5)}).groupBy("req_id").agg(*T.partials(q, True)).collect()
     assert [(r.req_id, r.n_0_0, r.s_0_0, r.b_n_0_0, r.b_s_0_0) for r in got] == [(1, 3, 12.0 + 13 + 14, 2, 12.0 + 13)]
+
+
+def test_only_wanted_columns_and_pids_are_read(spark, tmp_path):
+    """The scan of a round has the key, the pid and the aggregated column, and its pid range is pushed down."""
+    spark.range(100).selectExpr("id % 3 AS key", "cast(id % 10 AS int) AS pid", "cast(id AS double) AS x", "'long text' AS t", "1.0 AS y").write.parquet(f"{tmp_path}/f")
+    facts = spark.read.parquet(f"{tmp_path}/f")
+    plan = spark.createDataFrame([(1, 1, 0.2, 0.5)], "req_id long, k_key long, qs_0 double, qn_0 double")
+    q = [T._query(0, FeatureSpec("group", {"q": ("avg", "x")}, facts, ["key"]), False)]
+    out = T.matched(plan, q, 10, {0: (2, 5)}).groupBy("req_id").agg(*T.partials(q, False))
+    text = out._jdf.queryExecution().executedPlan().toString()
+    scan = next(x for x in text.split("\n") if "FileScan parquet" in x)
+    assert "ReadSchema: struct<key:bigint,pid:int,x:double>" in scan and "GreaterThanOrEqual(pid,2)" in scan and "LessThan(pid,5)" in scan
+    assert out.first().n_0_0 == sum(i % 3 == 1 and 2 <= i % 10 < 5 for i in range(100))
