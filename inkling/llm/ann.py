@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, batch_of, materialize, shuffle_partitions, table
 
-#: Rows that the rotation is fitted on, chosen by hash of the id, and probes that the radius is learned from (the first of them).
+#: Different rows that the rotation is fitted on (about as many, chosen by hash), and probes that the radius is learned from (the first of them).
 SAMPLE, PROBES = 8192, 128
 
 #: Share of the probes' true neighbours that the radius covers; rounds of the rotation.
@@ -290,13 +290,17 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """
     spark = base.sparkSession
     rows = usable(base)
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("ss"))
+    place = F.xxhash64("id", "v")
+    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(place, 0.02).alias("different"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("ss"))
     most = sizes.orderBy(F.desc("n"), "d").first()  # one row
     if most is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.filter(F.size("v") == most.d)
     asked = usable(queries).filter(F.size("v") == most.d)
-    sample = rows.orderBy(F.xxhash64("id", F.lit(7)), "id", "v").limit(SAMPLE).collect()
+    # A share of the hash range, as a global limit would send every partition's best to the driver; equal rows count once.
+    share = min(1.0, SAMPLE / max(1, most.different))
+    chosen = rows.withColumn("h", place).filter(F.pmod("h", F.lit(1 << 40)) < int(share * (1 << 40))).dropDuplicates(["h"])
+    sample = sorted(chosen.collect(), key=lambda r: (r.h % 1_000_003, r.h, r.id))
     coder = learned(np.array([r.v for r in sample], float), float(np.sqrt(most.ss)))
     with arrow_rows(spark, 256):
         index = materialize(blocks(rows, coder, INDEX_BYTES))
