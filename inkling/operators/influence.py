@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkling.operators import propagate as U
+
 
 def sobol(preds: DataFrame, groups: int, total: bool = False) -> DataFrame:
     """(req_id, k, qinf): first-order (or total) index of each group from predictions (req_id, i, k, pred) of Saltelli's matrices.
@@ -36,3 +38,18 @@ def gain(with_frozen: DataFrame, base: DataFrame, measure: str = "pred_conf") ->
     sign = 1 if measure == "pred_conf" else -1
     left = with_frozen.select("req_id", "frozen", F.col(measure).alias("_w"))
     return left.join(base.select("req_id", F.col(measure).alias("_b")), "req_id").select("req_id", "frozen", (sign * (F.col("_w") - F.col("_b"))).alias("qinf"))
+
+
+def direct(features: DataFrame, column: str, weights: dict[str, float], bias: float, n: int, tolerance: float, measure: str = "pred_conf", seed: int = 0) -> DataFrame:
+    """(req_id, frozen, qinf): ``gain`` of every group of ``column`` for a linear model, each prediction within its own row.
+
+    Draws depend on request, feature and step alone, so every variant sees the same ones. Nothing is shuffled but the features.
+    """
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, y: s + y) / F.size(a)
+    dev = lambda y, c: F.abs(y - F.col(c))
+    told = (lambda a, c: mean(F.transform(a, lambda y: (dev(y, c) <= tolerance + 1e-9).cast("double")))) if measure == "pred_conf" else (lambda a, c: mean(F.transform(a, lambda y: dev(y, c) * dev(y, c))))
+    base = U.drawn_by_request(features, weights, n, column, seed).withColumn("_p", U.linear_of(n, bias)).withColumn("_c", mean(F.col("_p")))
+    base = base.select("req_id", "_x", told(F.col("_p"), "_c").alias("_b"), F.explode(F.array_distinct(F.transform("_x", lambda x: x["of"]))).alias("frozen"))
+    with_frozen = base.withColumn("_p", U.linear_of(n, bias, F.col("frozen"))).withColumn("_c", mean(F.col("_p")))
+    sign = 1 if measure == "pred_conf" else -1
+    return with_frozen.select("req_id", "frozen", (sign * (told(F.col("_p"), "_c") - F.col("_b"))).alias("qinf"))

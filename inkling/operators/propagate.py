@@ -51,6 +51,28 @@ def linear(values: DataFrame, weights: dict[str, float], bias: float, by: list[s
     return values.groupBy(*by).agg((F.sum(F.col("x") * F.coalesce(w[F.col("fname")], F.lit(0.0))) + bias).alias("pred"))
 
 
+def drawn_by_request(features: DataFrame, weights: dict[str, float], n: int, column: str = "fname", seed: int = 0) -> DataFrame:
+    """(req_id, _x): of every feature its group (``column``), weight, value and ``n`` draws, the same as those of ``draws``.
+
+    Only features are shuffled; all that follows from the draws of a request can be worked out in its row.
+    """
+    w = F.create_map(*[F.lit(x) for item in weights.items() for x in item])
+    held = features.groupBy("req_id").agg(F.collect_list(F.struct("fname", F.col(column).alias("of"), F.coalesce(w[F.col("fname")], F.lit(0.0)).alias("w"), "fval", "fest", "fdist")).alias("_f"))
+    # A lambda binds the uniform number once, as draw() refers to it often.
+    one = lambda f, i: F.element_at(F.transform(F.array(uniform(seed, F.col("req_id"), f["fname"], i)), lambda u: draw(u, f["fval"], f["fest"], f["fdist"])), 1)
+    each = F.transform("_f", lambda f: F.struct(f["of"].alias("of"), f["w"].alias("w"), f["fval"].alias("fval"), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: one(f, i)).alias("draws")))
+    return held.select("req_id", each.alias("_x"))
+
+
+def linear_of(n: int, bias: float, frozen: Column | None = None) -> Column:
+    """The ``n`` predictions of a linear model from _x; the features of the group ``frozen`` count by their values."""
+    exact = (lambda x: x["of"] == frozen) if frozen is not None else (lambda x: F.lit(False))
+    value = lambda x, i: x["w"] * F.when(exact(x), x["fval"]).otherwise(F.get(x["draws"], i))
+    known = lambda i: F.filter(F.transform("_x", lambda x: value(x, i)), lambda y: y.isNotNull())
+    total = lambda a: F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda t, y: t + y))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.element_at(F.transform(F.array(known(i)), total), 1) + bias)
+
+
 def summarise(preds: DataFrame, constraint: str = "error", value: float = 1.0, classifier: bool = False, eps: float = 1e-9) -> DataFrame:
     """(req_id, pred_value, pred_error, pred_conf, pred_var) from draws of the prediction.
 

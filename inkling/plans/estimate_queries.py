@@ -270,29 +270,21 @@ fp AS (SELECT req_id, z, i, sum(x * weight) + {BIAS} AS pred FROM fd JOIN w USIN
 ba AS (SELECT req_id, avg(pred) AS pv, var_pop(pred) AS pvar FROM preds GROUP BY 1), bc AS (SELECT req_id, avg(cast(abs(pred - pv) <= 1.5 AS INTEGER)) AS conf, any_value(pvar) AS pvar FROM preds JOIN ba USING (req_id) GROUP BY 1)"""
 
 
-def _frozen(spark, d):
-    from inkling.sources.storage import materialize
-
-    f = materialize(features(spark, d))
-    base = U.summarise(U.linear(U.draws(f, 100), WEIGHTS, BIAS, ["req_id", "i"]), "error", 1.5)
-    # Draws depend on request, feature and step alone, so every variant sees the same ones.
-    variants = I.frozen(f, "qname").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(99)))).withColumn("_u", uniform(0, F.col("req_id"), F.col("fname"), F.col("i")))
-    x = variants.select("req_id", "frozen", "i", "fname", U.draw(F.col("_u"), F.col("fval"), F.col("fest"), F.col("fdist")).alias("x"))
-    p = U.linear(x, WEIGHTS, BIAS, ["req_id", "frozen", "i"]).withColumn("req_id", F.struct("req_id", "frozen"))
-    return U.summarise(p, "error", 1.5).select("req_id.req_id", "req_id.frozen", "pred_conf", "pred_var"), base
+def _direct(spark, d, measure="pred_conf"):
+    return I.direct(features(spark, d), "qname", WEIGHTS, BIAS, 100, 1.5, measure)
 
 
 @query("i4_i5_direct_influence", f"WITH {FEAT}, {DRAWS}, {FROZEN} SELECT req_id, z AS frozen, round(fc.conf - bc.conf, 5) AS qinf FROM fc JOIN bc USING (req_id)")
 def i4(spark, d):
-    return rounded(I.gain(*_frozen(spark, d)), 5)
+    return rounded(_direct(spark, d), 5)
 
 
 @query("i6_influence_by_features", f"WITH {FEAT}, {DRAWS}, {FROZEN} SELECT req_id, CASE WHEN z = 'n' THEN 'q2' ELSE 'q1' END AS qname, round(sum(fc.conf - bc.conf), 5) AS qinf FROM fc JOIN bc USING (req_id) GROUP BY 1, 2")
 def i6(spark, d):
-    g = I.gain(*_frozen(spark, d)).withColumn("qname", F.when(F.col("frozen") == "n", "q2").otherwise("q1"))
+    g = _direct(spark, d).withColumn("qname", F.when(F.col("frozen") == "n", "q2").otherwise("q1"))
     return rounded(g.groupBy("req_id", "qname").agg(F.sum("qinf").alias("qinf")), 5)
 
 
 @query("i8_variance_influence", f"WITH {FEAT}, {DRAWS}, {FROZEN} SELECT req_id, z AS frozen, round(bc.pvar - fc.pvar, 5) AS qinf FROM fc JOIN bc USING (req_id)")
 def i8(spark, d):
-    return rounded(I.gain(*_frozen(spark, d), "pred_var"), 5)
+    return rounded(_direct(spark, d, "pred_var"), 5)
