@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from inkling.operators import sketches as S
 
@@ -50,67 +53,59 @@ def for_each_batch(stream: DataFrame, step: Callable[[DataFrame, int], None], ch
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-class Regret(StatefulProcessor):
+#: State of a key: label times in order, their raw sums of errors, rows added, and whether the label's time was still to come.
+REGRET_STATE = "at binary, err binary, version binary, due binary"
+
+
+def _regret(name: str, cap: float, keep_ms: int) -> Callable:
     """Errors of one key by label time: raw sums, so that a cap holds however they come in batches.
 
-    An error counts from its label's time on: at once where that has come, else when the watermark reaches it, by a timer. What changes
-    is emitted as (key, label_ts, e, version), e being the capped sum. Sums that the watermark has left ``keep_ms`` behind expire.
+    An error counts from its label's time on: at once where that has come, else when the watermark reaches it, by the key's timeout. What
+    changes is emitted as (key, label_ts, e, version), e being the capped sum. Sums that the watermark has left ``keep_ms`` behind expire.
+    A key's state is read and written once a batch, and its rows are added up together; its timeout is the first time anything falls due.
     """
-
-    def __init__(self, key: str, cap: float, keep_ms: int):
-        self.key, self.cap, self.keep_ms = key, cap, keep_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.sums = handle.getMapState("sums", "label_ts long", "err double, version long")
-        self.due = handle.getMapState("due", "label_ts long", "there boolean")
-
-    def _row(self, key, label_ts: int):
-        err, version = self.sums.getValue((label_ts,))
-        return Row(**{self.key: key[0], "label_ts": label_ts, "e": min(err, self.cap), "version": version})
-
-    def handleInputRows(self, key, rows, timerValues):
-        now, changed = timerValues.getCurrentWatermarkInMs(), {}
-        for r in rows:
-            at = (r["label_ts"],)
-            if r["label_ts"] is None or r["err"] is None:
-                continue
-            if self.sums.containsKey(at):
-                err, version = self.sums.getValue(at)
-            else:
-                err, version = 0.0, 0
-                self.handle.registerTimer(at[0] * 1000 + self.keep_ms)
-            self.sums.updateValue(at, (err + r["err"], version + 1))
-            known = at[0] <= r["at_s"] or at[0] * 1000 <= now
-            if not known and not self.due.containsKey(at):
-                self.due.updateValue(at, (True,))
-                self.handle.registerTimer(at[0] * 1000)
-            changed[at[0]] = changed.get(at[0], False) or known
-        for label_ts, known in changed.items():
-            if known or label_ts * 1000 <= now:
-                yield self._row(key, label_ts)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        due, old = (at // 1000,), ((at - self.keep_ms) // 1000,)
-        if at % 1000 == 0 and self.due.containsKey(due):
-            self.due.removeKey(due)
-            yield self._row(key, due[0])
-        if self.sums.containsKey(old) and old[0] * 1000 + self.keep_ms == at:
-            self.sums.removeKey(old)
-
-    def close(self) -> None:
-        pass
+    kinds = (np.int64, np.float64, np.int64, np.bool_)
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, err, version, due = (np.frombuffer(x, t) for x, t in zip(state.get, kinds)) if state.exists else (np.empty(0, t) for t in kinds)
+        now, told = state.getCurrentWatermarkMs(), np.zeros(len(at), bool)
+        if not state.hasTimedOut:
+            rows = pd.concat(list(parts)).dropna(subset=["label_ts", "err"])
+            label, known = rows["label_ts"].to_numpy(np.int64), rows["known"].to_numpy(bool)
+            known |= label * 1000 <= now
+            places, where = np.unique(np.r_[at, label], return_inverse=True)
+            of_state, of_rows = where[: len(at)], where[len(at) :]
+            sums, counts = np.bincount(of_state, err, len(places)), np.bincount(of_state, version, len(places)).astype(np.int64)
+            err = sums + np.bincount(of_rows, rows["err"].to_numpy(float), len(places))
+            version = counts + np.bincount(of_rows, minlength=len(places))
+            later, told = np.zeros(len(places), bool), np.zeros(len(places), bool)
+            later[of_state] = due
+            later[of_rows[~known]] = True
+            told[of_rows[known]] = True
+            at, due = places, later
+        come = due & (at * 1000 <= now)
+        told, due = told | come, due & ~come
+        if told.any():
+            yield pd.DataFrame({name: [key[0]] * int(told.sum()), "label_ts": at[told], "e": np.minimum(err[told], cap), "version": version[told]})
+        keep = at * 1000 + keep_ms > now
+        at, err, version, due = (x[keep] for x in (at, err, version, due))
+        if len(at):
+            state.update(tuple(np.ascontiguousarray(x, t).tobytes() for x, t in zip((at, err, version, due), kinds)))
+            state.setTimeoutTimestamp(int(min(at[0] * 1000 + keep_ms, at[due].min() * 1000 if due.any() else 2**62)))
+        elif state.exists:
+            state.remove()
+
+    return step
 
 
 def regret_updates(feedback: DataFrame, key: str, cap: float, lateness: str = "1 hour", keep_s: int = 86400) -> DataFrame:
     """(key, label_ts, e, version): capped errors by key and label time as they change, from streaming feedback (key, label_ts, err, and the
-    timestamp ``at`` of its arrival; without one it arrives with its label). The state of a key is its own in a RocksDB store; see ``Regret``."""
+    timestamp ``at`` of its arrival; without one it arrives with its label). The state of a key is its own in a RocksDB store; see ``_regret``."""
     if "at" not in feedback.columns:
         feedback = feedback.withColumn("at", F.timestamp_seconds("label_ts"))
-    rows = feedback.select(key, "at", "label_ts", "err").withWatermark("at", lateness).withColumn("at_s", F.unix_timestamp("at"))
+    rows = feedback.withWatermark("at", lateness).select(key, "at", "label_ts", "err", F.coalesce(F.col("label_ts") <= F.unix_timestamp("at"), F.lit(False)).alias("known"))
     kind = feedback.schema[key].dataType.simpleString()
-    return rows.groupBy(key).transformWithState(Regret(key, cap, keep_s * 1000 + 1), f"{key} {kind}, label_ts long, e double, version long", "Update", "EventTime")
+    return rows.groupBy(key).applyInPandasWithState(_regret(key, cap, keep_s * 1000 + 1), f"{key} {kind}, label_ts long, e double, version long", REGRET_STATE, "update", "EventTimeTimeout")
 
 
 @contextmanager
