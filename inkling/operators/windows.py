@@ -11,7 +11,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from inkling.operators import matching as J
@@ -180,30 +182,102 @@ def range_features(requests: DataFrame, facts: DataFrame, keys: list[str], featu
 FEW = 4
 
 
-def few_matches(requests: DataFrame, facts: DataFrame, keys: list[str], width: int | None) -> bool:
-    """Whether requests (keys, _lo, _hi at most ``width`` later) and facts of equal keys and near times make few pairs for their number.
+#: Facts of a key in two buckets up to which they are gathered in one group, and matches that make a group worth its overhead.
+GATHERED, DENSE = 1_000_000, 1000
 
-    Counts by key and bucket are multiplied; two numbers come to the driver.
+
+def matches(requests: DataFrame, facts: DataFrame, keys: list[str], width: int | None) -> Row:
+    """How many pairs (``made``) requests (keys, _lo, _hi at most ``width`` later) and facts of equal keys and near times make, for how many rows
+    (``size``), in how many ``groups`` of a key and bucket, and the facts of the ``largest``.
+
+    Counts by key and bucket are multiplied; four numbers come to the driver.
     """
     bucket = lambda t: F.floor(F.col(t) / width).cast("long") if width else F.lit(0).cast("long")
     left = requests.groupBy(*keys, bucket("_lo").alias("_b")).agg(F.count(F.lit(1)).cast("double").alias("_q"))
     right = facts.groupBy(*keys, bucket("ts").alias("_b")).agg(F.count(F.lit(1)).cast("double").alias("_f"))
     near = F.explode(F.array("_b", F.col("_b") + 1)) if width else F.col("_b")
-    made = left.withColumn("_b", near).join(right, [*keys, "_b"]).agg(F.sum(F.col("_q") * F.col("_f")).alias("made"), F.lit(0.0).alias("size"))
-    size = left.select(F.col("_q").alias("n")).unionAll(right.select(F.col("_f").alias("n"))).agg(F.lit(0.0).alias("made"), F.sum("n").alias("size"))
-    row = made.unionAll(size).agg(F.sum("made").alias("made"), F.sum("size").alias("size")).first()
-    return (row.made or 0.0) <= FEW * max(row["size"] or 0.0, 1000.0)
+    none = F.lit(0.0)
+    made = left.withColumn("_b", near).join(right, [*keys, "_b"]).agg(F.sum(F.col("_q") * F.col("_f")).alias("made"), none.alias("size"), none.alias("groups"), none.alias("largest"))
+    asked = left.agg(none.alias("made"), F.sum("_q").alias("size"), F.count(F.lit(1)).cast("double").alias("groups"), none.alias("largest"))
+    there = right.agg(none.alias("made"), F.sum("_f").alias("size"), F.count(F.lit(1)).cast("double").alias("groups"), F.max("_f").alias("largest"))
+    total = made.unionAll(asked).unionAll(there)
+    return total.agg(*[F.coalesce(f(c), none).alias(c) for c, f in (("made", F.sum), ("size", F.sum), ("groups", F.sum), ("largest", F.max))]).first()
+
+
+def few_matches(m: Row) -> bool:
+    return m.made <= FEW * max(m["size"], 1000.0)
+
+
+def gatherable(m: Row) -> bool:
+    """Whether groups of a key and bucket are small enough for one task, and full enough to be worth a call."""
+    return 2 * m.largest <= GATHERED and m.made >= DENSE * m.groups
+
+
+def _of_slice(op: str, x: np.ndarray) -> float | None:
+    n = len(x)
+    if op == "count":
+        return float(n)
+    if n == 0 or (op.endswith("Samp") and n < 2):
+        return None
+    if op in QUANTILES:
+        at = (n - 1) * QUANTILES[op]
+        lo, hi = int(np.floor(at)), int(np.ceil(at))
+        part = np.partition(x, (lo, hi))
+        return float(part[lo] if lo == hi else part[lo] * (1 - (at - lo)) + part[hi] * (at - lo))
+    by = {"sum": np.sum, "avg": np.mean, "min": np.fmin.reduce, "max": np.max, "varPop": np.var, "stdPop": np.std, "varSamp": lambda y: np.var(y, ddof=1), "stdSamp": lambda y: np.std(y, ddof=1)}
+    return float(by[op](x))
+
+
+def gathered_features(requests: DataFrame, facts: DataFrame, keys: list[str], width: int, features: dict[str, tuple[str, str]]) -> DataFrame:
+    """``range_features`` for windows of at most ``width`` where ``gatherable`` holds: the facts of a key and two buckets of time meet
+    the requests that begin in the first; each request's window is a slice of them in order of time, so no pair is made."""
+    features = {n: (ALIASES.get(op, op), c) for n, (op, c) in features.items()}
+    requests = known(requests, ["_lo", "_hi", *keys]).filter("_lo < _hi")
+    bucket = lambda t: F.floor(F.col(t) / width).cast("long")
+    types = dict(facts.dtypes)
+    names = {c: f"c{i}" for i, c in enumerate(sorted({c for _, c in features.values()}))}
+    # A null is told by a flag: in pandas it can't be told from a NaN, and would make whole numbers floating ones.
+    columns = [x for c, v in names.items() for x in (F.coalesce(F.col(c), F.lit("0").cast(types[c])).alias(v), F.col(c).isNotNull().alias(f"k_{v}"))]
+    here = F.col("_c")
+    slim = known(facts, ["ts", *keys]).withColumn("_c", bucket("ts")).select(*keys, F.explode(F.array(here, here - 1)).alias("_b"), "ts", *columns)
+    asked = requests.select(*keys, bucket("_lo").alias("_b"), "req_id", "_lo", "_hi")
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.iloc[np.argsort(right["ts"].to_numpy(), kind="stable")]
+        ts = right["ts"].to_numpy()
+        lo, hi = (np.searchsorted(ts, left[c].to_numpy()) for c in ("_lo", "_hi"))
+        some = hi > lo
+        out = {"req_id": left["req_id"][some]}
+        for n, (op, c) in features.items():
+            there = right[f"k_{names[c]}"].to_numpy(bool)
+            at = np.r_[0, np.cumsum(there)]
+            ends, x = list(zip(at[lo[some]], at[hi[some]])), right[names[c]][there]
+            if op == "unique":  # values that were last seen before the slice
+                code = pd.Series(pd.factorize(x, use_na_sentinel=False)[0])
+                was = pd.Series(np.arange(len(code))).groupby(code).shift(fill_value=-1).to_numpy()
+                told = [float(np.count_nonzero(was[a:b] < a)) for a, b in ends]
+            else:
+                y = np.zeros(len(x)) if op == "count" else x.to_numpy(float)
+                told = [_of_slice(op, y[a:b]) for a, b in ends]
+            out[n] = pd.Series(told, index=out["req_id"].index, dtype="object")
+        return pd.DataFrame(out)
+
+    ddl = ", ".join([f"req_id {dict(requests.dtypes)['req_id']}", *[f"`{n}` double" for n in features]])
+    by = [*keys, "_b"]
+    return asked.groupBy(*by).cogroup(slim.groupBy(*by)).applyInPandas(run, ddl)
 
 
 def between(requests: DataFrame, facts: DataFrame, keys: list[str], width: int | None, features: dict[str, tuple]) -> DataFrame:
     """(req_id, features as doubles) of the facts (keys, integer ts) in [_lo, _hi) of the same keys, for requests that have any.
 
     ``width`` is the longest window, none if they are unbounded. Where the pairs are few they are made and added up; else, and
-    if all aggregates are known by name, ranges of ranks give the same without them.
+    if all aggregates are known by name, slices of gathered facts (narrow windows) or ranges of ranks give the same without them.
     """
     slim = known(requests.select("req_id", *keys, "_lo", "_hi"), ["_lo", "_hi", *keys])
-    if all(isinstance(op, str) and ALIASES.get(op, op) in OPERATORS for op, _ in features.values()) and not few_matches(slim, facts, keys, width):
-        return range_features(slim, facts, keys, features)
+    if all(isinstance(op, str) and ALIASES.get(op, op) in OPERATORS for op, _ in features.values()):
+        made = matches(slim, facts, keys, width)
+        if not few_matches(made):
+            return gathered_features(slim, facts, keys, width, features) if width and gatherable(made) else range_features(slim, facts, keys, features)
     if width:
         bucket = F.floor(F.col("_lo") / width).cast("long")
         met = slim.withColumn("_b", F.explode(F.array(bucket, bucket + 1))).join(facts.withColumn("_b", F.floor(F.col("ts") / width).cast("long")), [*keys, "_b"])
