@@ -8,7 +8,7 @@ from pyspark.ml import feature as T
 from pyspark.ml import regression as R
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkling.functions.hashing import hash32
@@ -75,7 +75,7 @@ def _rows(rows: list[tuple[str, float]]) -> DataFrame:
 def permutation_importance(model: PipelineModel, df: DataFrame, row_id: str, features: list[str], label: str = "label", repeats: int = 30) -> DataFrame:
     """(fname, drop): mean loss of r2 when a feature's values are dealt anew.
 
-    Values swap within buckets of about a thousand rows, by hash, so a permutation is a join on (repeat, bucket, rank) without a global order.
+    Values swap within buckets of about a thousand rows, by hash, so a permutation is worked out within a bucket without a global order.
     """
     n = df.count()
     buckets = max(1, n // 1000)
@@ -85,12 +85,13 @@ def permutation_importance(model: PipelineModel, df: DataFrame, row_id: str, fea
         return x.groupBy(*by).agg((1 - F.sum(e * e) / F.count(F.lit(1)) / F.var_pop(label)).alias("r2"))
 
     base = score(model.transform(df), []).first().r2  # one number
-    out = None
-    for f in features:
-        reps = df.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).withColumn("_b", hash32("b", F.col("_r"), F.col(row_id)) % buckets)
-        rank = lambda tag: F.row_number().over(Window.partitionBy("_r", "_b").orderBy(hash32(tag, F.col("_r"), F.col(row_id)), row_id))
-        moved = reps.select("_r", "_b", rank("from").alias("_k"), F.col(f).alias("_v"))
-        mixed = reps.withColumn("_k", rank("to")).join(moved, ["_r", "_b", "_k"]).withColumn(f, F.col("_v"))
-        one = score(model.transform(mixed), ["_r"]).agg((F.lit(base) - F.avg("r2")).alias("drop")).select(F.lit(f).alias("fname"), "drop")
-        out = one if out is None else out.unionByName(one)
+    # One shuffle deals all features: the row that is k-th by one order of its bucket takes the values of the k-th by the other.
+    reps = df.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).withColumn("_b", hash32("b", F.col("_r"), F.col(row_id)) % buckets)
+    order = lambda tag: F.struct(hash32(tag, F.col("_r"), F.col(row_id)).alias("h"), F.col(row_id).alias("id"))
+    values = F.struct(*features)
+    held = reps.groupBy("_r", "_b").agg(F.collect_list(F.struct(order("to").alias("o"), F.struct(label, *features).alias("x"))).alias("to"), F.collect_list(F.struct(order("from").alias("o"), values.alias("x"))).alias("from"))
+    dealt = held.select("_r", F.explode(F.arrays_zip(F.sort_array("to").alias("to"), F.sort_array("from").alias("from"))).alias("_z"))
+    mixed = [F.struct(F.lit(f).alias("fname"), *[F.col(f"_z.{'from' if c == f else 'to'}.x.{c}").alias(c) for c in features]) for f in features]
+    rows = dealt.select("_r", F.col(f"_z.to.x.{label}").alias(label), F.explode(F.array(*mixed)).alias("_m")).select("_r", label, "_m.*")
+    out = score(model.transform(rows), ["fname", "_r"]).groupBy("fname").agg((F.lit(base) - F.avg("r2")).alias("drop"))
     return out
