@@ -118,26 +118,32 @@ def merged(a: State, b: State, limit: int = LIMIT) -> State:
     return State(sums, v, w, level, h, hw)
 
 
-def told(s: State, op: str, share: float) -> np.ndarray:
-    """What an operator gives in the sample and in each replicate; NaN without rows. Counts and sums are scaled to the whole, variances as estimates are."""
-    n, total, squares, low, high = s.sums
+def of_sums(sums: np.ndarray, op: str, share: float) -> np.ndarray:
+    """An operator from rows, sum, sum of squares, least and greatest; NaN without rows."""
+    n, total, squares, low, high = sums
     with np.errstate(divide="ignore", invalid="ignore"):
         var = np.where(n > 1, np.maximum(0.0, (squares - total * total / n) / (n - 1)), np.where(n == 1, 0.0, np.nan))
         more = np.where(n > 1, n / (n - 1), 1.0)
-        if op in QUANTILES:
-            if not len(s.v):
-                return np.full(len(n), np.nan)
-            at, run = (n - 1) * QUANTILES[op], np.cumsum(s.w, axis=0)
-            lo, hi = (s.v[np.minimum((run <= end(at)).sum(0), len(s.v) - 1)] for end in (np.floor, np.ceil))
-            return np.where(n > 0, lo * (1 - (at - np.floor(at))) + hi * (at - np.floor(at)), np.nan)
-        if op == "unique":
-            return (s.hw > 0).sum(0) * float(2**s.level)
         some = np.where(n > 0, 1.0, np.nan)
         exact = share >= 1 - 1e-9
         by = {"count": n / share, "sum": total / share * some, "avg": total / n, "min": low * some, "max": high * some, "varSamp": var * (1 if exact else more), "varPop": var / more if exact else var}
         return by[op] if op in by else np.sqrt(by[{"stdSamp": "varSamp", "stdPop": "varPop"}[op]])
 
 
+def told(s: State, op: str, share: float) -> np.ndarray:
+    """What an operator gives in the sample and in each replicate; NaN without rows. Counts and sums are scaled to the whole, variances as estimates are."""
+    n = s.sums[0]
+    if op in QUANTILES:
+        if not len(s.v):
+            return np.full(len(n), np.nan)
+        at, run = (n - 1) * QUANTILES[op], np.cumsum(s.w, axis=0)
+        lo, hi = (s.v[np.minimum((run <= end(at)).sum(0), len(s.v) - 1)] for end in (np.floor, np.ceil))
+        return np.where(n > 0, lo * (1 - (at - np.floor(at))) + hi * (at - np.floor(at)), np.nan)
+    if op == "unique":
+        return (s.hw > 0).sum(0) * float(2**s.level)
+    return of_sums(s.sums, op, share)
+
+
 def states(rows: DataFrame, ids: list[str], columns: dict[str, tuple[bool, bool]], limit: int = LIMIT) -> DataFrame:
     """(ids, states): one row for each key (``ids``: longs, ints) and task, made in one pass over ``rows`` (ids, columns as doubles, w: their weights).
 

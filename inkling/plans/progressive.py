@@ -24,6 +24,7 @@ from inkling.operators import ml
 from inkling.operators import policies as P
 from inkling.operators import propagate as U
 from inkling.operators import resample as B
+from inkling.operators import slices as S
 from inkling.operators.allocate import finished, step_size
 from inkling.operators.exact import ALIASES
 from inkling.operators.spec import FeatureSpec, assemble
@@ -161,13 +162,14 @@ def partials(queries: list[Query], previous: bool) -> list[Column]:
     return aggs
 
 
-def merging(queries: list[Query], carried: list[str], previous: bool) -> list[Column]:
-    """The state after a round, over the plan joined with the new partials (named _…): those of before and of now, and the planned shares."""
+def merging(queries: list[Query], carried: list[str], previous: bool, told: list[str] = ()) -> list[Column]:
+    """The state after a round, over the plan joined with the new partials (named _…): those of before and of now, the planned shares, and what
+    resamples have ``told`` last."""
     put = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "min": F.least, "max": F.greatest}
     parts = [put[how](F.col(c), F.col(f"_{c}")).alias(c) for c, how in _all_parts(queries)]
     if previous:
         parts += [put[how](F.col(c), F.col(f"_b_{c}")).alias(f"b_{c}") for c, how in _all_parts(queries)]
-    return [*[F.col(c) for c in carried], *[F.col(f"qn_{q.j}").alias(f"qs_{q.j}") for q in queries], *[F.col(f"qs_{q.j}").alias(f"qb_{q.j}") for q in queries], *parts]
+    return [*[F.col(c) for c in carried], *[F.col(f"qn_{q.j}").alias(f"qs_{q.j}") for q in queries], *[F.col(f"qs_{q.j}").alias(f"qb_{q.j}") for q in queries], *parts, *[F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) for c in told]]
 
 
 def merged(plan: DataFrame, fresh: list[DataFrame], columns: list[Column]) -> DataFrame:
@@ -364,7 +366,7 @@ def progressive_job(
     ``policies.POLICIES``, one of its growing forms, or a function of a Round; ``min_card`` lets queries of few rows jump first. ``influence``:
     see INFLUENCES. Errors of order statistics and distinct counts come from ``replicates`` resamples, those of all aggregates if ``bootstrap_all``
     (req_id is a long then); ``draw_replicates`` draws from them instead of a normal distribution. Requests that end with everything read
-    take these features from the exact job. The driver sees two numbers for each query and whether requests are open.
+    take these features from the exact job. The driver sees three numbers for each query and whether requests are open.
     """
     gran = round(1 / ncfgs, 6)
     queries = [_query(j, s, bootstrap_all) for j, s in enumerate(s for s in specs if sampled(s))]
@@ -375,7 +377,7 @@ def progressive_job(
         out = exact_job(requests, specs, predict, extra)
         return out.select("req_id", "pred_value", F.lit(0.0).alias("pred_error"), F.lit(1.0).alias("pred_conf"), F.lit(0.0).alias("pred_var"), F.lit(0).alias("rounds"), F.lit(1.0).alias("qsample"), F.lit(True).alias("met"), F.lit("").alias("trace"), F.array().cast("array<double>").alias("shares"))
     name = {q.j: next(iter(q.features)) for q in queries}
-    boot, previous = [q for q in queries if q.asked], influence.startswith("previous")
+    previous = influence.startswith("previous")
     counted: dict = {}
     for q in queries:
         if name[q.j] not in (tsizes or {}) and q.source[0] not in counted:
@@ -384,6 +386,10 @@ def progressive_job(
     sources: dict = {}
     for q in queries:
         sources.setdefault(q.source, []).append(q)
+    # Windows with many matches are sampled as slices, and told anew of all pids read; others keep the states of their resamples.
+    narrow = {s for s, of in sources.items() if of[0].spec.kind == "trailing" and not previous and S.worth(requests, of[0].spec.facts, of[0].spec.keys, of[0].spec.width)}
+    boot = [q for q in queries if q.asked and q.source not in narrow]
+    anew = [f"{c}_{q.j}" for q in queries if q.asked and q.source in narrow for c in ("rn", "rv", "re", "rr")]
 
     keys = list(dict.fromkeys(k for q in queries for k in q.spec.keys))
     start = requests.select("req_id", *(["req_ts"] if "req_ts" in requests.columns else []), *[F.col(k).alias(f"k_{k}") for k in keys])
@@ -395,6 +401,7 @@ def progressive_job(
     fresh = {f"qs_{q.j}": F.lit(0.0) for q in queries} | {f"qn_{q.j}": F.lit(min(1.0, alpha * gran)) for q in queries}
     fresh |= {c: F.lit(0).cast("long") if c.split("_")[0] in ("n", "rows") else F.lit(0.0) if how == "sum" else none for c, how in _all_parts(queries)}
     fresh |= {f"st_{q.j}": F.lit(None).cast(f"array<{B.STATE_DDL}>") for q in boot}
+    fresh |= {c: F.lit(None).cast("array<array<double>>" if c.startswith("rr") else "array<double>") for c in anew}
     plan = materialize(start.join(known, "req_id").withColumns(fresh | {"x__trace": F.array().cast("array<string>")}))
     done, n = None, len(queries)
     # What every round does, as columns that are made once.
@@ -402,8 +409,8 @@ def progressive_job(
     told = estimates(queries, sizes, draw_replicates, previous)
     target = {"error": max_error, "relative_error": max_relative_error, "conf": min_conf}[constraint]
     judged = judge(plan.sparkSession, extras, queries, told, predict, draws, influence, constraint, target, classifier)
-    aggs = {s: partials(of, previous) for s, of in sources.items()}
-    merge = merging(queries, [c for c in plan.columns if c in ("req_id", "req_ts") or c.startswith(("x_", "k_", "st_"))], previous)
+    aggs = {s: partials(of, previous) for s, of in sources.items() if s not in narrow}
+    merge = merging(queries, [c for c in plan.columns if c in ("req_id", "req_ts") or c.startswith(("x_", "k_", "st_"))], previous, anew)
     before = {f"qp_{q.j}": F.when(F.col(f"qs_{q.j}") > F.col(f"qb_{q.j}"), F.greatest(F.col(f"qs_{q.j}") - gran, F.lit(gran))).otherwise(F.col(f"qs_{q.j}")) for q in queries} if previous else {}
     least = F.least(*[F.col(f"qs_{q.j}") for q in queries], F.lit(1.0))
     goals = {"max_error": max_error, "min_conf": min_conf, "max_pvar": max_pvar} | ({"max_relative_error": max_relative_error} if constraint != "relative_error" else {})
@@ -417,10 +424,13 @@ def progressive_job(
     raised = {f"qn_{q.j}": F.greatest(F.get("_n", F.lit(i)), F.col(f"qs_{q.j}")) for i, q in enumerate(queries)}
     mean = F.aggregate("_shares", F.lit(0.0), lambda s, x: s + x) / n
     for k in range(1, max_rounds + 1):
-        at = plan.agg(*[f(F.col(f"{c}_{q.j}")).alias(f"{c}_{q.j}") for q in queries for f, c in ((F.min, "qs"), (F.max, "qn"))]).first()
+        last = [F.max(F.when(F.col(f"qn_{q.j}") < 1 - 1e-9, F.col(f"qn_{q.j}"))).alias(f"part_{q.j}") for q in queries]
+        at = plan.agg(*[f(F.col(f"{c}_{q.j}")).alias(f"{c}_{q.j}") for q in queries for f, c in ((F.min, "qs"), (F.max, "qn"))], *last).first()
         ends = {q.j: (round((at[f"qs_{q.j}"] or 0) * ncfgs), round((at[f"qn_{q.j}"] or 0) * ncfgs)) for q in queries}
-        mets = {s: matched(plan, of, ncfgs, ends) for s, of in sources.items()}
-        state = merged(plan, [mets[s].groupBy("req_id").agg(*aggs[s]) for s in sources], merge)
+        parts = {q.j: round((at[f"part_{q.j}"] or 0) * ncfgs) for q in queries}
+        mets = {s: matched(plan, of, ncfgs, ends) for s, of in sources.items() if s not in narrow}
+        slices = [S.sampled(plan, sources[s], ncfgs, ends, parts, replicates, draw_replicates, correction, seed) for s in narrow]
+        state = merged(plan, [*[mets[s].groupBy("req_id").agg(*aggs[s]) for s in mets], *slices], merge)
         for q in boot:
             state = resampled(state, mets[q.source], q, gran, replicates, limit, draw_replicates, correction, seed)
         rows = judged(state.withColumns(before) if previous else state)
@@ -435,7 +445,7 @@ def progressive_job(
         plan = rows.filter(~F.col("met")).select(*plan.columns)
         if k == max_rounds or plan.isEmpty():
             break
-    return _whole_ones_exact(done, requests, specs, extra, predict) if boot else done
+    return _whole_ones_exact(done, requests, specs, extra, predict) if boot or anew else done
 
 
 def _whole_ones_exact(done: DataFrame, requests: DataFrame, specs: list[FeatureSpec], extra: DataFrame | None, predict: Predict) -> DataFrame:
