@@ -1,6 +1,6 @@
 """Samples of trailing windows without the matches of requests and facts: slices of gathered facts, and what their resamples tell.
 
-The facts of a key and two buckets of time meet the requests whose windows begin in the first; a window is a slice of them in order of time.
+The requests of a key and a stretch of time meet the facts of that stretch and of a width before it; a window is a slice of them in order of time.
 Sums are differences of running sums. Order statistics of all resamples are found bit by bit in the rank by value: running sums of the
 weights with a zero bit tell how many of a slice go left (a wavelet tree, of which one level is held). A value is distinct in a slice up to its
 next occurrence, so, as both ends of the windows only move on, it counts for a run of requests. Work follows facts and requests, times the
@@ -19,8 +19,12 @@ from pyspark.sql import functions as F
 from inkling.operators import resample as B
 from inkling.operators import windows as W
 
-#: Facts of a key in two buckets up to which they are gathered in one group.
-GATHERED = 8_000_000
+#: Facts that a group may have, those that are worth a call, and matches that make a group worth its overhead: a match costs the weights
+#: of all replicates.
+GATHERED, FULL, DENSE = 8_000_000, 100_000, 100
+
+#: Matches for each request and fact up to which they are simply made.
+FEW = 0.4
 
 #: Weights that are added up side by side.
 SIDE = 4_000_000
@@ -29,11 +33,13 @@ SIDE = 4_000_000
 TASKS = 48
 
 
-def worth(requests: DataFrame, facts: DataFrame, keys: list[str], width: int) -> bool:
-    """Whether the matches are too many to be made, and groups of a key and bucket small enough for one task and full enough to be worth a call."""
+def stretch(requests: DataFrame, facts: DataFrame, keys: list[str], width: int) -> int | None:
+    """Time that a group spans: some widths, so that groups are full but enough for all tasks; none where matches are few or groups too large for one task."""
     asked = W.known(requests.withColumn("_lo", F.col("req_ts") - width), ["_lo", *keys])
     m = W.matches(asked, facts, keys, width)
-    return not W.few_matches(m) and 2 * m.largest <= GATHERED and m.made >= W.DENSE * m.groups
+    groups = m.groups / 2
+    some = int(max(1, min(FULL // max(2 * m.largest, 1), groups // TASKS)))
+    return None if m.made <= FEW * max(m["size"], 1000.0) or 2 * m.largest > GATHERED or m.made * some < DENSE * groups else width * some
 
 
 def _running(x: np.ndarray) -> np.ndarray:
@@ -128,11 +134,11 @@ def _doubles(column: pa.ChunkedArray) -> np.ndarray:
     return np.asarray(column.to_numpy(), float)
 
 
-def sampled(plan: DataFrame, queries: list, ncfgs: int, ends: dict, parts: dict, replicates: int, keep: bool, correction: str | None, seed: int) -> DataFrame:
+def sampled(plan: DataFrame, queries: list, span: int, ncfgs: int, ends: dict, parts: dict, replicates: int, keep: bool, correction: str | None, seed: int) -> DataFrame:
     """Of the open requests of ``plan`` with facts in their window: partials of the pids that each query has not read yet, and for queries with
     resampled features rows, values, errors and, if ``keep``, replicates (rn, rv, re, rr) of all pids up to its next end.
 
-    The queries share their facts, keys and width. ``ends`` has the first and last wanted pids of a query, ``parts`` the last one of those
+    The queries share their facts, keys and width; requests of ``span`` (at least a width) and a key are a group. ``ends`` has the first and last wanted pids of a query, ``parts`` the last one of those
     requests that will not have read all: what is read whole has no error, so its facts need no weights beyond.
     """
     spec = queries[0].spec
@@ -146,12 +152,12 @@ def sampled(plan: DataFrame, queries: list, ncfgs: int, ends: dict, parts: dict,
     number = lambda c: F.when(F.col(c).isNotNull(), F.pmod(F.xxhash64(c), F.lit(2**52))) if types[c] == "string" else F.col(c)
     row = F.xxhash64(*(spec.row_key or spec.facts.columns))
     weights = [F.when(F.col("pid") < most, B.weights(row, replicates, seed).cast("array<tinyint>")).alias("_w")] if most else []
-    bucket = lambda t: F.floor(t / width).cast("long")
+    bucket = lambda t: F.floor(t / F.lit(span)).cast("long")
     slim = W.known(facts.filter((F.col("pid") >= lo) & (F.col("pid") < hi)), ["ts", *spec.keys])
-    slim = slim.select(*[F.col(k).alias(f"k_{k}") for k in spec.keys], F.col("ts").cast("long").alias("_ts"), F.col("pid").cast("int").alias("pid"), *[number(c).cast("double").alias(n) for c, n in names.items()], *weights, bucket(F.col("ts")).alias("_c"))
-    slim = slim.withColumn("_b", F.explode(F.array("_c", F.col("_c") - 1))).drop("_c")
+    slim = slim.select(*[F.col(k).alias(f"k_{k}") for k in spec.keys], F.col("ts").cast("long").alias("_ts"), F.col("pid").cast("int").alias("pid"), *[number(c).cast("double").alias(n) for c, n in names.items()], *weights)
+    slim = slim.withColumn("_b", F.explode(F.array_distinct(F.array(bucket(F.col("_ts")), bucket(F.col("_ts") + width)))))
     at = lambda x: F.bround(x * ncfgs).cast("int")
-    wants = plan.select("req_id", *keys, F.col("req_ts").cast("long").alias("_t"), bucket(F.col("req_ts") - width).alias("_b"), *[at(F.col(f"{x}_{q.j}")).alias(f"{n}_{q.j}") for q in queries for n, x in (("_lo", "qs"), ("_hi", "qn"))])
+    wants = plan.select("req_id", *keys, F.col("req_ts").cast("long").alias("_t"), bucket(F.col("req_ts")).alias("_b"), *[at(F.col(f"{x}_{q.j}")).alias(f"{n}_{q.j}") for q in queries for n, x in (("_lo", "qs"), ("_hi", "qn"))])
     wants = W.known(wants, ["_t", *keys]).filter(reduce(Column.__or__, [F.col(f"_hi_{q.j}") > F.col(f"_lo_{q.j}") for q in queries]))
     doubles, lists = pa.list_(pa.float64()), pa.list_(pa.list_(pa.float64()))
     fields = [(f"{p}_{q.j}_{i}", pa.int64() if p == "n" else pa.float64()) for q in queries for i in range(len(q.columns)) for p in ("n", "s", "ss", "lo", "hi")] + [(f"rows_{q.j}", pa.int64()) for q in queries]

@@ -387,7 +387,8 @@ def progressive_job(
     for q in queries:
         sources.setdefault(q.source, []).append(q)
     # Windows with many matches are sampled as slices, and told anew of all pids read; others keep the states of their resamples.
-    narrow = {s for s, of in sources.items() if of[0].spec.kind == "trailing" and not previous and S.worth(requests, of[0].spec.facts, of[0].spec.keys, of[0].spec.width)}
+    spans = {s: S.stretch(requests, of[0].spec.facts, of[0].spec.keys, of[0].spec.width) for s, of in sources.items() if of[0].spec.kind == "trailing" and not previous}
+    narrow = [s for s in spans if spans[s]]
     boot = [q for q in queries if q.asked and q.source not in narrow]
     anew = [f"{c}_{q.j}" for q in queries if q.asked and q.source in narrow for c in ("rn", "rv", "re", "rr")]
 
@@ -429,7 +430,7 @@ def progressive_job(
         ends = {q.j: (round((at[f"qs_{q.j}"] or 0) * ncfgs), round((at[f"qn_{q.j}"] or 0) * ncfgs)) for q in queries}
         parts = {q.j: round((at[f"part_{q.j}"] or 0) * ncfgs) for q in queries}
         mets = {s: matched(plan, of, ncfgs, ends) for s, of in sources.items() if s not in narrow}
-        slices = [S.sampled(plan, sources[s], ncfgs, ends, parts, replicates, draw_replicates, correction, seed) for s in narrow]
+        slices = [S.sampled(plan, sources[s], spans[s], ncfgs, ends, parts, replicates, draw_replicates, correction, seed) for s in narrow]
         state = merged(plan, [*[mets[s].groupBy("req_id").agg(*aggs[s]) for s in mets], *slices], merge)
         for q in boot:
             state = resampled(state, mets[q.source], q, gran, replicates, limit, draw_replicates, correction, seed)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from inkling.operators import resample as B
 from inkling.operators import slices as S
-from inkling.operators import windows as W
 from inkling.operators.spec import FeatureSpec
 from inkling.plans import progressive as T
 from inkling.sources.storage import materialize
@@ -36,8 +35,8 @@ def close(a, b):
     return (a is None and b is None) or (a is not None and b is not None and np.allclose(np.array(a, float), np.array(b, float), atol=1e-7, equal_nan=True))
 
 
-@pytest.mark.parametrize("keep", [False, True])
-def test_slices_equal_the_matches(spark, facts, requests, keep, monkeypatch):
+@pytest.mark.parametrize("keep, span", [(False, WIDTH), (True, 170)])
+def test_slices_equal_the_matches(spark, facts, requests, keep, span, monkeypatch):
     """Partials of pids that are new to a request, and resamples of all it has read by then, where requests have read differently far."""
     monkeypatch.setattr(S, "TASKS", 4)
     monkeypatch.setattr(S, "SIDE", 3000)  # replicates in some parts
@@ -50,7 +49,7 @@ def test_slices_equal_the_matches(spark, facts, requests, keep, monkeypatch):
     met = T.matched(plan, queries, 20, ends)
     sums = {r.req_id: r for r in met.groupBy("req_id").agg(*T.partials(queries, False)).collect()}
     boot = {r.req_id: r for r in T.resampled(plan.withColumn("qs_1", F.col("qn_1")), met, queries[1], 0.05, 12, 10**6, keep, None, 3).collect()}
-    got = {r.req_id: r for r in S.sampled(plan, queries, 20, ends, {0: 8, 1: 16}, 12, keep, None, 3).collect()}
+    got = {r.req_id: r for r in S.sampled(plan, queries, span, 20, ends, {0: 8, 1: 16}, 12, keep, None, 3).collect()}
     assert set(got) >= {i for i, r in sums.items() if r.rows_0 or r.rows_1} and len(got) > 40
     for i, r in got.items():
         for c in [x for x in r.asDict() if x.split("_")[0] in ("rows", "n", "s", "ss")]:
@@ -84,10 +83,11 @@ def test_jobs_by_slices_make_no_matches_and_answer_alike(spark, facts, requests,
     monkeypatch.setattr(S, "TASKS", 4)
     specs = [FeatureSpec("trailing", {"n": ("count", "x"), "m": ("avg", "y")}, facts, ["key"], WIDTH, row_key=["row"]), FeatureSpec("trailing", {"med": ("median", "x"), "u": ("unique", "s")}, facts, ["key"], WIDTH // 2, row_key=["row"])]
     job = lambda: {r.req_id: r for r in T.progressive_job(requests, specs, T.linear_model({"n": 0.1, "m": 1.0, "med": 1.0, "u": 1.0}, 0.0), ncfgs=20, draws=16, replicates=12, **{"alpha": 8, "beta": 4, **settings}).collect()}
+    monkeypatch.setattr(S, "DENSE", 10**9)
     plain = job()
-    assert not S.worth(requests, facts, ["key"], WIDTH)
-    monkeypatch.setattr(W, "DENSE", 0)
-    assert S.worth(requests, facts, ["key"], WIDTH)
+    assert S.stretch(requests, facts, ["key"], WIDTH) is None
+    monkeypatch.setattr(S, "DENSE", 0)
+    assert S.stretch(requests, facts, ["key"], WIDTH) >= WIDTH
     monkeypatch.setattr(T, "matched", None)  # no pair is made
     sliced = job()
     assert set(sliced) == set(plain) and len(plain) == 62
