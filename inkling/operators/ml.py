@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import feature as T
@@ -47,6 +50,22 @@ def scoring(model: PipelineModel) -> PipelineModel:
     return PipelineModel([model.stages[0].copy().setHandleInvalid("keep"), *model.stages[1:]])
 
 
+#: Models that are fitted at a time, and rows of training data for a task.
+AT_ONCE, ROWS_A_TASK = 4, 50_000
+
+
+def dealt(df: DataFrame, row_id: str, rows: int) -> DataFrame:
+    """``df`` in even parts by id, enough for all tasks: a fit passes over its rows hundreds of times, and small files would leave most cores idle."""
+    most = max(48, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(min(most, rows // ROWS_A_TASK + 1), row_id)
+
+
+def fit_all(pipelines: list[Pipeline], train: DataFrame) -> list[PipelineModel]:
+    """The pipelines fitted on the same rows, some at a time: the jobs of one fill the gaps between those of another."""
+    with ThreadPool(min(AT_ONCE, len(pipelines))) as pool:
+        return pool.map(inheritable_thread_target(train.sparkSession)(lambda p: p.fit(train)), pipelines, chunksize=1)
+
+
 def grid_search(df: DataFrame, kind: str, features: list[str], grid: dict[str, list], folds: int = 5, metric: str = "rmse") -> DataFrame:
     """One row per setting: its number and mean metric over the folds, which run in parallel."""
     pipeline = make_model(kind, features)

@@ -552,13 +552,14 @@ def m1_all(spark, d):
     """Held-out error of every kind of model, each with one of the scalers: kind, scaler, mse or share of right classes, rows."""
     from inkling.operators import ml
 
-    split = materialize(order_rows(spark, d).withColumn("dear", (F.col("label") > 150000).cast("double")))
+    rows = order_rows(spark, d).withColumn("dear", (F.col("label") > 150000).cast("double"))
+    split = materialize(ml.dealt(rows, "req_id", read(spark, d, "orders").count()))
     train, test = split.filter("split = 'train'"), split.filter("split = 'test'")
     scalers, out = [*ml.SCALERS, None], None
-    for k, kind in enumerate([*ml.MODELS, "mlp_classifier"]):
-        sorts = kind in ml.CLASSIFIERS
-        label, scaler = "dear" if sorts else "label", scalers[k % len(scalers)]
-        told = ml.make_model(kind, ORDER_FEATURES, scaler=scaler, label=label).fit(train).transform(test)
+    of = [(kind, "dear" if kind in ml.CLASSIFIERS else "label", scalers[k % len(scalers)]) for k, kind in enumerate([*ml.MODELS, "mlp_classifier"])]
+    fitted = ml.fit_all([ml.make_model(kind, ORDER_FEATURES, scaler=scaler, label=label) for kind, label, scaler in of], train)
+    for (kind, label, scaler), model in zip(of, fitted):
+        sorts, told = kind in ml.CLASSIFIERS, model.transform(test)
         miss = F.col("prediction") - F.col(label)
         score = F.avg((miss == 0).cast("double")) if sorts else F.avg(miss * miss)
         row = told.agg(F.lit(kind).alias("kind"), F.lit(scaler or "none").alias("scaler"), score.alias("score"), F.count(F.lit(1)).alias("rows"))
