@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkling.operators.estimate import poisson_weight
+from inkling.operators.estimate import POISSON_CUTS, poisson_weight
 
 LIMIT = 512
 
@@ -34,8 +34,9 @@ def chance(seed: int, rep: Column, row: Column) -> Column:
 def weights(row: Column, replicates: int, seed: int = 0) -> Column:
     """Weight of a row in the sample (1) and in each replicate."""
     drawn = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: chance(seed, r, row))
-    # Counted up from a probability that is worked out once.
-    return F.concat(F.array(F.lit(1)), F.transform(drawn, poisson_weight))
+    # Counted up from a probability that is worked out once; most are small.
+    small = lambda u: F.when(u <= POISSON_CUTS[0], 0).when(u <= POISSON_CUTS[1], 1).when(u <= POISSON_CUTS[2], 2)
+    return F.concat(F.array(F.lit(1)), F.transform(drawn, lambda u: small(u).otherwise(poisson_weight(u))))
 
 
 @dataclass
@@ -177,6 +178,37 @@ def states(rows: DataFrame, ids: list[str], columns: dict[str, tuple[bool, bool]
     return rows.select(*[F.col(i).cast("long") for i in ids], *[F.col(c).cast("double") for c in columns], "w").mapInArrow(run, ddl)
 
 
+def sorted_sums(rows: DataFrame, ids: list[str], columns: list[str]) -> DataFrame:
+    """``states`` where only sums, least and greatest values are asked, of rows that come by key: all keys of a batch are added up at once."""
+    schema = pa.schema([*[(i, pa.int64()) for i in ids], ("states", pa.list_(STATE))])
+
+    def added(x, w, starts):
+        there = (w > 0) & ~np.isnan(x)[:, None]
+        y, w = np.where(np.isnan(x), 0.0, x)[:, None], np.where(there, w, 0).astype(float)
+        with np.errstate(invalid="ignore"):
+            parts = [w, np.where(there, w * y, 0.0), np.where(there, w * y * y, 0.0)]
+        low, high = (np.where(there, y, end) for end in (np.inf, -np.inf))
+        return np.stack([*[np.add.reduceat(p, starts, axis=0) for p in parts], np.minimum.reduceat(low, starts, axis=0), np.maximum.reduceat(high, starts, axis=0)], 1)
+
+    def packed(sums):
+        none = b""
+        return {"sums": sums.tobytes(), "v": none, "w": none, "level": 0, "h": none, "hw": none}
+
+    def out(keys, sums):
+        return pa.RecordBatch.from_arrays([*[pa.array(k, pa.int64()) for k in keys.T], pa.array([[packed(s[i]) for s in sums] for i in range(len(keys))], pa.list_(STATE))], schema=schema)
+
+    def run(batches):
+        for b in batches:  # a key that goes on in the next batch has two states
+            if b.num_rows:
+                w = b.column("w").flatten().to_numpy().reshape(b.num_rows, -1)
+                keys = np.stack([b.column(i).to_numpy() for i in ids], 1)
+                starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
+                yield out(keys[starts], [added(b.column(c).to_numpy(zero_copy_only=False).astype(float), w, starts) for c in columns])
+
+    ddl = ", ".join([f"{i} long" for i in ids] + [f"states array<{STATE_DDL}>"])
+    return rows.select(*[F.col(i).cast("long") for i in ids], *[F.col(c).cast("double") for c in columns], "w").mapInArrow(run, ddl)
+
+
 MERGED_DDL = f"req_id long, states array<{STATE_DDL}>, n array<double>, value array<double>, error array<double>, value_b array<double>, error_b array<double>, reps array<array<double>>"
 
 

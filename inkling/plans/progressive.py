@@ -37,6 +37,9 @@ PARTS = {"n": "sum", "s": "sum", "ss": "sum", "lo": "min", "hi": "max"}
 CLOSED = ("count", "sum", "avg", "varPop", "stdPop", "varSamp", "stdSamp")
 RESAMPLED = ("min", "max", "unique", "median", "percentile90", "percentile99")
 
+#: Draws that a task scores before it is worth another.
+DRAWS_A_TASK = 50_000
+
 #: What a request lacks (a row without features, a missing extra one) counts as this.
 MISSING = 0.0
 
@@ -186,8 +189,11 @@ def resampled(state: DataFrame, met: DataFrame, q: Query, gran: float, replicate
     types = {c: q.spec.facts.schema[c[2:]].dataType.typeName() for c in columns}
     # Distinct texts count by their hashes, which a double tells apart up to 52 bits.
     told = [(F.when(F.col(c).isNotNull(), F.pmod(F.xxhash64(c), F.lit(2**52))) if types[c] == "string" else F.col(c)).cast("double").alias(c) for c in columns]
-    rows = met.filter(_wanted(q)).select("req_id", F.when(_wanted(q, True), 1).otherwise(2).alias("part"), *told, B.weights(F.col("_row"), replicates, seed).alias("w"))
-    new = B.states(rows, ["req_id", "part"], columns, limit)
+    rows = met.filter(_wanted(q)).select("req_id", F.when(_wanted(q, True), 1).otherwise(2).alias("part"), *told, "_row")
+    # By request: else a batch holds rows of as many requests as rows, with a state for each. Weights are made after the shuffle.
+    rows = rows.repartition("req_id").sortWithinPartitions("req_id", "part").withColumn("w", B.weights(F.col("_row"), replicates, seed).cast("array<tinyint>"))
+    plain = not any(x for asks in columns.values() for x in asks)
+    new = B.sorted_sums(rows, ["req_id", "part"], list(columns)) if plain else B.states(rows, ["req_id", "part"], columns, limit)
     shares = state.select("req_id", F.col(f"qs_{q.j}").alias("share"), F.greatest(F.col(f"qs_{q.j}") - gran, F.lit(gran)).alias("share_b"))
     old = state.filter(F.col(f"st_{q.j}").isNotNull()).select(F.col("req_id").cast("long"), F.lit(0).cast("long").alias("part"), F.col(f"st_{q.j}").alias("states"))
     parts = old.unionByName(new).join(shares, "req_id")
@@ -322,8 +328,11 @@ def judge(spark: SparkSession, extras: list[str], queries: list[Query], told: di
     results = [F.col(f"_m.{x}").alias(f"pred_{x}") for x in ("value", "error", "conf", "var")] + [x.alias(n) for n, x in gains.items()]
     own = [F.col(c).alias(c[2:]) for c in extras]
 
-    def run(state: DataFrame) -> DataFrame:
-        features = state.select("req_id", *own, *needed).select("*", each).join(F.broadcast(table), "_i")
+    def run(state: DataFrame, requests: int = 1) -> DataFrame:
+        # A few small rows become many: dealt to as many tasks as their draws are worth, where they stay until they are added up.
+        most = max(48, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        tasks = min(most, 1 + requests * draws * len(variants) // DRAWS_A_TASK)
+        features = state.select("req_id", *own, *needed).repartition(tasks, "req_id").select("*", each).join(F.broadcast(table), "_i")
         wide = features.select(*plain).select("req_id", "_i", *[c[2:] for c in extras], stacked).select("req_id", "_i", "_k", *[c[2:] for c in extras], "_x.*")
         preds = predict(wide).groupBy("req_id").agg(listed).select("req_id", *slices).select("*", judged).select("req_id", *results)
         return state.join(preds, "req_id")
@@ -366,7 +375,7 @@ def progressive_job(
     ``policies.POLICIES``, one of its growing forms, or a function of a Round; ``min_card`` lets queries of few rows jump first. ``influence``:
     see INFLUENCES. Errors of order statistics and distinct counts come from ``replicates`` resamples, those of all aggregates if ``bootstrap_all``
     (req_id is a long then); ``draw_replicates`` draws from them instead of a normal distribution. Requests that end with everything read
-    take these features from the exact job. The driver sees three numbers for each query and whether requests are open.
+    take these features from the exact job. The driver sees three numbers for each query and how many requests are open.
     """
     gran = round(1 / ncfgs, 6)
     queries = [_query(j, s, bootstrap_all) for j, s in enumerate(s for s in specs if sampled(s))]
@@ -426,7 +435,7 @@ def progressive_job(
     mean = F.aggregate("_shares", F.lit(0.0), lambda s, x: s + x) / n
     for k in range(1, max_rounds + 1):
         last = [F.max(F.when(F.col(f"qn_{q.j}") < 1 - 1e-9, F.col(f"qn_{q.j}"))).alias(f"part_{q.j}") for q in queries]
-        at = plan.agg(*[f(F.col(f"{c}_{q.j}")).alias(f"{c}_{q.j}") for q in queries for f, c in ((F.min, "qs"), (F.max, "qn"))], *last).first()
+        at = plan.agg(*[f(F.col(f"{c}_{q.j}")).alias(f"{c}_{q.j}") for q in queries for f, c in ((F.min, "qs"), (F.max, "qn"))], *last, F.count(F.lit(1)).alias("open")).first()
         ends = {q.j: (round((at[f"qs_{q.j}"] or 0) * ncfgs), round((at[f"qn_{q.j}"] or 0) * ncfgs)) for q in queries}
         parts = {q.j: round((at[f"part_{q.j}"] or 0) * ncfgs) for q in queries}
         mets = {s: matched(plan, of, ncfgs, ends) for s, of in sources.items() if s not in narrow}
@@ -434,7 +443,7 @@ def progressive_job(
         state = merged(plan, [*[mets[s].groupBy("req_id").agg(*aggs[s]) for s in mets], *slices], merge)
         for q in boot:
             state = resampled(state, mets[q.source], q, gran, replicates, limit, draw_replicates, correction, seed)
-        rows = judged(state.withColumns(before) if previous else state)
+        rows = judged(state.withColumns(before) if previous else state, at["open"])
         rows = finished(rows.withColumn("min_qsample", F.when(least >= 1 - 1e-9, 1.0).otherwise(least)), **goals).withColumnRenamed("done", "met")
         steps = _steps(policy, k, alpha, beta, n)[1] if isinstance(policy, str) else beta * n
         rows = rows.withColumns({"x__trace": trace, "_q": asked, "_steps": F.lit(steps).cast("long"), "_shares": shares}).withColumn("_n", nexts).withColumns(raised)

@@ -37,3 +37,19 @@ def test_wide_or_thin_groups_go_by_ranks(spark):
     assert W.gatherable(m) and not W.few_matches(m)
     many = facts.withColumn("key", F.col("ts").cast("int"))
     assert not W.gatherable(W.matches(requests.withColumn("key", F.col("req_id").cast("int")), many, ["key"], 1000))
+
+
+def test_sums_of_resamples_by_request(spark):
+    """One state for each request and batch, not one for each row, and the same as by the states of rows."""
+    import numpy as np
+
+    from inkling.operators import resample as B
+
+    rng = np.random.default_rng(5)
+    data = [(int(i), int(p), None if x > 1.5 else float(x), [1, *map(int, w)]) for i, p, x, w in zip(rng.integers(0, 300, 3000), rng.integers(1, 3, 3000), rng.normal(size=3000), rng.poisson(1, (3000, 6)))]
+    rows = spark.createDataFrame(data, "req_id long, part int, x double, w array<tinyint>").repartition(3, "req_id").sortWithinPartitions("req_id", "part")
+    got = B.sorted_sums(rows, ["req_id", "part"], ["x"]).collect()
+    want = {(r.req_id, r.part): r.states for r in B.states(rows, ["req_id", "part"], {"x": (False, False)}).collect()}
+    assert {(r.req_id, r.part) for r in got} == set(want) and len(got) == len(want) == len({(i, p) for i, p, *_ in data})
+    for r in got:
+        assert np.allclose(np.frombuffer(r.states[0].sums), np.frombuffer(want[r.req_id, r.part][0].sums))
