@@ -102,7 +102,8 @@ def _moments(rows: DataFrame, nodes: DataFrame, keys: list[str], features: dict[
     numbers = rows.select(*keys, "_r", *[F.col(c) if rows.schema[c].dataType.typeName() != "string" else F.when(F.col(c).isNotNull(), 0.0).alias(c) for c in columns])
     means = numbers.agg(*[F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0)).alias(c) for c in columns]).first()  # one row
     tree = _tree(numbers, keys, columns, means.asDict(), top)
-    met = nodes.select("req_id", *keys, "_l", "_i").join(tree, [*keys, "_l", "_i"])
+    # Spark takes nodes for as few bytes as the ranges that they are made of, and would send all of them to the driver.
+    met = nodes.select("req_id", *keys, "_l", "_i").hint("merge").join(tree, [*keys, "_l", "_i"])
     told = met.groupBy("req_id").agg(*[f(f"_{p}_{c}").alias(f"_{p}_{c}") for c in columns for p, f in (("n", F.sum), ("s", F.sum), ("q", F.sum), ("lo", F.min), ("hi", F.max))])
 
     def value(op, c):

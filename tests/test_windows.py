@@ -83,3 +83,13 @@ def test_of_nothing(data):
     _, _, f, r = data
     assert W.range_features(r.filter("req_id < 0"), f, ["key"], FEATURES).collect() == []
     assert W.range_features(r, f.filter("ts < -5"), ["key"], FEATURES).collect() == []
+
+
+def test_nodes_are_not_sent_to_the_driver(data):
+    """A range has many nodes, which Spark doesn't foresee: small ranges would be broadcast with all their nodes."""
+    _, _, f, r = data
+    rows = W.ranked(W.known(f, ["ts", "key"]), ["key"])
+    nodes = W.nodes_of(W.positions(W.known(r, ["key"]), rows, ["key"]), 3)
+    told = W._moments(rows, nodes, ["key"], {"n": ("count", "x"), "m": ("avg", "x")}, 3)
+    assert "Broadcast" not in told._jdf.queryExecution().executedPlan().toString()
+    assert told.count() > 0
