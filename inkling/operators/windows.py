@@ -13,10 +13,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from inkling.operators import matching as J
+from inkling.operators import ordered as O
 from inkling.operators.exact import ALIASES, aggregate
 from inkling.operators.ranges import previous, row_numbers
 from inkling.sources.storage import materialize
@@ -184,7 +186,7 @@ FEW = 4
 
 
 #: Facts of a key in two buckets up to which they are gathered in one group, and matches that make a group worth its overhead.
-GATHERED, DENSE = 1_000_000, 1000
+GATHERED, DENSE = 8_000_000, 1000
 
 
 def matches(requests: DataFrame, facts: DataFrame, keys: list[str], width: int | None) -> Row:
@@ -214,58 +216,68 @@ def gatherable(m: Row) -> bool:
     return 2 * m.largest <= GATHERED and m.made >= DENSE * m.groups
 
 
-def _of_slice(op: str, x: np.ndarray) -> float | None:
-    n = len(x)
-    if op == "count":
-        return float(n)
-    if n == 0 or (op.endswith("Samp") and n < 2):
-        return None
-    if op in QUANTILES:
-        at = (n - 1) * QUANTILES[op]
-        lo, hi = int(np.floor(at)), int(np.ceil(at))
-        part = np.partition(x, (lo, hi))
-        return float(part[lo] if lo == hi else part[lo] * (1 - (at - lo)) + part[hi] * (at - lo))
-    by = {"sum": np.sum, "avg": np.mean, "min": np.fmin.reduce, "max": np.max, "varPop": np.var, "stdPop": np.std, "varSamp": lambda y: np.var(y, ddof=1), "stdSamp": lambda y: np.std(y, ddof=1)}
-    return float(by[op](x))
+def _of_slices(ops: dict[str, str], x: np.ndarray, a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
+    """By name, what aggregates (counts and distinct values apart) tell of the numbers x[a:b]; something for empty slices too."""
+    out = {}
+    if any(op in MOMENTS for op in ops.values()):
+        n, s, q, lo, hi = O.moments(x, a, b)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            by = {"sum": s, "avg": s / n, "min": lo, "max": hi, "varPop": q / n, "stdPop": np.sqrt(q / n), "varSamp": q / (n - 1), "stdSamp": np.sqrt(q / (n - 1))}
+        out |= {name: by[op] for name, op in ops.items() if op in by}
+    at = {name: np.maximum(b - a - 1, 0) * QUANTILES[op] for name, op in ops.items() if op in QUANTILES}
+    if at and len(x):
+        values, codes = np.unique(x, return_inverse=True)
+        found = values[np.minimum(O.kth(codes, a, b, np.stack([end(k).astype(np.int64) for k in at.values() for end in (np.floor, np.ceil)], 1)), len(values) - 1)]
+        for i, (name, k) in enumerate(at.items()):
+            lo, hi, over = found[:, 2 * i], found[:, 2 * i + 1], k - np.floor(k)
+            with np.errstate(invalid="ignore"):
+                out[name] = np.where(over > 0, lo * (1 - over) + hi * over, lo)
+    return out
 
 
 def gathered_features(requests: DataFrame, facts: DataFrame, keys: list[str], width: int, features: dict[str, tuple[str, str]]) -> DataFrame:
     """``range_features`` for windows of at most ``width`` where ``gatherable`` holds: the facts of a key and two buckets of time meet
-    the requests that begin in the first; each request's window is a slice of them in order of time, so no pair is made."""
+    the requests that begin in the first; each request's window is a slice of them in order of time, so no pair is made, nor is a window looked through for each request."""
     features = {n: (ALIASES.get(op, op), c) for n, (op, c) in features.items()}
     requests = known(requests, ["_lo", "_hi", *keys]).filter("_lo < _hi")
     bucket = lambda t: F.floor(F.col(t) / width).cast("long")
-    types = dict(facts.dtypes)
-    names = {c: f"c{i}" for i, c in enumerate(sorted({c for _, c in features.values()}))}
-    # A null is told by a flag: in pandas it can't be told from a NaN, and would make whole numbers floating ones.
-    columns = [x for c, v in names.items() for x in (F.coalesce(F.col(c), F.lit("0").cast(types[c])).alias(v), F.col(c).isNotNull().alias(f"k_{v}"))]
+    columns = sorted({c for _, c in features.values()})
+    names = {c: f"c{i}" for i, c in enumerate(columns)}
+    # Of what is only counted or told apart, the values are kept as they are.
+    numbers = {c: f"x{i}" for i, c in enumerate(columns) if any(x == c and op not in ("count", "unique") for op, x in features.values())}
+    kept = {c: v for c, v in names.items() if any(x == c and op == "unique" for op, x in features.values())}
+    flags = [F.col(c).isNotNull().alias(f"k_{v}") for c, v in names.items()]
     here = F.col("_c")
-    slim = known(facts, ["ts", *keys]).withColumn("_c", bucket("ts")).select(*keys, F.explode(F.array(here, here - 1)).alias("_b"), "ts", *columns)
+    slim = known(facts, ["ts", *keys]).withColumn("_c", bucket("ts")).select(*keys, F.explode(F.array(here, here - 1)).alias("_b"), "ts", *flags, *[F.col(c).alias(v) for c, v in kept.items()], *[F.col(c).cast("double").alias(v) for c, v in numbers.items()])
     asked = requests.select(*keys, bucket("_lo").alias("_b"), "req_id", "_lo", "_hi")
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.iloc[np.argsort(right["ts"].to_numpy(), kind="stable")]
-        ts = right["ts"].to_numpy()
+    fields = [pa.field(n, pa.float64()) for n in features]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([left.schema.field("req_id"), *fields])
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        order = np.argsort(right["ts"].to_numpy(), kind="stable")
+        ts = right["ts"].to_numpy()[order]
         lo, hi = (np.searchsorted(ts, left[c].to_numpy()) for c in ("_lo", "_hi"))
         some = hi > lo
-        out = {"req_id": left["req_id"][some]}
-        for n, (op, c) in features.items():
-            there = right[f"k_{names[c]}"].to_numpy(bool)
+        lo, hi, out = lo[some], hi[some], {}
+        for c, v in names.items():
+            there = right[f"k_{v}"].to_numpy()[order].astype(bool)
             at = np.r_[0, np.cumsum(there)]
-            ends, x = list(zip(at[lo[some]], at[hi[some]])), right[names[c]][there]
-            if op == "unique":  # values that were last seen before the slice
-                code = pd.Series(pd.factorize(x, use_na_sentinel=False)[0])
-                was = pd.Series(np.arange(len(code))).groupby(code).shift(fill_value=-1).to_numpy()
-                told = [float(np.count_nonzero(was[a:b] < a)) for a, b in ends]
-            else:
-                y = np.zeros(len(x)) if op == "count" else x.to_numpy(float)
-                told = [_of_slice(op, y[a:b]) for a, b in ends]
-            out[n] = pd.Series(told, index=out["req_id"].index, dtype="object")
-        return pd.DataFrame(out)
+            a, b = at[lo], at[hi]
+            ops = {n: op for n, (op, x) in features.items() if x == c}
+            told = _of_slices(ops, right[numbers[c]].to_numpy()[order][there], a, b) if c in numbers else {}
+            if "unique" in ops.values():
+                told |= dict.fromkeys([n for n, op in ops.items() if op == "unique"], O.different(pd.factorize(right[v].take(pa.array(order[there])).to_pandas(), use_na_sentinel=False)[0], a, b))
+            told |= dict.fromkeys([n for n, op in ops.items() if op == "count"], b - a)
+            for n, op in ops.items():
+                least = 0 if op in ("count", "unique") else 2 if op.endswith("Samp") else 1
+                out[n] = pa.array(told[n].astype(float), mask=b - a < least) if n in told else pa.nulls(len(a), pa.float64())
+        return pa.Table.from_arrays([left["req_id"].filter(pa.array(some)), *[out[n] for n in features]], schema=schema)
 
     ddl = ", ".join([f"req_id {dict(requests.dtypes)['req_id']}", *[f"`{n}` double" for n in features]])
     by = [*keys, "_b"]
-    return asked.groupBy(*by).cogroup(slim.groupBy(*by)).applyInPandas(run, ddl)
+    return asked.groupBy(*by).cogroup(slim.groupBy(*by)).applyInArrow(run, ddl)
 
 
 def between(requests: DataFrame, facts: DataFrame, keys: list[str], width: int | None, features: dict[str, tuple]) -> DataFrame:

@@ -53,3 +53,35 @@ def test_sums_of_resamples_by_request(spark):
     assert {(r.req_id, r.part) for r in got} == set(want) and len(got) == len(want) == len({(i, p) for i, p, *_ in data})
     for r in got:
         assert np.allclose(np.frombuffer(r.states[0].sums), np.frombuffer(want[r.req_id, r.part][0].sums))
+
+
+def test_large_groups_are_gathered():
+    """A key with 1.7 million facts in a bucket of a week: its windows are slices, and no tree over all facts is joined."""
+    from pyspark.sql import Row
+
+    assert W.gatherable(Row(made=6e11, size=36e6, groups=30.0, largest=1.7e6))
+
+
+def test_what_slices_tell():
+    """Against each slice by itself, with numbers that are not finite, and small ones beside a far greater one."""
+    import numpy as np
+
+    from inkling.operators import ordered as O
+
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 9, 333):
+        x = np.round(rng.normal(size=n), 1)
+        if n > 8:
+            x[[2, 5, 7]] = 1e12, np.nan, np.inf
+        a = rng.integers(0, n + 1, 80)
+        b = np.minimum(n, a + rng.integers(0, n + 1, 80))
+        codes = np.unique(x, return_inverse=True)[1].astype(int)
+        rows, total, squares, lo, hi = O.moments(x, a, b)
+        assert np.array_equal(O.different(codes, a, b), [len(np.unique(x[i:j])) for i, j in zip(a, b)])
+        for k in np.flatnonzero(b > a):
+            y = x[a[k] : b[k]]
+            with np.errstate(invalid="ignore"):
+                want = [len(y), y.sum(), y.var() * len(y), np.fmin.reduce(y), y.max()]
+            assert np.allclose([rows[k], total[k], squares[k], lo[k], hi[k]], want, rtol=1e-9, equal_nan=True)
+            at = rng.integers(0, len(y), (1, 2))
+            assert np.array_equal(np.sort(codes[a[k] : b[k]])[at], O.kth(codes, a[k : k + 1], b[k : k + 1], at))
