@@ -16,9 +16,13 @@ from .base import DAY, HOUR, REQ, facts, query
 TO_THE_END = {"max_error": 0.0, "min_conf": 1.1, "alpha": 30, "beta": 70, "policy": "uniform", "draws": 16, "replicates": 10}
 
 
+#: Facts of a file: a round that reads few pids reads some files whole, which are dealt to as many tasks.
+FILE = 100_000
+
+
 def by_pid(rows, key):
     """Facts with their sampling partition, in files ordered by it, so that a round skips what it does not read."""
-    return materialize(assign_pid(rows, key).repartitionByRange("pid").sortWithinPartitions("pid"))
+    return materialize(assign_pid(rows, key).repartitionByRange("pid").sortWithinPartitions("pid"), rows_a_file=FILE)
 
 
 def event_facts(spark, d):

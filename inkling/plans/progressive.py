@@ -441,6 +441,8 @@ def progressive_job(
         mets = {s: matched(plan, of, ncfgs, ends) for s, of in sources.items() if s not in narrow}
         slices = [S.sampled(plan, sources[s], spans[s], ncfgs, ends, parts, replicates, draw_replicates, correction, seed) for s in narrow]
         state = merged(plan, [*[mets[s].groupBy("req_id").agg(*aggs[s]) for s in mets], *slices], merge)
+        if narrow:  # both the draws and the next plan are made of it, and slices would be told once for each; it is small by its file, but not in the driver
+            state = materialize(state).hint("merge")
         for q in boot:
             state = resampled(state, mets[q.source], q, gran, replicates, limit, draw_replicates, correction, seed)
         rows = judged(state.withColumns(before) if previous else state, at["open"])

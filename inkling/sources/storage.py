@@ -20,10 +20,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base}/{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """Write a table and read it back: lineage ends here and lost executors cost nothing."""
+def materialize(df: DataFrame, partition_by: list[str] | None = None, rows_a_file: int = 0) -> DataFrame:
+    """Write a table and read it back: lineage ends here and lost executors cost nothing. A file has at most ``rows_a_file`` rows, if that is given."""
     path = shared_dir(df.sparkSession)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    writer.option("maxRecordsPerFile", rows_a_file).parquet(path)
     reader = df.sparkSession.read
     return (reader if partition_by else reader.schema(df.schema)).parquet(path)

@@ -194,3 +194,10 @@ def test_long_windows_answer_every_request(spark):
     assert set(out) == set(exact) and all(r.met for r in out.values())
     assert np.mean([abs(out[i].pred_value - exact[i]) <= 8.0 for i in exact]) >= 0.85
     assert min(r.qsample for r in out.values()) < 1
+
+
+def test_facts_by_pid_are_in_files_of_a_bounded_size(spark, monkeypatch):
+    """A round that reads a fifth of the pids reads a fifth of the files, and not one or two large ones."""
+    monkeypatch.setattr(O, "FILE", 50)
+    f = O.event_facts(spark, DATA)
+    assert f.count() == 1000 and len(f.inputFiles()) >= 20

@@ -93,3 +93,26 @@ def test_jobs_by_slices_make_no_matches_and_answer_alike(spark, facts, requests,
     assert set(sliced) == set(plain) and len(plain) == 62
     for i, r in sliced.items():
         assert r.trace == plain[i].trace and r.met == plain[i].met and all(close(r[c], plain[i][c]) for c in ("pred_value", "pred_conf", "pred_var"))
+
+
+def test_slices_are_told_once_a_round(spark, facts, requests, monkeypatch):
+    """Draws and the next plan are made of a state that is written, and that no join sends to the driver."""
+    monkeypatch.setattr(S, "TASKS", 4)
+    monkeypatch.setattr(S, "DENSE", 0)
+    plans, judge = [], T.judge
+
+    def watched(*args):
+        run = judge(*args)
+
+        def both(state, *more):
+            out = run(state, *more)
+            plans.extend(x._jdf.queryExecution().executedPlan().toString() for x in (state, out))
+            return out
+
+        return both
+
+    monkeypatch.setattr(T, "judge", watched)
+    specs = [FeatureSpec("trailing", {"med": ("median", "x")}, facts, ["key"], WIDTH, row_key=["row"])]
+    out = T.progressive_job(requests, specs, T.linear_model({"med": 1.0}, 0.0), max_error=6.0, min_conf=0.8, ncfgs=20, draws=8, replicates=8, max_rounds=1)
+    assert out.count() == 62 and len(plans) == 2
+    assert not any("FlatMapCoGroups" in p for p in plans) and "SortMergeJoin" in plans[1]
